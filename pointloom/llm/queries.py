@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, quality, toxicity, urls
+from . import bpe, decontaminate, lines, media, quality, toxicity, urls
 from .labelled import held_out
 
 
@@ -35,6 +35,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit_documents(docs, table(spark, sf_dir, "labels")))
@@ -58,13 +63,24 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.col("matches.item")
+    return found.select(
+        "doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"),
+        F.coalesce(F.array_max("matches.agree"), F.lit(0)).alias("most_agreeing"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
+    "op3_line_dedup": op3_line_dedup,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_url_filters": op9_url_filters,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql()}
