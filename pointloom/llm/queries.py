@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, media, minhash, quality, toxicity, urls
+from . import bpe, decontaminate, lines, media, minhash, quality, substrings, toxicity, urls
 from .labelled import held_out
 
 
@@ -40,6 +40,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
