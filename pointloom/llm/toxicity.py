@@ -259,3 +259,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, score double, n_hits long, n_quoted long, hits array<struct<start:int,end:int,term:string,edits:int,quoted:boolean>>"
     )
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs whose texts score below the limit, with all their columns; a null text scores as an empty one."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col("text").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        words, (find, iterate) = Words(Matcher(model.lexicon)), _finders()
+        for part in slices(batches):
+            x = np.array([evidence(spans(t or "", words, find, iterate)) for t in part.column("text").to_pylist()]).reshape(-1, 5)
+            kept = pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+            yield kept.filter(pa.array(model.scores(x) < limit))
+
+    fields = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return plain.mapInArrow(run, fields).toDF(*names)
