@@ -1,13 +1,14 @@
-"""Registry of the library's queries and of the SQL that each is checked against."""
+"""All queries of the library and the SQL that they are checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLE_SQL, QUERIES
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _name in ("point_queries", "join_queries"):
+    import_module(f"{__package__}.{_name}")
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "me1_instance_matching"
+FLAGSHIP = "flt1_plane_ground"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
