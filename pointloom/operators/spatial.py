@@ -48,13 +48,15 @@ def _candidates(a: DataFrame, b: DataFrame, size: float, axes: str) -> DataFrame
     return pairs.withColumn("distance", length(*[F.col(c) - F.col(f"{c}2") for c in axes]))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", extra: tuple[str, ...] = (), extra_left: tuple[str, ...] = ()) -> DataFrame:
-    """scene_id, left_id, right_id, distance (and the named columns of either side) of all pairs nearer than the radius.
+def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", extra: tuple[str, ...] = (), extra_left: tuple[str, ...] = (), closed: bool = False) -> DataFrame:
+    """scene_id, left_id, right_id, distance (and the named columns of either side) of all pairs nearer than the radius,
+    or with closed also those at the radius.
 
     The side that is copied to the surrounding cells is the right one: give the smaller side there.
     """
     a, b = _sides(left, right, extra, extra_left)
-    return _candidates(a, b, radius, axes).where(F.col("distance") < radius).select("scene_id", "left_id", "right_id", "distance", *extra_left, *extra)
+    near = F.col("distance") <= radius if closed else F.col("distance") < radius
+    return _candidates(a, b, radius, axes).where(near).select("scene_id", "left_id", "right_id", "distance", *extra_left, *extra)
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -6,9 +6,9 @@ from importlib import import_module
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("point_queries", "join_queries"):
+for _name in ("point_queries", "join_queries", "metric_queries", "cluster_queries"):
     import_module(f"{__package__}.{_name}")
 
-FLAGSHIP = "flt1_plane_ground"
+FLAGSHIP = "me1_instance_matching"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
