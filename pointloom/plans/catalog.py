@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("point_queries", "join_queries", "metric_queries", "cluster_queries"):
+for _name in ("point_queries", "join_queries", "metric_queries", "cluster_queries", "source_queries"):
     import_module(f"{__package__}.{_name}")
 
 FLAGSHIP = "me1_instance_matching"
