@@ -137,10 +137,11 @@ def _same_key(a: DataFrame, b: DataFrame) -> Column:
 def repeats(docs: DataFrame, tables: Tables, length: int, gram: int) -> DataFrame:
     """doc, of, seeds, firsts and late: runs (at, n) of seeds, those of them that are the first of their span, and
     the windows in the latter that still repeat. docs: doc, of and text, without copies."""
-    grams = _anchors(docs, length, gram, False).groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
+    # what is joined with a skewed side is written first: between two plain exchanges Spark can split a hot key's rows
+    grams = tables.write(_anchors(docs, length, gram, False).groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "grams")
     seeds = tables.write(_anchors(docs, length, gram, True).join(grams, "gram"), "seeds")
     firsts = tables.write(seeds.groupBy("gram", "span").agg(F.min(F.struct("doc", "of", "at", "n")).alias("first")), "firsts")
-    several = firsts.groupBy("gram").agg(F.count("*").alias("spans")).where("spans > 1").select("gram")
+    several = tables.write(firsts.groupBy("gram").agg(F.count("*").alias("spans")).where("spans > 1").select("gram"), "several")
     compared = firsts.join(several, "gram", "left_semi").select("first.*")
     run = F.struct("at", "n")
     listed = compared.groupBy("doc", "of").agg(F.collect_list(run).alias("runs"))
@@ -148,6 +149,7 @@ def repeats(docs: DataFrame, tables: Tables, length: int, gram: int) -> DataFram
     windows = tables.write(_windows(beside, length), "windows")
     place = F.struct("doc", "of", "at")
     earliest = windows.groupBy("window").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least != most").select("window", "least")
+    earliest = tables.write(earliest, "earliest")
     late = windows.join(earliest, "window").where(place != F.col("least")).select("doc", "of", F.struct("at", F.lit(1).alias("n")).alias("run"), F.lit("late").alias("kind"))
     everything = late.unionByName(seeds.select("doc", "of", run.alias("run"), F.lit("seed").alias("kind")))
     everything = everything.unionByName(firsts.select("first.doc", "first.of", F.struct("first.at", "first.n").alias("run"), F.lit("first").alias("kind")))
