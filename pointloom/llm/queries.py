@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, media, minhash, quality, substrings, toxicity, urls
+from . import bpe, decontaminate, lines, media, minhash, oracles, quality, substrings, toxicity, urls
 from .labelled import held_out
 
 
@@ -94,4 +94,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op4_substring_dedup": oracles.SUBSTRINGS, "op5_minhash": oracles.NEAR_DUPLICATES}
