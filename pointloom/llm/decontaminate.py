@@ -5,25 +5,30 @@ positions it spans. An overlap is a stretch of WINDOW words, at the same distanc
 least MATCHES agree; the two masks together hit every such stretch, whichever of its words were substituted. Items of
 fewer than WINDOW words count only where all of their words appear in a row.
 
-The test items are taken in blocks of bounded size, each broadcast; the documents are read once a block and never
-shuffled. Null and empty texts and items match nothing; repeated items and documents give the same result each.
+The test items are taken in blocks of bounded size. Up to HELD blocks are broadcast and met in one pass over the
+documents, which are not shuffled; with more items there are as many passes as needed, whose matches are written to the
+shared folder and gathered by document. Null and empty texts and items match nothing; repeated items and documents give the same result each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .common import WordHasher, bytes_and_bounds, mix, slices
+from .common import Tables, WordHasher, bytes_and_bounds, mix, slices
 
 WINDOW, MATCHES = 13, 11
 MASKS = ("11110101", "10100001111")
 #: Bytes of test items in a block, which executors hold along with the seeds of its words.
 BLOCK_BYTES = 4 << 20
+#: Blocks that are broadcast at a time.
+HELD = 4
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -119,17 +124,39 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, row (a hash of doc_id and text) and matches of every row of docs: item, first word, end word and words
+    """doc_id and matches of every row of docs: item, first word, end word and words
     that agree, of each item that overlaps."""
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    match = f"matches array<struct<item:{item_kind},start:int,end:int,agree:int>>"
-    kept = docs.select("doc_id", "text")
-    if not (blocks := [kept.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item, text)]):
-        return kept.select("doc_id", F.expr(f"cast(array() as {match.split(' ', 1)[1]})").alias("matches"))
+    kept = docs.select("doc_id", F.hash("text").alias("of"), "text")
+    item_kind = benchmark.schema[item].dataType
+    blocks, found, tables = _blocks(benchmark, item, text), [], Tables(docs.sparkSession, "overlaps")
+    held = list(islice(blocks, HELD))
+    while held:
+        after = list(islice(blocks, HELD))
+        made = _pass(kept, held, item_kind)
+        if not found and not after:
+            return made.drop("of")
+        found.append(tables.write(made.where(F.size("matches") > 0), f"pass-{len(found)}"))
+        held = after
+    if not found:
+        return kept.select("doc_id", F.expr(f"cast(array() as {_matches_type(item_kind)})").alias("matches"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    gathered = every.select("doc_id", "of", F.explode("matches").alias("m")).distinct().groupBy(F.col("doc_id").alias("_doc"), F.col("of").alias("_of")).agg(F.array_sort(F.collect_list("m")).alias("matches"))
+    out = kept.join(gathered, kept["doc_id"].eqNullSafe(gathered["_doc"]) & (kept["of"] == gathered["_of"]), "left")
+    return out.select("doc_id", F.coalesce("matches", F.expr(f"cast(array() as {_matches_type(item_kind)})")).alias("matches"))
+
+
+def _matches_type(item: DataType) -> str:
+    return f"array<struct<item:{item.simpleString()},start:int,end:int,agree:int>>"
+
+
+def _pass(kept: DataFrame, held: list[Items], item: DataType) -> DataFrame:
+    """doc_id, of and matches of every row with the items of the blocks."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow_item = to_arrow_type(benchmark.schema[item].dataType)
-    struct = pa.list_(pa.struct([("item", arrow_item), ("start", pa.int32()), ("end", pa.int32()), ("agree", pa.int32())]))
+    blocks = [kept.sparkSession.sparkContext.broadcast(b) for b in held]
+    struct = pa.list_(pa.struct([("item", to_arrow_type(item)), ("start", pa.int32()), ("end", pa.int32()), ("agree", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(11, lower=True)
@@ -147,9 +174,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
                     if old is None or (-found[2], found) < (-old[2], old):
                         out[r][block.ids[i]] = found
             made = [[{"item": i, "start": a, "end": b, "agree": n} for i, (a, b, n) in sorted(o.items())] for o in out]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, struct)], ["doc_id", "matches"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("of"), pa.array(made, struct)], ["doc_id", "of", "matches"])
 
-    return kept.mapInArrow(run, f"doc_id {kind}, {match}")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, of int, matches {_matches_type(item)}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -61,7 +61,16 @@ def overlaps(text, item, window=13, least=11):
         return False
     if len(b) < window:
         return any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1))
-    return any(sum(x == y for x, y in zip(a[i : i + window], b[j : j + window])) >= least for i in range(len(a) - window + 1) for j in range(len(b) - window + 1))
+    for shift in range(window - len(b), len(a) - window + 1):
+        same = [x == y for x, y in zip(a[max(0, shift) :], b[max(0, -shift) :])]
+        total = sum(same[:window])
+        if len(same) >= window and total >= least:
+            return True
+        for i in range(window, len(same)):
+            total += same[i] - same[i - window]
+            if total >= least:
+                return True
+    return False
 
 
 def auc(scores, labels):

@@ -63,6 +63,15 @@ def test_decontamination_equals_brute_force(spark, odd, nothing):
     assert decontaminate.overlaps(nothing, items).count() == 0
 
 
+def test_many_blocks_of_items_take_many_passes(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    told = lambda: sorted((r["doc_id"], sorted(tuple(m) for m in r["matches"])) for r in decontaminate.overlaps(docs, items).collect())
+    once = told()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2500)
+    monkeypatch.setattr(decontaminate, "HELD", 1)
+    assert told() == once and any(m for _, m in once)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     words = [f"w{i}" for i in range(40)]
     changed = [("x" if i in (3, 9) else w) for i, w in enumerate(words[:13])]
