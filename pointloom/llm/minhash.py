@@ -6,13 +6,17 @@ set are a class, and go on as their smallest doc_id, the class's representative.
 1. BANDS * ROWS minima of hashes a * x + b modulo 2**64 make a signature; the minima of a band are one band key.
 2. In every bucket of representatives with the same band key, each is paired with the bucket's smallest (a star, so a
    bucket gives no more pairs than it has members). Pairs whose signatures agree enough are confirmed on the full sets.
-3. Pairs whose signatures agree loosely make families. A family that the confirmed links leave in several parts is
-   compared in blocks: members are dealt to chunks of bounded rows and bytes, every two chunks meet in one task, and
-   signatures, then full sets, are compared wherever two members are still apart. This finds the links that no star has.
-4. Large-star and small-star steps over all links give the components.
-
-Two documents at the threshold share no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7; a signature of theirs agrees
-in less than CONFIRM of its places with about the same.
+3. Pairs whose signatures agree loosely make families. As a bucket's smallest member may be a stranger to all others,
+   the signatures of every two members of a bucket that are of different families are compared, large buckets in blocks
+   of bounded size, and families with a pair that agrees enough become one.
+4. A family that the confirmed links leave in several parts is compared in blocks: members are dealt to chunks of
+   bounded rows and bytes, every two chunks meet in one task, and signatures, then full sets, are compared wherever two
+   members are still apart. So every two documents of a common bucket that agree enough are linked or told apart by
+   their sets.
+5. Large-star and small-star steps over all links give the components.
+
+Two documents at the threshold share no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7; their signatures agree in
+less than CONFIRM of the places with a smaller one.
 
 Null and empty texts, and texts of white space alone, have an empty set: no link, a component of their own. Rows with a
 null doc_id are kept, without component. Rows that share a doc_id are one node with the links of all. Repeated rows
@@ -34,9 +38,11 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 #: Shares of a signature's places that must agree: for a pair to be confirmed on its sets, and to be of one family.
-CONFIRM, FAMILY = 0.64, 0.5
+CONFIRM, FAMILY = 0.5625, 0.5
 #: Bounds of a chunk of a family; a longer text is a chunk's only long one, as chunks follow summed bytes.
 CHUNK_ROWS, CHUNK_BYTES = 768, 4 << 20
+#: Pairs whose signatures are compared in one step.
+STEP_PAIRS = 1 << 14
 SIGNATURE = BANDS * ROWS
 
 _rng = np.random.Generator(np.random.PCG64(20))
@@ -170,6 +176,92 @@ def _links_of_block(rows: pd.DataFrame, size: int, percent: int) -> list[tuple]:
     return out
 
 
+def _pairs_of_runs(key: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places a < b of one run of equal keys, STEP_PAIRS or little more at a time; of different chunks where a run has two."""
+    starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+    ends = np.r_[starts[1:], len(key)]
+    crossed = np.minimum.reduceat(chunk, starts) != np.maximum.reduceat(chunk, starts)
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    later = ends[run] - np.arange(len(key)) - 1
+    total, a = np.r_[0, np.cumsum(later)], 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + STEP_PAIRS, "right")) - 1)
+        n = later[a:b]
+        left = np.repeat(np.arange(a, b), n)
+        right = left + 1 + np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        ok = ~crossed[run[left]] | (chunk[left] != chunk[right])
+        yield left[ok], right[ok]
+        a = b
+
+
+def _bridges(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs u, v that join the families of a bucket in which two members agree enough.
+
+    placed: key, rep and family of all members of buckets but the smallest, which is compared already; signed: rep and
+    signature. A task gives no more pairs than it has families."""
+    sizes = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "family")).alias("most"), F.count("*").alias("families"))
+    # members of the largest family need not meet each other: they have the last chunks
+    some, large = (F.ceil(c / CHUNK_ROWS).cast("int") for c in (F.col("rows") - F.col("most.n"), F.col("most.n")))
+    mixed = totals.where("families > 1").select("key", F.col("most.family").alias("largest"), some.alias("some"), large.alias("large"))
+    salt, of_largest = F.xxhash64("rep"), F.col("family") == F.col("largest")
+    chunk = F.when(of_largest, F.col("some") + F.pmod(salt, F.col("large"))).otherwise(F.pmod(salt, F.col("some"))).cast("int")
+    last = F.when(of_largest, F.col("some")).otherwise(F.col("some") + F.col("large")) - 1
+    met = placed.join(mixed, "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    met = met.where(F.col("chunk") != F.col("other")).join(signed, "rep")
+    # a chunk's inner pairs are compared where it meets a neighbour, as in _apart
+    inner = F.abs(F.col("chunk") - F.col("other")) == 1
+    low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    blocks = met.select("key", low, high, F.when(inner, 0).otherwise(F.col("chunk")).alias("chunk"), "rep", "family", "signature")
+    blocks = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(f):
+            while (up := root.get(f, f)) != f:
+                root[f] = root.get(up, up)
+                f = up
+            return f
+
+        def joined(rows: pa.Table) -> pa.RecordBatch:
+            ids = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
+            change = np.r_[0, np.cumsum(np.any([c[1:] != c[:-1] for c in ids], axis=0))]
+            signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            names = rows.column("family").to_pylist()
+            reps, family, out = rows.column("rep").to_pylist(), np.unique(rows.column("family").to_numpy(zero_copy_only=False), return_inverse=True)[1], ([], [])
+            for a, b in _pairs_of_runs(change, rows.column("chunk").to_numpy()):
+                apart = family[a] != family[b]
+                a, b = a[apart], b[apart]
+                close = np.nonzero(np.count_nonzero(signature[a] == signature[b], axis=1) >= CONFIRM * SIGNATURE)[0]
+                for i, j in zip(a[close].tolist(), b[close].tolist()):
+                    f, g = find(names[i]), find(names[j])
+                    if f != g:
+                        root[f] = g
+                        out[0].append(reps[i])
+                        out[1].append(reps[j])
+            kind = rows.schema.field("rep").type
+            return pa.RecordBatch.from_arrays([pa.array(v, kind) for v in out], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            ids = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
+            last = np.all([c == c[-1] for c in ids], axis=0)
+            whole = rows.num_rows - int(last.sum())  # rows are sorted: the last block may go on in the next batch
+            if whole:
+                yield joined(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    kind = placed.schema["rep"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def _apart(members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links found in blocks of families; members: family, component, rep, signature and text."""
     totals = members.groupBy("family").agg(
@@ -218,7 +310,14 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     checked = tables.write(_verified(stars.join(first, "u").join(second, "v").select("u", "v", "us", "vs", "ut", "vt"), size, percent), "checked")
     linked, loose = checked.where("linked").select(F.lit("linked").alias("g"), "u", "v"), checked.select(F.lit("family").alias("g"), "u", "v")
     graphs = components(linked.unionByName(loose), tables, "graphs")
-    parts, families = (graphs.where(F.col("g") == g).select("node", "component") for g in ("linked", "family"))
+    parts, near = (graphs.where(F.col("g") == g).select("node", "component") for g in ("linked", "family"))
+    family = near.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    placed = bands.join(buckets, "key").where(F.col("rep") != F.col("pivot")).select("key", "rep")
+    placed = tables.write(placed.join(family, "rep", "left").select("key", "rep", F.coalesce("family", "rep").alias("family")), "placed")
+    bridges = tables.write(_bridges(placed, representatives), "bridges")
+    # a family's own links hang on its name
+    grown = near.select(F.lit("family").alias("g"), F.col("node").alias("u"), F.col("component").alias("v")).unionByName(bridges.withColumn("g", F.lit("family")))
+    families = components(grown, tables, "families").drop("g")
     members = families.withColumnRenamed("component", "family").join(parts, "node", "left")
     members = members.select("family", F.coalesce("component", "node").alias("component"), F.col("node").alias("rep"))
     more = tables.write(_apart(members.join(known, "rep"), size, percent), "apart")

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from pointloom.llm import lines, minhash, substrings
@@ -79,6 +80,26 @@ def test_families_are_compared_in_blocks(spark, monkeypatch):
     assert {d: c for d, (c,) in by_id(found, "component_id").items()} == groups(rows)
 
 
+@pytest.mark.parametrize("chunk", [768, 4])
+def test_links_in_a_crowd_of_strangers(spark, monkeypatch, chunk):
+    """Every bucket of a similar pair has a smaller member that is similar to neither."""
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(6)
+    has = np.zeros((3060, 1000), np.float32)
+    for i in range(3000):
+        has[i, rng.permutation(1000)[: rng.integers(480, 520)]] = 1
+    for i in range(3000, 3060, 2):
+        words = rng.permutation(1000)
+        has[i, words[:500]] = has[i + 1, words[50:550]] = 1
+    both = has @ has.T
+    similarity = both / (has.sum(1)[:, None] + has.sum(1)[None] - both)
+    links = [(a, b) for a, b in np.argwhere(similarity >= 0.8).tolist() if a < b]
+    assert len(links) == 30 and all(b == a + 1 and a >= 3000 for a, b in links)
+    rows = [(i, " ".join(f"w{k}" for k in np.nonzero(r)[0])) for i, r in enumerate(has)]
+    found = minhash.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=1)
+    assert {d: c for d, (c,) in by_id(found, "component_id").items() if d != c} == {b: a for a, b in links}
+
+
 def test_minhash_odd_rows(spark, odd, nothing):
     found = minhash.link(odd, size=2)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
