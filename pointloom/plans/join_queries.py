@@ -263,7 +263,7 @@ def gp3b(spark, d):
 
 @query("gp4_greedy_cover")
 def gp4(spark, d):
-    return graph.greedy_cover(view(spark, d, "proposals"), view(spark, d, "scores").where("score > 0.53")).groupBy("scene_id", "proposal_id").agg(F.count("*").alias("points"))
+    return graph.greedy_cover(view(spark, d, "proposals"), view(spark, d, "scores")).groupBy("scene_id", "proposal_id").agg(F.count("*").alias("points"))
 
 
 @query("gp5_cross_block_union", _CC.format(head=_OVER.strip(), test="iou >= 0.14 OR of_smaller >= 0.3").strip() + """
@@ -350,7 +350,7 @@ def gp10(spark, d):
 @query("gp11_panoptic_fusion")
 def gp11(spark, d):
     """From the best score down, a proposal whose taken share is small pastes its free points."""
-    return graph.greedy_cover(view(spark, d, "proposals"), view(spark, d, "scores").where("score > 0.53"), 0.3).groupBy("scene_id").agg(F.count_distinct("proposal_id").alias("segments"), F.count("*").alias("points"))
+    return graph.greedy_cover(view(spark, d, "proposals"), view(spark, d, "scores"), 0.3).groupBy("scene_id").agg(F.count_distinct("proposal_id").alias("segments"), F.count("*").alias("points"))
 
 
 @query("gp12_proposal_voxelisation", """

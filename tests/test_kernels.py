@@ -9,6 +9,7 @@ import pytest
 
 from pointloom.functions import rle
 from pointloom.operators import clusters, graph, labels, match, refine, sampling, spatial, statistics, traits
+from pointloom.plans import catalog
 from pointloom.sources import readers
 
 
@@ -68,6 +69,27 @@ def test_suppression_and_cover_equal_the_sequence(spark):
     assert {r["point_id"]: r["proposal_id"] for r in graph.greedy_cover(proposals, scores).collect()} == owner
 
 
+def test_cover_queries_take_all_scores(spark, tmp_path):
+    """Scores near 0.5, as those of large tables are."""
+    rng = random.Random(7)
+    rows = [(i, p, 0, 0.048 + 0.001 * p) for p in range(5) for i in rng.sample(range(12), 5)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_discount double"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = {p: {i for i, q, *_ in rows if q == p} for p in range(5)}
+    owners = []
+    for share in (0.5, 0.3):
+        owner = {}
+        for p in sorted(sets, reverse=True):
+            free = [i for i in sets[p] if i not in owner]
+            if len(free) > share * len(sets[p]):
+                owner |= dict.fromkeys(free, p)
+        owners.append(list(owner.values()))
+    found = catalog.QUERIES["gp4_greedy_cover"](spark, str(tmp_path)).collect()
+    assert {r["proposal_id"]: r["points"] for r in found} == {p: owners[0].count(p) for p in owners[0]}
+    fused = catalog.QUERIES["gp11_panoptic_fusion"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in fused] == [(0, len(set(owners[1])), len(owners[1]))]
+
+
 def test_mutual_matches_equal_the_sequence(spark):
     rng = random.Random(5)
     pairs = [(0, p, g, rng.randint(1, 9) / 10) for p, g in itertools.product(range(1, 7), range(1, 7)) if rng.random() < 0.6]
