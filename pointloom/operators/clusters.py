@@ -68,18 +68,16 @@ def dual_groups(points: DataFrame, offsets: tuple[str, str, str], radius: float,
     return sizes.join(most, "scene_id").withColumn("score", F.least(F.lit(1.0), F.col("n") / F.col("_most"))).drop("_most")
 
 
-def density_peaks(points: DataFrame, k: int, centres: int, separation: float, cell: float, candidates: int = 200) -> DataFrame:
+def density_peaks(points: DataFrame, k: int, centres: int, separation: float, cell: float) -> DataFrame:
     """Adds `label`, the nearest density peak: peaks have the largest product of density (inverse mean distance to k
-    neighbours) and distance to a denser neighbour; each is apart from better ones.
-
-    At most `candidates` points of a scene enter the choice of its few peaks."""
+    neighbours) and distance to a denser neighbour; each is apart from better ones."""
     near = cut(spatial.knn_join(points, points, k, cell))
     rho = cut(near.groupBy("scene_id", F.col("left_id").alias("point_id")).agg((1.0 / (F.avg("distance") + 1e-6)).alias("rho")))
     pairs = near.join(rho.withColumnRenamed("point_id", "left_id"), ["scene_id", "left_id"]).join(rho.select("scene_id", F.col("point_id").alias("right_id"), F.col("rho").alias("rho2")), ["scene_id", "right_id"])
     delta = pairs.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.min(F.when(F.col("rho2") > F.col("rho"), F.col("distance"))).alias("delta"), F.first("rho").alias("rho"))
     most = delta.groupBy("scene_id").agg(F.max("delta").alias("_most"))
     gamma = delta.join(most, "scene_id").select("scene_id", "point_id", (F.col("rho") * F.coalesce("delta", "_most")).alias("score"))
-    best = top_separated(points, gamma, centres, separation, candidates)
+    best = first_separated(points, gamma, centres, separation)
     there = points.join(best, ["scene_id", "point_id"], "left_semi").select("scene_id", F.col("point_id").alias("label"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
     return to_nearest(points, there)
 
@@ -113,6 +111,26 @@ def top_separated(points: DataFrame, scores: DataFrame, count: int, separation:
     return kept.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= count).drop("_r") if kept is not None else top.select("scene_id", "point_id", "score")
 
 
+def first_separated(points: DataFrame, scores: DataFrame, count: int, separation: float) -> DataFrame:
+    """scene_id, point_id, score of the first `count` points, from the best score down (the smaller id on ties), that are
+    `separation` or more from all chosen before.
+
+    A round for each: an aggregation takes the best live point of every scene, and a join removes the points around it."""
+    live, kept = cut(scores.join(points.select("scene_id", "point_id", *"xyz"), ["scene_id", "point_id"])), None
+    for _ in range(count):
+        key = F.struct((-F.col("score")).alias("s"), "point_id", *"xyz")
+        best = live.groupBy("scene_id").agg(F.min(key).alias("b"))
+        best = cut(best.select("scene_id", F.col("b.point_id").alias("point_id"), (-F.col("b.s")).alias("score"), *[F.col(f"b.{c}").alias(f"_{c}") for c in "xyz"]))
+        if best.isEmpty():
+            break
+        chosen = best.select("scene_id", "point_id", "score")
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        gap = spatial.length(*[F.col(c) - F.col(f"_{c}") for c in "xyz"])
+        around = best.select("scene_id", F.col("point_id").alias("_id"), "_x", "_y", "_z")
+        live = cut(live.join(around, "scene_id").where((F.col("point_id") != F.col("_id")) & (gap >= separation)).drop("_id", "_x", "_y", "_z"))
+    return kept if kept is not None else scores.select("scene_id", "point_id", "score")
+
+
 def mean_shift(points: DataFrame, bandwidth: float, cell: float, least: int = 1, most_rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
     """Adds `label`: grid centroids of cells with `least` points move to the mean of the points within the bandwidth until
     none moves; modes nearer than the bandwidth to a busier one fall together; points take the nearest mode."""

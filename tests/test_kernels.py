@@ -46,6 +46,25 @@ def test_dbscan_partition(cloud):
     assert {r["point_id"]: r["label"] for r in clusters.dbscan(df, 0.2, 5).collect()} == want
 
 
+def test_density_peaks_beyond_a_dense_spot(spark):
+    """The best 200 scores lie in one spot; further peaks are found all the same."""
+    rng = np.random.default_rng(8)
+    xyz = np.concatenate([rng.normal(0, 0.01, (1200, 3)), rng.normal((2, 0, 0), 0.2, (20, 3)), rng.normal((0, 2, 0), 0.2, (20, 3))])
+    df = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(xyz)], "scene_id int, point_id long, x double, y double, z double")
+    n = len(xyz)
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    rho = 1 / (np.take_along_axis(d, near, 1).mean(1) + 1e-6)
+    delta = np.array([min((d[i, j] for j in near[i] if rho[j] > rho[i]), default=np.nan) for i in range(n)])
+    gamma, peaks = rho * np.where(np.isnan(delta), np.nanmax(delta), delta), []
+    for i in sorted(range(n), key=lambda i: (-gamma[i], i)):
+        if len(peaks) < 3 and all(d[i, p] >= 1.2 for p in peaks):
+            peaks.append(i)
+    want = {i: min(peaks, key=lambda p: (d[i, p], p)) for i in range(n)}
+    assert len(peaks) == 3 and max(sorted(range(n), key=lambda i: (-gamma[i], i))[:200]) < 1200
+    assert {r["point_id"]: r["label"] for r in clusters.density_peaks(df, 3, 3, 1.2, 0.4).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = [(0, i, i + 1) for i in range(40)] + [(1, 5, 5), (1, 7, 9)]
     found = graph.components(spark.createDataFrame(edges, "scene_id int, u long, v long")).collect()
