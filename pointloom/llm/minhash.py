@@ -3,24 +3,25 @@
 A document's set is its distinct word shingles (with fewer words than a shingle, the whole sequence). Documents of one
 set are a class, and go on as their smallest doc_id, the class's representative. Steps:
 
-1. BANDS * ROWS minima of hashes a * x + b modulo 2**64 make a signature; the minima of a band are one band key.
+1. BANDS * ROWS minima of hashes a * x + b modulo 2**64; the minima of a band are one band key, 16 bits of each minimum
+   make the signature.
 2. In every bucket of representatives with the same band key, each is paired with the bucket's smallest (a star, so a
-   bucket gives no more pairs than it has members). Pairs whose signatures agree enough are confirmed on the full sets.
-3. Pairs whose signatures agree loosely make families. As a bucket's smallest member may be a stranger to all others,
-   the signatures of every two members of a bucket that are of different families are compared, large buckets in blocks
-   of bounded size, and families with a pair that agrees enough become one.
-4. A family that the confirmed links leave in several parts is compared in blocks: members are dealt to chunks of
-   bounded rows and bytes, every two chunks meet in one task, and signatures, then full sets, are compared wherever two
-   members are still apart. So every two documents of a common bucket that agree enough are linked or told apart by
-   their sets.
+   bucket gives no more pairs than it has members). Pairs whose signatures agree in CONFIRM of the places are confirmed
+   on the full sets, and so is every member of a class with its representative. Confirmed links make components.
+3. A bucket's smallest member may be a stranger to the rest, so every two members of a bucket that are still in different
+   components have their signatures compared, large buckets in blocks of bounded size. First each task proposes no more
+   pairs than would join its components, the most alike first; those that the sets confirm shrink the components.
+4. Then the members that still agree enough with one of another component, and no others, are brought together with
+   their texts, block by block, and compared on their sets until the block's components are joined or told apart. So
+   every two documents of a common bucket that agree enough are linked, connected by links, or told apart by their sets.
 5. Large-star and small-star steps over all links give the components.
 
-Two documents at the threshold share no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7; their signatures agree in
-less than CONFIRM of the places with a smaller one.
+Two documents at 0.8 share no band with probability (1 - 0.8 ** 6) ** 40 < 6e-6, and their signatures agree in less than
+CONFIRM of the places with a much smaller one. Shingles are compared by 64-bit hashes of whole words in order.
 
 Null and empty texts, and texts of white space alone, have an empty set: no link, a component of their own. Rows with a
 null doc_id are kept, without component. Rows that share a doc_id are one node with the links of all. Repeated rows
-give repeated results; other columns pass through.
+give repeated results; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,21 +29,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, WordHasher, bytes_and_bounds, mix, ngram_hashes, slices, word_spans
 from .components import components
 
-BANDS, ROWS = 32, 4
-#: Shares of a signature's places that must agree: for a pair to be confirmed on its sets, and to be of one family.
-CONFIRM, FAMILY = 0.5625, 0.5
-#: Bounds of a chunk of a family; a longer text is a chunk's only long one, as chunks follow summed bytes.
-CHUNK_ROWS, CHUNK_BYTES = 768, 4 << 20
-#: Pairs whose signatures are compared in one step.
-STEP_PAIRS = 1 << 14
+BANDS, ROWS = 40, 6
+#: Share of a signature's places that must agree for a pair to be confirmed on its sets.
+CONFIRM = 0.65
+#: Bounds of a chunk of a bucket, in members and in bytes of their sets; one longer text may exceed the latter.
+CHUNK_ROWS, CHUNK_BYTES = 256, 4 << 20
+#: Pairs whose signatures are compared in one step, and bytes of text whose sets a step holds.
+STEP_PAIRS, STEP_BYTES = 1 << 14, 8 << 20
 SIGNATURE = BANDS * ROWS
 
 _rng = np.random.Generator(np.random.PCG64(20))
@@ -62,118 +63,92 @@ def shingle_sets(texts: pa.Array, size: int, hasher: WordHasher) -> list[np.ndar
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The high halves of all minima, a row for each set; zeros for empty sets."""
-    out = np.zeros((len(sets), SIGNATURE), np.uint32)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """All minima, a row for each set; zeros for empty sets."""
+    out = np.zeros((len(sets), SIGNATURE), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         whole = np.concatenate([sets[i] for i in full])
         at = np.r_[0, np.cumsum([len(sets[i]) for i in full])[:-1]]
         for k in range(SIGNATURE):
-            out[full, k] = np.minimum.reduceat(whole * _A[k] + _B[k], at) >> np.uint64(32)
+            out[full, k] = np.minimum.reduceat(whole * _A[k] + _B[k], at)
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band; bands are told apart by their number."""
-    parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2])
+def signatures(least: np.ndarray) -> np.ndarray:
+    """Middle bits of the minima, whose high bits are mostly zero."""
+    return (least >> np.uint64(16)).astype(np.uint16)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band, whose last six bits are the band's number."""
+    parts = least.reshape(len(least), BANDS, ROWS)
+    h = np.zeros(parts.shape[:2], np.uint64)
     for r in range(ROWS):
         h = mix(h + parts[:, :, r] + np.uint64(1))
-    return h.view(np.int64)
+    return (h & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, h1 and h2 (of the set), n (its size) and signature."""
+def sketch(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, h1 and h2 (of the set), n (its size), signature and band keys of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(3, lower=True)
         for part in slices(batches):
             sets = shingle_sets(part.column("text"), size, hasher)
             h = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signatures(sets)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "h1", "h2", "n", "signature"])
+            least = minima(sets)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(least).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signatures(least)], pa.binary()), keys]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "h1", "h2", "n", "signature", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n long, signature binary")
-
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, n long, signature binary, keys array<long>")
 
-def _bands(representatives: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(s).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), keys], ["rep", "keys"])
 
-    kind = representatives.schema["rep"].dataType.simpleString()
-    made = representatives.select("rep", "signature").mapInArrow(run, f"rep {kind}, keys array<long>")
-    return made.select("rep", F.explode("keys").alias("key"))
+def _signed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIGNATURE)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """u, v and linked of the pairs whose signatures agree loosely at least."""
+def _agreeing(pairs: DataFrame) -> DataFrame:
+    """u and v of the pairs whose signatures us and vs agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(3, lower=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                s = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for c in ("us", "vs")]
-                agree = (s[0] == s[1]).mean(axis=1)
-                linked = np.zeros(part.num_rows, bool)
-                if len(close := np.nonzero(agree >= CONFIRM)[0]):
-                    chosen = part.take(pa.array(close))
-                    sets = [shingle_sets(chosen.column(c), size, hasher) for c in ("ut", "vt")]
-                    linked[close] = [_similar(a, b, percent) for a, b in zip(*sets)]
-                keep = pa.array(agree >= FAMILY)
-                made = pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked)], ["u", "v", "linked"])
-                yield made.filter(keep)
+            if batch.num_rows:
+                close = np.count_nonzero(_signed(batch.column("us")) == _signed(batch.column("vs")), axis=1) >= CONFIRM * SIGNATURE
+                yield batch.select(["u", "v"]).filter(pa.array(close))
 
     kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"u {kind}, v {kind}, linked boolean")
-
-
-def _links_of_block(rows: pd.DataFrame, size: int, percent: int) -> list[tuple]:
-    """Links between members that are still in different components, enough of them to join all that are similar."""
-    rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
-    n = len(rows)
-    signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(n, SIGNATURE)
-    sets = shingle_sets(pa.array(rows["text"].tolist(), pa.string()), size, WordHasher(3, lower=True))
-    sizes, reps, chunk = np.array([len(s) for s in sets]), rows["rep"].tolist(), rows["chunk"].to_numpy()
-    names = {c: i for i, c in enumerate(dict.fromkeys(rows["component"]))}
-    part = np.array([names[c] for c in rows["component"]])
-    same = np.empty((n, n), np.uint8)
-    same.fill(0)
-    for k in range(SIGNATURE):
-        same += signature[:, k, None] == signature[None, :, k]
-    everything, where = np.unique(np.concatenate(sets), return_inverse=True)
-    bounds = np.r_[0, np.cumsum(sizes)]
-    mark, out = np.zeros(len(everything), bool), []
-    need = int(CONFIRM * SIGNATURE)
-    for i in range(n):
-        ok = (same[i, :i] >= need) & (part[:i] != part[i])
-        if chunk.min() != chunk.max():
-            ok &= chunk[:i] != chunk[i]
-        ok &= 100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])
-        found = np.nonzero(ok)[0]
-        if not len(found):
-            continue
-        mark[where[bounds[i] : bounds[i + 1]]] = True
-        length = sizes[found]
-        at = np.repeat(bounds[found] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        both = np.add.reduceat(mark[where[at]].astype(np.int64), np.r_[0, np.cumsum(length)[:-1]])
-        mark[where[bounds[i] : bounds[i + 1]]] = False
-        for j in found[100 * both >= percent * (sizes[i] + length - both)]:
-            if part[j] != part[i]:
-                out.append((reps[i], reps[j]))
-                part[part == part[j]] = part[i]
-    return out
+    return pairs.select("u", "v", "us", "vs").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs u and v, each with its other columns, that are similar by their full sets."""
+    more = [c for c in pairs.columns if c not in ("u", "v")]
+    first = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ut"))
+    second = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("vt"))
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", *more, "ut", "vt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(3, lower=True)
+        for batch in slices(batches, "ut"):
+            for part in slices([batch], "vt"):
+                where = pc.dictionary_encode(part.column("vt"))  # a hub's text is looked at once
+                right = shingle_sets(where.dictionary, size, hasher)
+                left = shingle_sets(part.column("ut"), size, hasher)
+                linked = [_similar(a, right[b], percent) for a, b in zip(left, where.indices.to_pylist())]
+                yield part.select(["u", "v", *more]).filter(pa.array(linked))
+
+    kept = pairs.select("u", "v", *more).schema
+    return both.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept))
 
 
 def _pairs_of_runs(key: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -194,148 +169,214 @@ def _pairs_of_runs(key: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[np.ndar
         a = b
 
 
-def _bridges(placed: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs u, v that join the families of a bucket in which two members agree enough.
+BLOCK = ["key", "low", "high"]
+
+
+def _blocks(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, once for each block in which they meet others.
 
-    placed: key, rep and family of all members of buckets but the smallest, which is compared already; signed: rep and
-    signature. A task gives no more pairs than it has families."""
-    sizes = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "family")).alias("most"), F.count("*").alias("families"))
-    # members of the largest family need not meet each other: they have the last chunks
-    some, large = (F.ceil(c / CHUNK_ROWS).cast("int") for c in (F.col("rows") - F.col("most.n"), F.col("most.n")))
-    mixed = totals.where("families > 1").select("key", F.col("most.family").alias("largest"), some.alias("some"), large.alias("large"))
-    salt, of_largest = F.xxhash64("rep"), F.col("family") == F.col("largest")
+    placed: key, rep, n and component of all members of buckets but the smallest, which is compared already; signed: rep
+    and signature. Gives BLOCK, chunk, rep, component and signature."""
+    weight = F.sum(F.col("n") * 8)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"), weight.alias("bytes"))
+    totals = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("rows", "bytes", "component")).alias("most"), F.count("*").alias("several"))
+    # members of the largest component need not meet each other: they have the last chunks
+    chunks = lambda rows, size: F.ceil(F.greatest(rows / CHUNK_ROWS, size / CHUNK_BYTES)).cast("int")
+    some = chunks(F.col("rows") - F.col("most.rows"), F.col("bytes") - F.col("most.bytes")).alias("some")
+    large = chunks(F.col("most.rows"), F.col("most.bytes")).alias("large")
+    mixed = totals.where("several > 1").select("key", F.col("most.component").alias("largest"), some, large)
+    salt, of_largest = F.xxhash64("rep"), F.col("component") == F.col("largest")
     chunk = F.when(of_largest, F.col("some") + F.pmod(salt, F.col("large"))).otherwise(F.pmod(salt, F.col("some"))).cast("int")
     last = F.when(of_largest, F.col("some")).otherwise(F.col("some") + F.col("large")) - 1
     met = placed.join(mixed, "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     met = met.where(F.col("chunk") != F.col("other")).join(signed, "rep")
-    # a chunk's inner pairs are compared where it meets a neighbour, as in _apart
+    # a chunk's inner pairs are compared where it meets its neighbour
     inner = F.abs(F.col("chunk") - F.col("other")) == 1
     low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
-    blocks = met.select("key", low, high, F.when(inner, 0).otherwise(F.col("chunk")).alias("chunk"), "rep", "family", "signature")
-    blocks = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return met.select("key", low, high, F.when(inner, 0).otherwise(F.col("chunk")).alias("chunk"), "rep", "component", "signature")
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole blocks, many at a time, and the number of each row's block; rows come sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        ids = [rows.column(c).to_numpy() for c in BLOCK]
+        number = np.r_[0, np.cumsum(np.any([c[1:] != c[:-1] for c in ids], axis=0))]
+        whole = int(np.searchsorted(number, number[-1]))  # the last block may go on in the next batch
+        if whole:
+            yield rows.slice(0, whole), number[:whole]
+        held = rows.slice(whole).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.zeros(rows.num_rows, np.int64)
+
+
+class _Roots(dict):
+    """Which components one task has joined."""
+
+    def find(self, f):
+        while (up := self.get(f, f)) != f:
+            self[f] = self.get(up, up)
+            f = up
+        return f
+
+    def join(self, f, g) -> bool:
+        f, g = self.find(f), self.find(g)
+        if f != g:
+            self[f] = g
+        return f != g
+
+
+def _close_pairs(rows: pa.Table, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different components that agree enough, the most alike of a step first."""
+    signature = _signed(rows.column("signature"))
+    component = np.unique(rows.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    for a, b in _pairs_of_runs(number, rows.column("chunk").to_numpy()):
+        apart = component[a] != component[b]
+        a, b = a[apart], b[apart]
+        agree = np.count_nonzero(signature[a] == signature[b], axis=1)
+        order = np.argsort(-agree, kind="stable")
+        order = order[: np.count_nonzero(agree >= CONFIRM * SIGNATURE)]
+        yield a[order], b[order]
+
+
+def _proposed(blocks: DataFrame) -> DataFrame:
+    """u and v of pairs that would join the components of a block; a task gives fewer than it has components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict = {}
-
-        def find(f):
-            while (up := root.get(f, f)) != f:
-                root[f] = root.get(up, up)
-                f = up
-            return f
-
-        def joined(rows: pa.Table) -> pa.RecordBatch:
-            ids = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
-            change = np.r_[0, np.cumsum(np.any([c[1:] != c[:-1] for c in ids], axis=0))]
-            signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-            names = rows.column("family").to_pylist()
-            reps, family, out = rows.column("rep").to_pylist(), np.unique(rows.column("family").to_numpy(zero_copy_only=False), return_inverse=True)[1], ([], [])
-            for a, b in _pairs_of_runs(change, rows.column("chunk").to_numpy()):
-                apart = family[a] != family[b]
-                a, b = a[apart], b[apart]
-                close = np.nonzero(np.count_nonzero(signature[a] == signature[b], axis=1) >= CONFIRM * SIGNATURE)[0]
-                for i, j in zip(a[close].tolist(), b[close].tolist()):
-                    f, g = find(names[i]), find(names[j])
-                    if f != g:
-                        root[f] = g
+        roots = _Roots()
+        for rows, number in _whole_blocks(batches):
+            names, reps, out = rows.column("component").to_pylist(), rows.column("rep").to_pylist(), ([], [])
+            for a, b in _close_pairs(rows, number):
+                for i, j in zip(a.tolist(), b.tolist()):
+                    if roots.join(names[i], names[j]):
                         out[0].append(reps[i])
                         out[1].append(reps[j])
-            kind = rows.schema.field("rep").type
-            return pa.RecordBatch.from_arrays([pa.array(v, kind) for v in out], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, rows.schema.field("rep").type) for v in out], ["u", "v"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            ids = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
-            last = np.all([c == c[-1] for c in ids], axis=0)
-            whole = rows.num_rows - int(last.sum())  # rows are sorted: the last block may go on in the next batch
-            if whole:
-                yield joined(rows.slice(0, whole))
-            held = rows.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield joined(pa.Table.from_batches(held))
-
-    kind = placed.schema["rep"].dataType.simpleString()
-    return blocks.mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def _apart(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links found in blocks of families; members: family, component, rep, signature and text."""
-    totals = members.groupBy("family").agg(
-        F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.min("component").alias("least"), F.max("component").alias("most")
-    )
-    mixed = totals.where(F.col("least") != F.col("most"))
-    count = F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
-    dealt = members.join(mixed.select("family", count.alias("chunks")), "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    met = dealt.select("family", "component", "rep", "signature", "text", "chunk", "chunks", others)
-    # a chunk meets itself only where it is alone; else its inner pairs are compared where it meets a neighbour
-    met = met.where((F.col("chunks") == 1) | (F.col("chunk") != F.col("other")))
-    low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
-    kind = members.schema["rep"].dataType.simpleString()
+    kind = blocks.schema["rep"].dataType.simpleString()
+    return _dealt(blocks).mapInArrow(run, f"u {kind}, v {kind}")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        inner = rows.assign(chunk=0) if key[2] == key[1] + 1 else rows
-        return pd.DataFrame(_links_of_block(inner, size, percent), columns=["u", "v"]).astype({"u": rows["rep"].dtype, "v": rows["rep"].dtype})
 
-    blocks = met.select("family", low, high, "component", "rep", "signature", "text", "chunk")
-    # dealt by block: a partitioning by family alone would do for the grouping, with all blocks of a family in one task
-    return blocks.repartition("family", "low", "high").groupBy("family", "low", "high").applyInPandas(run, f"u {kind}, v {kind}")
+def _doubtful(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that agree enough with one of another component; a pair counts in its first common band only."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in _whole_blocks(batches):
+            signature = _signed(rows.column("signature")).reshape(-1, BANDS, ROWS)
+            band, seen = rows.column("key").to_numpy() & 63, np.zeros(rows.num_rows, bool)
+            for a, b in _close_pairs(rows, number):
+                first = np.argmax((signature[a] == signature[b]).all(axis=2), axis=1) == band[a]
+                seen[a[first]] = seen[b[first]] = True
+            yield from rows.filter(pa.array(seen)).to_batches()
 
-def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs' rows with n_shingles, component_id and kept added (names it replaces if taken).
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
+    return _dealt(blocks).mapInArrow(run, fields)
 
-    size: words of a shingle; percent: the least similarity of a link.
-    """
-    tables = Tables(docs.sparkSession, "minhash")
-    sketches = tables.write(sketch(docs, text, size), "sketches")
+
+def _settled(doubtful: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links u and v found among doubtful members by their full sets, fewer in a task than it has components."""
+    beside = doubtful.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*doubtful.columns, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, roots = WordHasher(3, lower=True), _Roots()
+        for rows, number in _whole_blocks(batches):
+            sizes = np.asarray(pc.binary_length(rows.column("text")), np.int64)
+            group = np.maximum.reduceat(np.cumsum(sizes) // STEP_BYTES, np.nonzero(np.r_[True, number[1:] != number[:-1]])[0])[number - number[0]]
+            for g in np.unique(group):
+                at = np.nonzero(group == g)[0]
+                part = rows.slice(at[0], len(at))
+                sets = shingle_sets(part.column("text"), size, hasher)
+                names, reps, out = part.column("component").to_pylist(), part.column("rep").to_pylist(), ([], [])
+                for a, b in _close_pairs(part, number[at]):
+                    for i, j in zip(a.tolist(), b.tolist()):
+                        if roots.find(names[i]) != roots.find(names[j]) and _similar(sets[i], sets[j], percent):
+                            roots.join(names[i], names[j])
+                            out[0].append(reps[i])
+                            out[1].append(reps[j])
+                yield pa.RecordBatch.from_arrays([pa.array(v, part.schema.field("rep").type) for v in out], ["u", "v"])
+
+    kind = doubtful.schema["rep"].dataType.simpleString()
+    return _dealt(beside).mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _grown(parts: DataFrame | None, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """node and component after further links; a component's own links hang on its name."""
+    links = links.select("u", "v")
+    if parts is not None:
+        links = links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(links.withColumn("g", F.lit("all")), tables, name).drop("g")
+
+
+def _linked(texts: DataFrame, tables: Tables, size: int, percent: int) -> DataFrame:
+    """doc_id, n and component (null: its own) of the documents in texts (doc_id, text)."""
+    sketches = tables.write(sketch(texts, size), "sketches")
     real = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    texts = texts.where("doc_id IS NOT NULL")
     classes = tables.write(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    of_class = real.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").where("doc_id != rep")
+    of_class = real.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     own = real.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
-    representatives = tables.write(own.select(F.col("doc_id").alias("rep"), "signature"), "representatives")
-    bands = _bands(representatives)
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where(F.col("pivot") != F.col("last")).select("key", "pivot")
-    stars = bands.join(buckets, "key").where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
-    stars = tables.write(stars, "stars")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).where("rep IS NOT NULL")
-    used = stars.select(F.col("u").alias("rep")).unionByName(stars.select(F.col("v").alias("rep"))).distinct()
-    known = tables.write(representatives.join(used, "rep", "left_semi").join(texts, "rep").distinct(), "known")
-    first = known.select(F.col("rep").alias("u"), F.col("signature").alias("us"), F.col("text").alias("ut"))
-    second = known.select(F.col("rep").alias("v"), F.col("signature").alias("vs"), F.col("text").alias("vt"))
-    checked = tables.write(_verified(stars.join(first, "u").join(second, "v").select("u", "v", "us", "vs", "ut", "vt"), size, percent), "checked")
-    linked, loose = checked.where("linked").select(F.lit("linked").alias("g"), "u", "v"), checked.select(F.lit("family").alias("g"), "u", "v")
-    graphs = components(linked.unionByName(loose), tables, "graphs")
-    parts, near = (graphs.where(F.col("g") == g).select("node", "component") for g in ("linked", "family"))
-    family = near.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    placed = bands.join(buckets, "key").where(F.col("rep") != F.col("pivot")).select("key", "rep")
-    placed = tables.write(placed.join(family, "rep", "left").select("key", "rep", F.coalesce("family", "rep").alias("family")), "placed")
-    bridges = tables.write(_bridges(placed, representatives), "bridges")
-    # a family's own links hang on its name
-    grown = near.select(F.lit("family").alias("g"), F.col("node").alias("u"), F.col("component").alias("v")).unionByName(bridges.withColumn("g", F.lit("family")))
-    families = components(grown, tables, "families").drop("g")
-    members = families.withColumnRenamed("component", "family").join(parts, "node", "left")
-    members = members.select("family", F.coalesce("component", "node").alias("component"), F.col("node").alias("rep"))
-    more = tables.write(_apart(members.join(known, "rep"), size, percent), "apart")
-    copies = of_class.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    joined = parts.select(F.lit("all").alias("g"), F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.withColumn("g", F.lit("all")))
-    found = components(joined, tables, "components").drop("g")
+    known = tables.write(own.select(F.col("doc_id").alias("rep"), "n", "signature", "keys").distinct(), "representatives")
+    signed, bands = known.select("rep", "signature"), known.select("rep", "n", F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
+    # what is joined with a skewed side is written first: between two plain exchanges Spark can split a hot key's rows
+    placed = tables.write(bands.join(tables.write(buckets, "buckets"), "key").where("rep != pivot"), "placed")
+    stars = tables.write(placed.select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
+    us, vs = (signed.select(F.col("rep").alias(k), F.col("signature").alias(f"{k}s")) for k in "uv")
+    close = _agreeing(stars.join(us, "u").join(vs, "v")).select("u", "v", F.lit(False).alias("copy"))
+    close = tables.write(close.unionByName(of_class.withColumn("copy", F.lit(True))), "close")
+    checked = tables.write(_confirmed(close, texts, size, percent), "checked")
+    parts = _grown(None, checked.where("NOT copy"), tables, "starred")
+
+    def blocks(name: str) -> DataFrame:
+        of = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        return _blocks(tables.write(of, f"placed-{name}"), signed)
+
+    proposed = tables.write(_proposed(blocks("proposed")).distinct(), "proposed")
+    if not proposed.isEmpty():
+        found = tables.write(_confirmed(proposed, texts, size, percent), "bridges")
+        if not found.isEmpty():
+            parts = _grown(parts, found, tables, "bridged")
+        doubtful = tables.write(_doubtful(blocks("doubtful")), "doubtful")
+        found = tables.write(_settled(doubtful, texts, size, percent), "settled")
+        if not found.isEmpty():
+            parts = _grown(parts, found, tables, "joined")
     # copies hang on their representative, which is one join further, not a node of the steps
-    of_copies = copies.join(found, copies["v"] == found["node"], "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))
-    reached = tables.write(found.unionByName(of_copies).groupBy("node").agg(F.min("component").alias("component")), "reached")
-    sizes = sketches.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n").alias("_n"))
-    told = tables.write(sizes.join(reached.withColumnRenamed("node", "_doc"), "_doc", "left"), "told")
-    out = docs.join(told, docs["doc_id"].eqNullSafe(told["_doc"]), "left")
-    component = F.coalesce("component", F.col("_doc"))
-    new = {"n_shingles": F.coalesce("_n", F.lit(0)).cast("long"), "component_id": component, "kept": F.coalesce(component == F.col("doc_id"), F.lit(True))}
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    copies = checked.where("copy").select(F.col("u").alias("copy"), F.col("v").alias("node"))
+    of_copies = copies.join(parts, "node", "left").select(F.col("copy").alias("node"), F.coalesce("component", "node").alias("component"))
+    reached = parts.select("node", "component").unionByName(of_copies).groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component"))
+    return sketches.groupBy("doc_id").agg(F.max("n").alias("n")).join(reached, "doc_id", "left")
+
+
+def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """docs' rows with n_shingles, component_id and kept added (names it replaces if taken).
+
+    size: words of a shingle; percent: the least similarity of a link.
+    """
+    names, tables = docs.columns, Tables(docs.sparkSession, "minhash")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, body = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index(text)}")
+    told = tables.write(_linked(plain.select(doc.alias("doc_id"), body.alias("text")), tables, size, percent), "told")
+    out = plain.join(told, doc.eqNullSafe(F.col("doc_id")), "left")
+    component = F.coalesce("component", "doc_id")
+    new = {"n_shingles": F.coalesce("n", F.lit(0)).cast("long"), "component_id": component, "kept": F.coalesce(component == doc, F.lit(True))}
+    old = [i for i, c in enumerate(names) if c not in new]
+    return out.select(*[f"c{i}" for i in old], *[v.alias(f"new_{k}") for k, v in new.items()]).toDF(*[names[i] for i in old], *new)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component."""
-    found = link(docs.select("doc_id", F.col(text).alias("text")), "text", size, percent).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]), "left_semi")
+    names, tables = docs.columns, Tables(docs.sparkSession, "minhash")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, body = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index(text)}")
+    told = _linked(plain.select(doc.alias("doc_id"), body.alias("text")), tables, size, percent)
+    others = tables.write(told.where("component < doc_id").select(F.col("doc_id").alias("other")), "others")
+    return plain.join(others, doc == F.col("other"), "left_anti").toDF(*names)

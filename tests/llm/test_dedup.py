@@ -80,7 +80,7 @@ def test_families_are_compared_in_blocks(spark, monkeypatch):
     assert {d: c for d, (c,) in by_id(found, "component_id").items()} == groups(rows)
 
 
-@pytest.mark.parametrize("chunk", [768, 4])
+@pytest.mark.parametrize("chunk", [256, 4])
 def test_links_in_a_crowd_of_strangers(spark, monkeypatch, chunk):
     """Every bucket of a similar pair has a smaller member that is similar to neither."""
     monkeypatch.setattr(minhash, "CHUNK_ROWS", chunk)
@@ -100,6 +100,36 @@ def test_links_in_a_crowd_of_strangers(spark, monkeypatch, chunk):
     assert {d: c for d, (c,) in by_id(found, "component_id").items() if d != c} == {b: a for a, b in links}
 
 
+def test_links_among_pages_of_a_template(spark):
+    """Strangers of smaller ids share sections with a similar pair, half of all sections each."""
+    rng, rows = random.Random(0), []
+    sections = [[f"s{k}w{i}" for i in range(10)] for k in range(12)]
+    for i in range(3000):
+        some = sorted(rng.sample(range(12), 6))
+        rows.append((i, " ".join(w for k in some for w in sections[k]) + " " + " ".join(f"o{i}x{j}" for j in range(60))))
+    for pair in range(6):
+        whole = [w for k in rng.sample(range(12), 12) for w in sections[k]]
+        changed = list(whole)
+        for at in rng.sample(range(120), 5):
+            changed[at] = f"c{pair}x{at}"
+        rows += [(3000 + 2 * pair, " ".join(whole)), (3001 + 2 * pair, " ".join(changed))]
+    found = minhash.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=2)
+    assert {d: c for d, (c,) in by_id(found, "component_id").items() if d != c} == {d: c for d, c in groups(rows[3000:]).items() if d != c}
+
+
+@pytest.mark.parametrize("name", ["component", "_doc", "_n", "n", "node", "rep", "key", "kept", "component_id", "a.b"])
+def test_minhash_takes_clashing_names(spark, name):
+    rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").toDF("doc_id", "text", name)
+    found = minhash.link(docs, size=2)
+    names = [c for c in docs.columns if c not in ("component_id", "kept")]
+    assert found.columns == [*names, "n_shingles", "component_id", "kept"]
+    assert sorted((r[0], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
+    if name not in ("component_id", "kept"):
+        assert sorted((r[0], r[2]) for r in found.collect() if r[2]) == [(1, "x"), (2, "y")]
+    assert minhash.one_of_each(docs).columns == docs.columns
+
+
 def test_minhash_odd_rows(spark, odd, nothing):
     found = minhash.link(odd, size=2)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
