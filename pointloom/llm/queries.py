@@ -23,7 +23,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read(media.store(table(spark, sf_dir, "documents")))
     samples = F.col("samples")
-    feature = F.concat_ws(";", F.col("media_type"), F.concat(F.lit("samples="), F.length(samples).cast("string")), F.concat(F.lit("embedded="), F.concat_ws(",", F.col("embedded.type"))))
     return found.select(
         "doc_id", "n_bytes",
         F.length(samples).cast("long").alias("payload_bytes"),
@@ -31,7 +30,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(samples, -16, 16)).alias("tail_crc32"),
         F.length("content").cast("long").alias("media_bytes"),
         F.sha2("content", 256).alias("media_sha256"),
-        feature.alias("feature"),
+        F.concat_ws(";", "corrected_type", "feature").alias("feature"),
     )
 
 

@@ -64,8 +64,101 @@ def test_payloads_round_trip(spark, odd, nothing):
         assert bytes(r["samples"]) == padded and r["media_length"] == len(r["content"]) and r["n_bytes"] == len(raw)
         assert r["media_type"] in ("image/png", "image/bmp", "image/x-portable-graymap", "audio/wav")
     assert media.read(media.store(nothing)).count() == 0
-    for r in op2_media_columns(spark, SF).collect():
-        assert r["payload_bytes"] % 192 == 0 and r["tail_crc32"] >= 0
+
+
+def test_media_query_equals_brute_force(spark):
+    """The stored form is rebuilt here from the formats' definitions; deflate is left to zlib."""
+
+    def stored(p):
+        n = len(p)
+        k = zlib.crc32(p) % 4
+        if k == 0:
+            chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+            rows = b"".join(b"\0" + p[i : i + 192] for i in range(0, n, 192))
+            return "image/png", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II5B", 192, n // 192, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+        if k == 1:
+            return "image/bmp", b"BM" + struct.pack("<IIIIiiHHIIiiII", n + 54, 0, 54, 40, 64, -(n // 192), 1, 24, 0, n, 2835, 2835, 0, 0) + p
+        if k == 2:
+            return "image/x-portable-graymap", f"P5\n192 {n // 192}\n255\n".encode() + p
+        return "audio/wav", b"RIFF" + struct.pack("<I", n + 36) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", n) + p
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op2_media_columns(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        kind, whole = stored(payload)
+        parts = [sum(a <= x < a + 64 for x in payload) for a in (0, 64, 128, 192)] + [sum(payload), sum(abs(x - y) for x, y in zip(payload, payload[1:]))]
+        assert r.asDict() == {
+            "doc_id": r["doc_id"], "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+            "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(whole), "media_sha256": hashlib.sha256(whole).hexdigest(),
+            "feature": f"{kind};{','.join(map(str, parts))}",
+        }
+
+
+def _png(head, *chunks):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + b"".join(chunk(*c) for c in chunks) + chunk(b"IEND", b"")
+
+
+def test_malformed_media_have_no_type(spark):
+    grey = struct.pack(">IIBBBBB", 4, 2, 8, 0, 0, 0, 0)
+    bad = [
+        _png(grey), _png(b"ab"), _png(b""), _png(grey, (b"IDAT", b"not deflate")), _png(grey, (b"IDAT", zlib.compress(b"short"))),
+        _png(grey, (b"IDAT", zlib.compress(bytes(11)))), _png(struct.pack(">IIBBBBB", 0, 2, 8, 0, 0, 0, 0), (b"IDAT", zlib.compress(b""))),
+        b"RIFF\x24\0\0\0WAVE", b"RIFF" + struct.pack("<I", 24) + b"WAVEfmt \2\0\0\0\1\1data\2\0\0\0ab", b"BM" + bytes(60), b"P5\n0 0\n255\n", b"P5\n9 9\n255\nx",
+        b"\x1f\x8b\x08", b"\x1f\x8b\x08" + bytes(30), b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1.4 %%EOF", b"GIF89a", b"GIF89a" + bytes(7), b"\xff\xd8\xff\xda\0\2", b"OggS", b"fLaC",
+    ]
+    rows = [(i, b) for i, b in enumerate(bad)]
+    for r in media.read(spark.createDataFrame(rows, "i int, content binary")).collect():
+        assert (r["media_type"], r["samples"], r["feature"], r["unchecked"]) == (None, None, None, 0), bad[r["i"]]
+
+
+def test_samples_of_what_validators_accept(spark):
+    grey = struct.pack(">IIBBBBB", 4, 2, 8, 0, 0, 0, 0)
+    wide = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", 4) + b"abcd"
+    up = b"BM" + struct.pack("<IHHI", 54 + 16, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0) + b"abcdef\0\0ghijkl\0\0"
+    rows = {
+        "plain": (_png(grey, (b"IDAT", zlib.compress(b"\0abcd\0efgh"))), b"abcdefgh"), "two pieces": (_png(grey, *[(b"IDAT", x) for x in (zlib.compress(b"\0abcd\0efgh")[:5], zlib.compress(b"\0abcd\0efgh")[5:])]), b"abcdefgh"),
+        "filtered": (_png(grey, (b"IDAT", zlib.compress(b"\1abcd\0efgh"))), None), "16 bits": (b"RIFF" + struct.pack("<I", len(wide)) + wide, None), "bottom up": (up, b"ghijklabcdef"),
+    }
+    docs = spark.createDataFrame([(k, v[0], "text/plain") for k, v in rows.items()], "k string, content binary, declared string")
+    for r in media.read(docs).collect():
+        assert (None if r["samples"] is None else bytes(r["samples"])) == rows[r["k"]][1], r["k"]
+        assert r["was_wrong"] and r["corrected_type"] == r["media_type"] != "text/plain" and r["media_length"] == len(r["content"])
+
+
+def test_sniffing_takes_linear_time(spark):
+    import time
+
+    search, n = media.automaton(), 120_000
+    member = b"\x1f\x8b\x08" + bytes(7) + b"\0\xff\xff\0\0"  # a stored block that runs over the next members
+    png = _png(struct.pack(">IIBBBBB", 4, 2, 8, 0, 0, 0, 0))[:33] + struct.pack(">I", 1 << 20) + b"tEXt"
+    for hit in (b"PK\x03\x04", b"\x1f\x8b\x08", b"%PDF-", b"\xff\xd8\xff\xda\0\2", b"RIFF\0\0\0\0WAVE", b"P5\n", b"OggS\0\0", member, png):
+        began = time.perf_counter()
+        kind, _, inside, _ = media.sniff(hit * (4 * n // len(hit)), search)
+        assert time.perf_counter() - began < 6 and kind is None and not inside, hit
+    deep = b"x" * 10
+    for _ in range(300):
+        deep = media.as_wav(deep)
+    kind, size, inside, unchecked = media.sniff(deep, search)
+    assert (kind, size, unchecked) == ("audio/wav", len(deep), 0) and len(inside) == 1
+
+
+def test_reading_keeps_clashing_columns(spark):
+    rows = [(1, media.as_pgm(b"q" * 192), 5, "y", "image/x-portable-graymap")]
+    docs = spark.createDataFrame(rows, "a int, content binary, c0 int, d string, declared string").toDF("a.b", "content", "c0", "samples", "declared")
+    (r,) = media.read(docs).collect()
+    assert r["a.b"] == 1 and r["c0"] == 5 and bytes(r["samples"]) == b"q" * 192 and not r["was_wrong"]
+
+
+def test_updated_files_and_members_are_whole():
+    search = media.automaton()
+    pdf = b"%PDF-1.4 a startxref 1 %%EOF b startxref 2 %%EOF"
+    pack = lambda x: (z := zlib.compressobj(wbits=31)).compress(x) + z.flush()
+    assert media.sniff(pdf + pdf, search)[:3] == ("application/pdf", len(pdf), [("application/pdf", len(pdf), len(pdf))])
+    assert media.sniff(pack(b"one") + pack(b"two") + b"rest", search)[:3] == ("application/gzip", len(pack(b"one") + pack(b"two")), [])
 
 
 def test_types_are_corrected_and_media_carved(spark):
