@@ -1,34 +1,34 @@
-"""Benchmark decontamination: spaced seeds find places that may overlap, and alignment around them verifies.
+"""Benchmark decontamination: spaced seeds join documents with test items, and the words around each hit verify.
 
 Words are runs of letters, digits and bytes above 127, lower-cased in A-Z. A mask of a seed reads only some of the
 positions it spans. An overlap is a stretch of WINDOW words, at the same distance in document and item, of which at
 least MATCHES agree; the two masks together hit every such stretch, whichever of its words were substituted. Items of
 fewer than WINDOW words count only where all of their words appear in a row.
 
-The test items are taken in blocks of bounded size. Up to HELD blocks are broadcast and met in one pass over the
-documents, which are not shuffled; with more items there are as many passes as needed, whose matches are written to the
-shared folder and gathered by document. Null and empty texts and items match nothing; repeated items and documents give the same result each.
+The seeds of distinct item texts are a table. A bitmap of them, of at most 2 ** MOST_BITS bits whatever their number, is
+broadcast, and documents give the seeds that it may hold, each with the words around it. One join on the seed brings
+both sides together; as every overlap holds a seed, the words around the hits suffice to verify it, row by row, and no
+text is shuffled. With more items than the bitmap tells apart, more seeds are shuffled and the results are the same.
+
+Null and empty texts and items match nothing; items with a null id are left out; repeated items are looked up once and
+all told; repeated documents give the same result each. Other columns pass through `clean`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from .common import Tables, WordHasher, bytes_and_bounds, mix, slices
 
 WINDOW, MATCHES = 13, 11
 MASKS = ("11110101", "10100001111")
-#: Bytes of test items in a block, which executors hold along with the seeds of its words.
-BLOCK_BYTES = 4 << 20
-#: Blocks that are broadcast at a time.
-HELD = 4
+#: Bits of the bitmap for each seed, and the logarithms of its least and largest size (8 MB).
+BITS, LEAST_BITS, MOST_BITS = 128, 16, 26
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -47,7 +47,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher) -> tuple[
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the mask laid at each place where it fits; rows must be kept apart by the caller."""
+    """Hash of the mask laid at each place where it fits."""
     count = len(words) - len(mask) + 1
     h = np.full(max(0, count), np.uint64(len(mask) * 31 + int(mask, 2)), np.uint64)
     for j, read in enumerate(mask):
@@ -56,134 +56,151 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
-class Items:
-    """A block of test items, indexed by their seeds."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        data, bounds = bytes_and_bounds(pa.array(texts, pa.string()))
-        self.ids = ids
-        words, rows = words_of(data, bounds, WordHasher(11, lower=True))
-        self.words = [words[a:b] for a, b in zip(rows[:-1], rows[1:])]
-        keys, items, places = [], [], []
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < WINDOW})
-        self.masks = [*MASKS, *("1" * n for n in self.short)]
-        for i, w in enumerate(self.words):
-            for mask in MASKS if len(w) >= WINDOW else ("1" * len(w),) if len(w) else ():
-                h = seeds(w, mask)
-                keys.append(h)
-                items.append(np.full(len(h), i))
-                places.append(np.arange(len(h)))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.items = np.concatenate(items)[order] if items else np.zeros(0, int)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, int)
-        self.bits = max(12, int(len(self.keys) * 16).bit_length())
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, item and place in the item of every seed that the words share with the items."""
-        found = []
-        for mask in self.masks:
-            h = seeds(words, mask)
-            at = np.nonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])[0]
-            first, last = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-            count = last - first
-            at = np.repeat(at, count)
-            k = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.zeros(0, int)
-            found.append((at, self.items[k], self.places[k]))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def verified(self, words: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
-        """First and last word (end excluded) of the document in overlaps with the item laid at the shift, and how many agree."""
-        w = self.words[item]
-        a, b = max(0, shift), min(len(words), shift + len(w))
-        same = words[a:b] == w[a - shift : b - shift]
-        if len(w) < WINDOW:
-            return (a, b, int(same.sum())) if b - a == len(w) and same.all() else None
-        if len(same) < WINDOW:
-            return None
-        total = np.r_[0, np.cumsum(same)]
-        good = np.nonzero(total[WINDOW:] - total[:-WINDOW] >= MATCHES)[0]
-        if not len(good):
-            return None
-        first, last = int(good[0]), int(good[-1]) + WINDOW
-        return a + first, a + last, int(same[first:last].sum())
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
-    known = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES)
-    for k in range(count):
-        rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()  # at most a block
-        rows.sort(key=lambda r: (r["item"], r["text"]))
-        if rows:
-            yield Items([r["item"] for r in rows], [r["text"] for r in rows])
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id and matches of every row of docs: item, first word, end word and words
-    that agree, of each item that overlaps."""
-    kept = docs.select("doc_id", F.hash("text").alias("of"), "text")
-    item_kind = benchmark.schema[item].dataType
-    blocks, found, tables = _blocks(benchmark, item, text), [], Tables(docs.sparkSession, "overlaps")
-    held = list(islice(blocks, HELD))
-    while held:
-        after = list(islice(blocks, HELD))
-        made = _pass(kept, held, item_kind)
-        if not found and not after:
-            return made.drop("of")
-        found.append(tables.write(made.where(F.size("matches") > 0), f"pass-{len(found)}"))
-        held = after
-    if not found:
-        return kept.select("doc_id", F.expr(f"cast(array() as {_matches_type(item_kind)})").alias("matches"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    gathered = every.select("doc_id", "of", F.explode("matches").alias("m")).distinct().groupBy(F.col("doc_id").alias("_doc"), F.col("of").alias("_of")).agg(F.array_sort(F.collect_list("m")).alias("matches"))
-    out = kept.join(gathered, kept["doc_id"].eqNullSafe(gathered["_doc"]) & (kept["of"] == gathered["_of"]), "left")
-    return out.select("doc_id", F.coalesce("matches", F.expr(f"cast(array() as {_matches_type(item_kind)})")).alias("matches"))
-
-
-def _matches_type(item: DataType) -> str:
-    return f"array<struct<item:{item.simpleString()},start:int,end:int,agree:int>>"
-
-
-def _pass(kept: DataFrame, held: list[Items], item: DataType) -> DataFrame:
-    """doc_id, of and matches of every row with the items of the blocks."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    blocks = [kept.sparkSession.sparkContext.broadcast(b) for b in held]
-    struct = pa.list_(pa.struct([("item", to_arrow_type(item)), ("start", pa.int32()), ("end", pa.int32()), ("agree", pa.int32())]))
+def _around(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, mask: str, outside: int) -> np.ndarray:
+    """The words of all windows that hold the mask laid at `at`, a row for each; outside the text's bounds a filler."""
+    n = len(mask)
+    reach = np.arange(0, n) if n < WINDOW and mask not in MASKS else np.arange(n - WINDOW, WINDOW)
+    places = at[:, None] + reach
+    inside = (places >= low[:, None]) & (places < high[:, None])
+    return np.where(inside, words[np.clip(places, 0, len(words) - 1)], np.uint64(outside))
+
+
+def _seeds_of(part: pa.RecordBatch, hasher: WordHasher, outside: int, masks: list[str], seen=None) -> Iterator[tuple]:
+    """Row, seed, place in the row and words around, for each mask; with `seen` only seeds that it may hold. Without masks
+    told, a row has those of MASKS, or where it is shorter than a window the mask of all its words."""
+    words, rows = words_of(*bytes_and_bounds(part.column("text")), hasher)
+    length = np.diff(rows)
+    for mask in masks or [*MASKS, *("1" * n for n in range(1, WINDOW))]:
+        h = seeds(words, mask)
+        at = np.arange(len(h)) if seen is None else np.nonzero(seen(h))[0]
+        row = np.searchsorted(rows, at, "right") - 1
+        ok = at + len(mask) <= rows[row + 1]
+        if not masks:
+            ok &= (length[row] >= WINDOW) if mask in MASKS else (length[row] == len(mask))
+        at, row = at[ok], row[ok]
+        if len(at):
+            around = _around(words, at, rows[row], rows[row + 1], mask, outside)
+            yield row, h[at], at - rows[row], [a.tobytes() for a in around]
+
+
+def _seed_rows(texts: DataFrame, keys: list[str], masks: list[str], outside: int, bitmap=None) -> DataFrame:
+    """keys, seed, place and around of the seeds in texts (keys and text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(11, lower=True)
+        seen = bitmap and _tester(bitmap.value)
         for part in slices(batches):
-            data, bounds = bytes_and_bounds(part.column("text"))
-            words, rows = words_of(data, bounds, hasher)
-            out: list[dict] = [{} for _ in range(part.num_rows)]
-            for block in (b.value for b in blocks):
-                at, items, places = block.hits(words)
-                row = np.searchsorted(rows, at, "right") - 1
-                for r, i, shift in sorted(set(zip(row.tolist(), items.tolist(), (at - rows[row] - places).tolist()))):
-                    if (found := block.verified(words[rows[r] : rows[r + 1]], i, shift)) is None:
-                        continue
-                    old = out[r].get(block.ids[i])
-                    if old is None or (-found[2], found) < (-old[2], old):
-                        out[r][block.ids[i]] = found
-            made = [[{"item": i, "start": a, "end": b, "agree": n} for i, (a, b, n) in sorted(o.items())] for o in out]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("of"), pa.array(made, struct)], ["doc_id", "of", "matches"])
-
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, of int, matches {_matches_type(item)}")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item."""
-    names = docs.columns
-    found = overlaps(docs, benchmark).where(F.size("matches") > 0).select("doc_id").distinct()
-    dirty = found.withColumnRenamed("doc_id", "_doc")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_doc"]), "left_anti").select(*names)
+            for row, seed, place, around in _seeds_of(part, hasher, outside, masks, seen):
+                taken = [part.column(k).take(pa.array(row)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(seed.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(around, pa.binary())], [*keys, "seed", "place", "around"])
+
+    fields = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
+    return texts.select(*keys, "text").mapInArrow(run, f"{fields}, seed long, place int, around binary")
+
+
+def _tester(bitmap: np.ndarray):
+    """Whether seeds may be among those of the bitmap: two of its bits are theirs."""
+    bits = int(len(bitmap) * 64).bit_length() - 1
+    low = np.uint64((1 << bits) - 1)
+
+    def has(p: np.ndarray) -> np.ndarray:
+        return (bitmap[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def seen(h: np.ndarray) -> np.ndarray:
+        found = has(h >> np.uint64(64 - bits))
+        found[found] = has(h[found] >> np.uint64(12) & low)
+        return found
 
+    return seen
 
+
+def _bitmap(seeds: DataFrame, count: int) -> np.ndarray:
+    """At most 2 ** MOST_BITS bits, told as 64-bit words that are not 0."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (count * BITS).bit_length()))
+    places = F.expr(f"explode(array(shiftrightunsigned(seed, {64 - bits}), shiftrightunsigned(seed, 12) & {(1 << bits) - 1}L))")
+    words = seeds.select(places.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("set"))
+    found = words.toPandas()  # no more rows than the bitmap has words
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """doc, of, tid, shift, first word, end and agree (the most words that agree in a window) of hits around which a
+    window agrees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here, there = batch.column("around").to_pylist(), batch.column("of_item").to_pylist()
+            lengths = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(here, there)])
+            start, end, agree = (np.zeros(batch.num_rows, np.int32) for _ in range(3))
+            place = batch.column("place").to_numpy()
+            for size in np.unique(lengths[lengths > 0]):
+                rows, n = np.nonzero(lengths == size)[0], size // 8
+                a, b = (np.frombuffer(b"".join(v[i] for i in rows), np.uint64).reshape(-1, n) for v in (here, there))
+                if n < WINDOW:
+                    agree[rows[(a == b).all(axis=1)]] = n
+                    start[rows], end[rows] = place[rows], place[rows] + n
+                    continue
+                same, inside = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (a == b, (a != 0) & (b != 1)))
+                total = np.where(inside[:, WINDOW:] - inside[:, :-WINDOW] == WINDOW, same[:, WINDOW:] - same[:, :-WINDOW], 0)
+                good, low = total >= MATCHES, place[rows] - (n - WINDOW)
+                agree[rows] = np.where(good.any(axis=1), total.max(axis=1), 0)
+                start[rows], end[rows] = low + good.argmax(axis=1), low + n - good[:, ::-1].argmax(axis=1)
+            columns = [*(batch.column(c) for c in ("doc", "of", "tid", "shift")), pa.array(start), pa.array(end), pa.array(agree)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "of", "tid", "shift", "start", "end", "agree"]).filter(pa.array(agree > 0))
+
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    return met.mapInArrow(run, f"doc {kinds['doc']}, of long, tid {kinds['tid']}, shift int, start int, end int, agree int")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item: str, text: str, tables: Tables) -> DataFrame | None:
+    """doc, of, item, start, end and agree of every overlap of docs (doc, of, text), or None if there are no items."""
+    known = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = tables.write(known.groupBy("text").agg(F.min("item").alias("tid")), "items")
+    made = _seed_rows(items, ["tid"], [], 1).select("seed", "tid", F.col("place").alias("item_place"), F.col("around").alias("of_item"))
+    theirs = tables.write(made, "seeds")
+    shorts = theirs.select((F.octet_length("of_item") / 8).cast("int").alias("n")).groupBy("n").agg(F.count("*").alias("times")).collect()  # of each length one row
+    if not shorts:
+        return None
+    masks = [*MASKS, *("1" * n for n in sorted(r["n"] for r in shorts) if n < WINDOW)]
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(theirs, sum(r["times"] for r in shorts)))
+    # written first: between two plain exchanges Spark can split the rows of a hot seed
+    hits = tables.write(_seed_rows(docs, ["doc", "of"], masks, 0, bitmap), "hits")
+    met = hits.join(theirs, "seed").select("doc", "of", "tid", (F.col("place") - F.col("item_place")).alias("shift"), "place", "around", "of_item")
+    each = _verified(met).groupBy("doc", "of", "tid", "shift").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("agree").alias("agree"))
+    best = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"), "agree"))
+    best = each.groupBy("doc", "of", "tid").agg(best.alias("b")).select("doc", "of", "tid", (-F.col("b.s")).alias("start"), (F.col("b.n") - F.col("b.s")).alias("end"), "b.agree")
+    members = known.join(items, "text").select("tid", "item").distinct()
+    return tables.write(best.join(members, "tid").select("doc", "of", "item", "start", "end", "agree"), "found")
+
+
+def _of(text: str | Column) -> Column:
+    return F.xxhash64(text)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """doc_id and matches of every row of docs: item, first word, end word and the most words that agree in a window, of
+    each item that overlaps, at the shift of its longest overlap."""
+    keyed = docs.select(F.col("doc_id").alias("doc"), _of("text").alias("of"), "text")
+    tables = Tables(docs.sparkSession, "overlaps")
+    found = _found(keyed, benchmark, item, text, tables)
+    none = F.expr(f"cast(array() AS array<struct<item:{benchmark.schema[item].dataType.simpleString()},start:int,end:int,agree:int>>)")
+    if found is None:
+        return docs.select("doc_id", none.alias("matches"))
+    listed = found.groupBy(F.col("doc").alias("_doc"), F.col("of").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("item", "start", "end", "agree"))).alias("matches"))
+    listed = tables.write(listed, "listed")
+    out = keyed.join(listed, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_of")), "left")
+    return out.select(F.col("doc").alias("doc_id"), F.coalesce("matches", none).alias("matches"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose text overlaps no item."""
+    names, tables = docs.columns, Tables(docs.sparkSession, "clean")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, body = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    found = _found(plain.select(doc.alias("doc"), _of(body).alias("of"), body.alias("text")), benchmark, item, text, tables)
+    if found is None:
+        return docs
+    dirty = tables.write(found.select("doc", "of").distinct(), "dirty")
+    return plain.join(dirty, doc.eqNullSafe(F.col("doc")) & (_of(body) == F.col("of")), "left_anti").toDF(*names)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -63,13 +65,33 @@ def test_decontamination_equals_brute_force(spark, odd, nothing):
     assert decontaminate.overlaps(nothing, items).count() == 0
 
 
-def test_many_blocks_of_items_take_many_passes(spark, monkeypatch):
-    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    told = lambda: sorted((r["doc_id"], sorted(tuple(m) for m in r["matches"])) for r in decontaminate.overlaps(docs, items).collect())
-    once = told()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2500)
-    monkeypatch.setattr(decontaminate, "HELD", 1)
-    assert told() == once and any(m for _, m in once)
+@pytest.mark.parametrize("bits", [(128, 16, 26), (1, 6, 6)])
+def test_any_bitmap_gives_the_same_matches(spark, monkeypatch, bits):
+    """A bitmap that is too small lets more seeds pass, and changes nothing."""
+    for name, value in zip(("BITS", "LEAST_BITS", "MOST_BITS"), bits):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 30])))) for i in range(40)]
+    items += [(100 + i, items[i][1]) for i in range(20)] + [(200, None), (201, ""), (None, "w1 w2")]
+    docs = []
+    for i in range(150):
+        text = [rng.choice(vocabulary + ["x", "y"]) for _ in range(rng.randint(0, 40))]
+        words = rng.choice(items[:40])[1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "z"
+        at = rng.randint(0, len(text))
+        docs.append((i, " ".join(text[:at] + words + text[at:])))
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    told = {r["doc_id"]: [m["item"] for m in r["matches"]] for r in found.collect()}
+    assert told == {d: [i for i, x in items if i is not None and overlaps(t, x)] for d, t in docs}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text, 5), (1, "clean words here", 6), (None, text, 7), (None, None, 8)], "doc_id long, text string, n int").toDF("doc_id", "text", "a.b")
+    items = spark.createDataFrame([(9, "v " + text)], "item_id long, text string")
+    assert sorted(r["a.b"] for r in decontaminate.clean(docs, items).collect()) == [6, 8]
 
 
 def test_decontamination_tolerates_substitutions(spark):
