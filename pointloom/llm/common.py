@@ -18,12 +18,15 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own where that is unset. Only a
+    session whose executors run in the driver's process may have neither; others must say where they share files."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        configured = tempfile.mkdtemp(prefix="pointloom-")  # reached in single-machine runs only
+        configured = tempfile.mkdtemp(prefix="pointloom-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 

@@ -16,9 +16,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
     """text and label of at most `rows` labelled documents outside the held-out fold, taken by the hash of doc_id.
 
-    Rows with a null id or label are left out; of repeated labels the largest holds; repeated documents all count.
+    Rows with a null id or label are left out; of repeated labels the largest holds, of rows that share a doc_id the least
+    text counts, so that the sample has no more than `rows` rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")

@@ -21,22 +21,17 @@ MIN_SITES, LG_K = 10, 12
 NEAR_LOW, NEAR_HIGH = 0.8, 1.25
 
 
-def _lines_of(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, site: str, text: str, min_sites: int) -> DataFrame:
-    """h, c (hashes of a line), doc and at (where it stands first) of every boilerplate line."""
-    lines = docs.select(
-        F.col("doc_id"), F.col(site).cast("string").alias("site"), F.posexplode(_lines_of(text)).alias("at", "line")
-    ).where(F.trim("line") != "")
-    keyed = lines.select(F.xxhash64("line").alias("h"), F.crc32("line").alias("c"), "site", "doc_id", "at")
-    sketches = keyed.groupBy("h", "c").agg(
-        F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "at")).alias("first")
-    )
+def boilerplate(docs: DataFrame, min_sites: int, tables: Tables) -> DataFrame:
+    """h, c (hashes of a line), doc and at (where it stands first) of every boilerplate line; docs: doc, site and text."""
+    lines = docs.select("doc", F.col("site").cast("string").alias("site"), F.posexplode(_lines_of(F.col("text"))).alias("at", "line")).where(F.trim("line") != "")
+    keyed = lines.select(F.xxhash64("line").alias("h"), F.crc32("line").alias("c"), "site", "doc", "at")
+    sketches = keyed.groupBy("h", "c").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc", "at")).alias("first"))
     # a sketch of few values is exact, so a line on one site never gets this far
-    spread = sketches.select("h", "c", F.hll_sketch_estimate("sketch").alias("sites"), F.col("first.doc_id").alias("doc"), F.col("first.at").alias("at"))
-    tables = Tables(docs.sparkSession, "lines")
+    spread = sketches.select("h", "c", F.hll_sketch_estimate("sketch").alias("sites"), "first.doc", "first.at")
     found = tables.write(spread.where(F.col("sites") >= NEAR_LOW * min_sites), "candidates")
     clear = found.where(F.col("sites") > NEAR_HIGH * min_sites)
     near = found.where(F.col("sites") <= NEAR_HIGH * min_sites)
@@ -47,23 +42,23 @@ def boilerplate(docs: DataFrame, site: str, text: str, min_sites: int) -> DataFr
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """All columns of docs, the text without the lines that go, and n_lines and n_removed (names it replaces if taken)."""
-    common = boilerplate(docs, site, text, min_sites)
-    placed = docs.select("doc_id", F.xxhash64(text).alias("_text"), F.posexplode(_lines_of(text)).alias("_at", "_line"))
-    placed = placed.select("doc_id", "_text", "_at", F.xxhash64("_line").alias("h"), F.crc32("_line").alias("c"))
-    again = placed.join(common, ["h", "c"]).where(~(F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_at") == F.col("at"))))
-    gone = again.groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of")).agg(F.collect_set("_at").alias("_gone"))
-    keyed = docs.withColumns({"_key": F.xxhash64(text)})
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_key"] == gone["_of"]), "left")
-    lines, kept = _lines_of(text), F.array_except(F.sequence(F.lit(0), F.size(_lines_of(text)) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(kept, lambda p: F.get(F.col("_lines"), p)), "\n")
-    out = joined.withColumn("_lines", lines).withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest),
-        }
-    )
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    names, tables = docs.columns, Tables(docs.sparkSession, "lines")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, where, body = (F.col(f"c{names.index(c)}") for c in ("doc_id", site, text))
+    slim = plain.select(doc.alias("doc"), where.alias("site"), body.alias("text"))
+    common = boilerplate(slim, min_sites, tables)
+    placed = slim.select(F.col("doc").alias("_doc"), F.xxhash64("text").alias("_of"), F.posexplode(_lines_of(F.col("text"))).alias("_at", "line"))
+    placed = placed.select("_doc", "_of", "_at", F.xxhash64("line").alias("h"), F.crc32("line").alias("c"))
+    again = placed.join(common, ["h", "c"]).where(~(F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_at") == F.col("at"))))
+    gone = again.groupBy("_doc", "_of").agg(F.collect_set("_at").alias("gone"))
+    joined = plain.join(gone, doc.eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_of")), "left").withColumn("lines", _lines_of(body))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(left, lambda p: F.get(F.col("lines"), p)), "\n")
+    none = F.col("gone").isNull()
+    old = [(i, c) for i, c in enumerate(names) if c not in ("n_lines", "n_removed")]
+    kept = [F.when(none, body).otherwise(rest) if c == text else F.col(f"c{i}") for i, c in old]
+    counts = [F.size("lines").cast("long"), F.when(none, 0).otherwise(F.size("gone")).cast("long")]
+    return joined.select(*[c.alias(f"new{i}") for i, c in enumerate([*kept, *counts])]).toDF(*[c for _, c in old], "n_lines", "n_removed")
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

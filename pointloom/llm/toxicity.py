@@ -7,7 +7,7 @@ words share, nearly all of them of toxic documents alone, becomes a stem.
 Matching: trie nodes with a count of edits are the states of the automaton of all terms at once; its transitions are
 made as words need them and kept. Terms of at least FUZZY letters allow one edit, stems match as they are.
 
-Scoring: a hit counts as quoted when it stands between quotation marks or near a reporting word, else as abuse. A
+Scoring: a hit counts as quoted when it stands between quotation marks of its line or near a reporting word, else as abuse. A
 logistic regression over the two sums, that of misspelled hits and that of stems gives the score; its weights say how far a
 quotation counts. Null and empty texts have no hit and the score of such; without labels no term is known and the score
 is the smoothed share of toxic labels.
@@ -16,6 +16,7 @@ is the smoothed share of toxic labels.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,7 @@ TOKEN = r"[^\W\d_]+(?:[@$!*0-9]+[^\W\d_]+)*"
 TOKEN_JAVA = r"\p{L}+(?:[@$!*0-9]+\p{L}+)*"
 REPORTING = frozenset("said says wrote quote quoted quotes quoting reported called term word slur insult article citation dit cité zitat sagte dijo cita".split())
 OPENING, CLOSING = "“«„\"", "”»“\""
+MARKS = re.compile(f"[{OPENING}{CLOSING}]")
 
 
 @dataclass
@@ -131,13 +133,41 @@ class Words(dict):
         return found
 
 
-def quoted(text: str, start: int, end: int, before: list[str], after: list[str]) -> bool:
-    """Whether a hit is between marks on its line, or has a reporting word within the window."""
-    left = text[max(text.rfind("\n", 0, start) + 1, start - 240) : start]
-    right = text[end : end + 240].split("\n", 1)[0]
-    straight = left.count('"') % 2 == 1 and '"' in right
-    curly = any(left.rfind(a) > left.rfind(b) and b in right for a, b in zip("“«„", "”»“"))
-    return straight or curly or not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after)
+class Marks:
+    """The quotation marks of the line that holds a place, found once for each line; places must not fall back by lines."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, -1
+        self.places: dict[str, list[int]] = {}
+
+    def _line(self, place: int) -> None:
+        if not self.start <= place <= self.end:
+            self.start = self.text.rfind("\n", 0, place) + 1
+            end = self.text.find("\n", place)
+            self.end = len(self.text) if end < 0 else end
+            self.places = {m: [] for m in OPENING + CLOSING}
+            for m in MARKS.finditer(self.text, self.start, self.end):
+                self.places[m[0]].append(m.start())
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether start to end stands between marks of its line: an odd number of straight ones before it and one after it,
+        or an opening one that no closing one has ended, and one that does later."""
+        self._line(start)
+        for a, b in zip(OPENING, CLOSING):
+            left, right = self.places[a], self.places[b]
+            i, j = bisect_left(left, start), bisect_left(right, start)
+            if a == b:
+                inside = i % 2 == 1
+            else:
+                inside = i > 0 and (j == 0 or left[i - 1] > right[j - 1])
+            if inside and bisect_left(right, end) < len(right):
+                return True
+        return False
+
+
+def reported(before: list[str], after: list[str]) -> bool:
+    """Whether a reporting word is among those around a hit."""
+    return not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after)
 
 
 def spans(text: str, words: Words, find, iterate) -> list[tuple[int, int, str, float, int, bool, bool]]:
@@ -148,11 +178,11 @@ def spans(text: str, words: Words, find, iterate) -> list[tuple[int, int, str, f
     found = list(map(words.__getitem__, tokens := find(low)))
     if not any(found):
         return []
-    out = []
+    out, marks = [], Marks(text)
     for i, m in enumerate(iterate(low)):
         if hit := found[i]:
-            about = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
-            out.append((m.start(), m.end(), hit[3], hit[0], hit[1], hit[2], quoted(text, m.start(), m.end(), *about)))
+            is_quoted = marks.around(*m.span()) or reported(tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW])
+            out.append((*m.span(), hit[3], hit[0], hit[1], hit[2], is_quoted))
     return out
 
 
@@ -180,8 +210,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
 
-def learn_lexicon(sample: DataFrame, most: int = 20_000) -> Lexicon:
-    """Terms and stems of a bounded sample (text, label); at most `most` of either, the heaviest first."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """All terms and stems of a sample (text, label), whose bound is theirs too."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_JAVA), F.lit(0))
     words = sample.select("label", tokens.alias("w")).where(F.size("w") > 0)
     before = F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1))
@@ -202,10 +232,10 @@ def learn_lexicon(sample: DataFrame, most: int = 20_000) -> Lexicon:
             F.sum("t").alias("t"), F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("pure"), F.count("*").alias("words")
         )
         stems = stems.where((F.col("t") >= 8) & (F.col("pure") >= 5) & (F.col("pure") >= 0.97 * F.col("words"))).select("w", lift.alias("weight")).where(F.col("weight") >= 3)
-        top = lambda df: {r["w"]: float(r["weight"]) for r in df.orderBy(F.desc("weight"), "w").limit(most).collect()}
-        found = top(stems)
+        told = lambda df: {r["w"]: float(r["weight"]) for r in df.collect()}
+        found = told(stems)
         shortest = {w: v for w, v in found.items() if not any(w[:k] in found for k in range(4, len(w)))}
-        return Lexicon(top(terms), shortest)
+        return Lexicon(told(terms), shortest)
     finally:
         each.unpersist()
 
