@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and held in the shared folder of spark.checkpoint.dir; only where that is unset, as in local runs,
-    a folder of this machine takes its place."""
-    context = df.sparkSession.sparkContext
+    """df, computed and held in the shared folder of spark.checkpoint.dir; where that is unset, sessions whose executors
+    run in the driver's process take a folder of this machine, and others must name one."""
+    session, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
+        shared = session.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pointloom-"))
     return df.checkpoint()

@@ -68,7 +68,8 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    judged = urls.judge(table(spark, sf_dir, "pages"), urls.fit(urls.labelled_table(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op4_substring_dedup": oracles.SUBSTRINGS, "op5_minhash": oracles.NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op4_substring_dedup": oracles.SUBSTRINGS, "op5_minhash": oracles.NEAR_DUPLICATES, "op9_url_filters": urls.oracle_sql()}
