@@ -9,11 +9,12 @@ set are a class, and go on as their smallest doc_id, the class's representative.
    bucket gives no more pairs than it has members). Pairs whose signatures agree in CONFIRM of the places are confirmed
    on the full sets, and so is every member of a class with its representative. Confirmed links make components.
 3. A bucket's smallest member may be a stranger to the rest, so every two members of a bucket that are still in different
-   components have their signatures compared, large buckets in blocks of bounded size. First each task proposes no more
-   pairs than would join its components, the most alike first; those that the sets confirm shrink the components.
-4. Then the members that still agree enough with one of another component, and no others, are brought together with
-   their texts, block by block, and compared on their sets until the block's components are joined or told apart. So
-   every two documents of a common bucket that agree enough are linked, connected by links, or told apart by their sets.
+   components have their signatures compared, large buckets in blocks of bounded size. Only members that agree enough
+   with one of another component go on. Of these each task first proposes no more pairs than would join its components,
+   the most alike first; those that the sets confirm shrink the number of components.
+4. Then the members that are still so are brought together with their texts, block by block, and compared on their sets
+   until the block's components are joined or told apart. So every two documents of a common bucket that agree enough
+   are linked, connected by links, or told apart by their sets.
 5. Large-star and small-star steps over all links give the components.
 
 Two documents at 0.8 share no band with probability (1 - 0.8 ** 6) ** 40 < 6e-6, and their signatures agree in less than
@@ -41,7 +42,7 @@ BANDS, ROWS = 40, 6
 #: Share of a signature's places that must agree for a pair to be confirmed on its sets.
 CONFIRM = 0.65
 #: Bounds of a chunk of a bucket, in members and in bytes of their sets; one longer text may exceed the latter.
-CHUNK_ROWS, CHUNK_BYTES = 256, 4 << 20
+CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
 #: Pairs whose signatures are compared in one step, and bytes of text whose sets a step holds.
 STEP_PAIRS, STEP_BYTES = 1 << 14, 8 << 20
 SIGNATURE = BANDS * ROWS
@@ -236,19 +237,36 @@ class _Roots(dict):
 
 
 def _close_pairs(rows: pa.Table, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of different components that agree enough, the most alike of a step first."""
-    signature = _signed(rows.column("signature"))
+    """Places of pairs of different components that agree enough, the most alike of a step first; a pair counts in the
+    first band that it has in common."""
+    signature, band = _signed(rows.column("signature")), rows.column("key").to_numpy() & 63
     component = np.unique(rows.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
     for a, b in _pairs_of_runs(number, rows.column("chunk").to_numpy()):
         apart = component[a] != component[b]
         a, b = a[apart], b[apart]
-        agree = np.count_nonzero(signature[a] == signature[b], axis=1)
-        order = np.argsort(-agree, kind="stable")
-        order = order[: np.count_nonzero(agree >= CONFIRM * SIGNATURE)]
+        same = signature[a] == signature[b]
+        agree = np.count_nonzero(same, axis=1)
+        close = np.nonzero(agree >= CONFIRM * SIGNATURE)[0]
+        close = close[np.argmax(same[close].reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == band[a[close]]]
+        order = close[np.argsort(-agree[close], kind="stable")]
         yield a[order], b[order]
 
 
-def _proposed(blocks: DataFrame) -> DataFrame:
+def _doubtful(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that agree enough with one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in _whole_blocks(batches):
+            seen = np.zeros(rows.num_rows, bool)
+            for a, b in _close_pairs(rows, number):
+                seen[a] = seen[b] = True
+            yield from rows.filter(pa.array(seen)).to_batches()
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
+    return _dealt(blocks).mapInArrow(run, fields)
+
+
+def _proposed(doubtful: DataFrame) -> DataFrame:
     """u and v of pairs that would join the components of a block; a task gives fewer than it has components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,24 +280,8 @@ def _proposed(blocks: DataFrame) -> DataFrame:
                         out[1].append(reps[j])
             yield pa.RecordBatch.from_arrays([pa.array(v, rows.schema.field("rep").type) for v in out], ["u", "v"])
 
-    kind = blocks.schema["rep"].dataType.simpleString()
-    return _dealt(blocks).mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def _doubtful(blocks: DataFrame) -> DataFrame:
-    """The rows of blocks that agree enough with one of another component; a pair counts in its first common band only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, number in _whole_blocks(batches):
-            signature = _signed(rows.column("signature")).reshape(-1, BANDS, ROWS)
-            band, seen = rows.column("key").to_numpy() & 63, np.zeros(rows.num_rows, bool)
-            for a, b in _close_pairs(rows, number):
-                first = np.argmax((signature[a] == signature[b]).all(axis=2), axis=1) == band[a]
-                seen[a[first]] = seen[b[first]] = True
-            yield from rows.filter(pa.array(seen)).to_batches()
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-    return _dealt(blocks).mapInArrow(run, fields)
+    kind = doubtful.schema["rep"].dataType.simpleString()
+    return _dealt(doubtful).mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def _settled(doubtful: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -336,19 +338,21 @@ def _linked(texts: DataFrame, tables: Tables, size: int, percent: int) -> DataFr
     checked = tables.write(_confirmed(close, texts, size, percent), "checked")
     parts = _grown(None, checked.where("NOT copy"), tables, "starred")
 
-    def blocks(name: str) -> DataFrame:
-        of = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        return _blocks(tables.write(of, f"placed-{name}"), signed)
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    proposed = tables.write(_proposed(blocks("proposed")).distinct(), "proposed")
+    blocks = _blocks(tables.write(with_component(placed).select("key", "rep", "n", "component"), "joined"), signed)
+    doubtful = tables.write(_doubtful(blocks), "doubtful")
+    proposed = tables.write(_proposed(doubtful).distinct(), "proposed")
     if not proposed.isEmpty():
         found = tables.write(_confirmed(proposed, texts, size, percent), "bridges")
         if not found.isEmpty():
             parts = _grown(parts, found, tables, "bridged")
-        doubtful = tables.write(_doubtful(blocks("doubtful")), "doubtful")
+            again = with_component(doubtful.drop("component")).select(doubtful.columns)
+            doubtful = tables.write(_doubtful(again), "still-doubtful")
         found = tables.write(_settled(doubtful, texts, size, percent), "settled")
         if not found.isEmpty():
-            parts = _grown(parts, found, tables, "joined")
+            parts = _grown(parts, found, tables, "grown")
     # copies hang on their representative, which is one join further, not a node of the steps
     copies = checked.where("copy").select(F.col("u").alias("copy"), F.col("v").alias("node"))
     of_copies = copies.join(parts, "node", "left").select(F.col("copy").alias("node"), F.coalesce("component", "node").alias("component"))
