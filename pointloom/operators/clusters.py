@@ -16,21 +16,38 @@ from . import graph, sampling, spatial
 def dbscan(points: DataFrame, eps: float, least: int, same: str | None = None) -> DataFrame:
     """Adds `label`. Core points have `least` points, themselves counted, within eps; core points within eps of each
     other share a cluster; others within eps of a core point join the cluster of the smallest name. With `same`,
-    neighbours must agree in that column."""
-    extra = {"extra": (f"{same}_2",), "extra_left": (same,)} if same else {}
-    right = points.withColumn(f"{same}_2", F.col(same)) if same else points
-    near = spatial.radius_join(points, right, eps, closed=True, **extra)
-    if same:
-        near = near.where(F.col(same) == F.col(f"{same}_2"))
-    near = cut(near.select("scene_id", "left_id", "right_id"))
-    core = cut(near.groupBy("scene_id", "left_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scene_id", "left_id"))
-    ends = near.join(core, ["scene_id", "left_id"], "left_semi")  # from a core point
-    to_core = ends.join(core.withColumnRenamed("left_id", "right_id"), ["scene_id", "right_id"], "left_semi")
-    found = graph.components(to_core.select("scene_id", F.col("left_id").alias("u"), F.col("right_id").alias("v")))
-    reached = ends.join(found.withColumnRenamed("node", "left_id"), ["scene_id", "left_id"]).groupBy("scene_id", F.col("right_id").alias("point_id")).agg(F.min("component").alias("border"))
-    own = found.select("scene_id", F.col("node").alias("point_id"), "component")
-    out = points.join(own, ["scene_id", "point_id"], "left").join(reached, ["scene_id", "point_id"], "left")
-    return out.withColumn("label", F.coalesce("component", "border")).drop("component", "border")
+    neighbours must agree in that column.
+
+    The work is on positions and on cells so small that all of a cell's points are within eps: cells of `least` points are
+    core as wholes, and the core points of a cell are one node of the graph, so that dense places make few pairs."""
+    keys = ("scene_id", same) if same else ("scene_id",)
+    spots = spatial.cells(spatial.positions(points, keys), eps / 3**0.5 * (1 - 1e-6)).withColumnsRenamed({f"i{c}": f"f{c}" for c in "xyz"})
+    spots, cell = cut(spots), [*keys, "fx", "fy", "fz"]
+    full = cut(spots.groupBy(*cell).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select(*cell))
+    dense, sparse = spots.join(full, cell, "left_semi"), spots.join(full, cell, "left_anti")
+    near = _near(sparse, spots.select(*keys, *"xyz", F.col("n").alias("_n")), eps, keys)
+    counts = near.groupBy(*cell, *"xyz").agg(F.sum("_n").alias("_n"), F.first("n").alias("n"), F.first("point_id").alias("point_id"))
+    busy = counts.where(F.col("_n") >= least)
+    core = cut(dense.select(spots.columns).unionByName(busy.select(spots.columns)))
+    nodes = core.groupBy(*cell).agg(F.min("point_id").alias("node"))
+    named = core.join(nodes, cell).select(*keys, *"xyz", "node")
+    pairs = spatial.position_pairs(named, eps, keys, closed=True).where("a.node != b.node")
+    edges = pairs.select("scene_id", F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    found = graph.components(edges.unionByName(nodes.select("scene_id", F.col("node").alias("u"), F.col("node").alias("v"))))
+    owned = cut(named.join(found, ["scene_id", "node"]).select(*keys, *"xyz", F.col("component").alias("label")))
+    rim = sparse.join(owned, [*keys, *"xyz"], "left_anti")
+    border = _near(rim, owned, eps, keys).groupBy(*keys, *"xyz").agg(F.min("label").alias("label"))
+    return points.join(owned.unionByName(border), [*keys, *"xyz"], "left").select(*points.columns, "label")
+
+
+def _near(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...]) -> DataFrame:
+    """left's rows with the other columns of every right row at the radius or nearer; left is copied to the cells around."""
+    spread = spatial.cells(left, radius)
+    for c in "xyz":
+        spread = spread.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"i{c}") - 1, F.col(f"i{c}") + 1)))
+    there = spatial.cells(right, radius).withColumnsRenamed({c: f"{c}2" for c in "xyz"})
+    gap = spatial.length(*[F.col(c) - F.col(f"{c}2") for c in "xyz"])
+    return spread.join(there, [*keys, "ix", "iy", "iz"]).where(gap <= radius).drop("ix", "iy", "iz", "x2", "y2", "z2")
 
 
 def shifted_dbscan(points: DataFrame, offsets: tuple[str, str, str], eps: float, least: int) -> DataFrame:

@@ -30,9 +30,7 @@ def statistical_outliers(points: DataFrame, k: int, ratio: float, cell: float) -
 
 def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
     """Points with more than `least` points, themselves included, strictly within the radius."""
-    pairs = spatial.radius_join(points, points, radius)
-    busy = pairs.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.count("*").alias("neighbours")).where(F.col("neighbours") > least)
-    return points.join(busy, ["scene_id", "point_id"])
+    return spatial.neighbour_counts(points, radius).where(F.col("neighbours") > least)
 
 
 def away_from_median(points: DataFrame, keys: tuple[str, ...], factor: float = 3.5, least: int = 100) -> DataFrame:

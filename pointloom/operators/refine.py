@@ -80,16 +80,17 @@ def peaks(v: np.ndarray, distance: int, height: float) -> list[int]:
     return sorted(kept)
 
 
-def features(points: DataFrame, label: str) -> DataFrame:
-    """scene_id, label, n, centroid, box, lengths along the three principal axes (l1 >= l2 >= l3), and the axes.
+def features(points: DataFrame, label: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """scene_id, label (and more keys), n, mean and box, lengths along the three principal axes (l1 >= l2 >= l3), the axes,
+    and low, the least place along the first axis from the mean.
 
     Covariances are an aggregation; the eigenvectors of one small matrix for each cluster come from a vectorised
     function; lengths are a second aggregation of projections."""
-    known = points.where(F.col(label).isNotNull())
+    known, keys = points.where(F.col(label).isNotNull()), ["scene_id", label, *more]
     names = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
     pairs = [(F.covar_samp(a, b) if a != b else F.var_samp(a)).alias(f"_{a}{b}") for a, b in names]
     ends = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
-    base = known.groupBy("scene_id", label).agg(F.count("*").alias("n"), *ends, *pairs)
+    base = known.groupBy(*keys).agg(F.count("*").alias("n"), *ends, *pairs)
 
     @F.pandas_udf("array<double>")
     def axes(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
@@ -101,53 +102,10 @@ def features(points: DataFrame, label: str) -> DataFrame:
 
     base = base.withColumn("axes", axes(*[f"_{a}{b}" for a, b in names])).drop(*[f"_{a}{b}" for a, b in names])
     base = cut(base)
-    along = lambda k: sum((F.col(c) * F.get("axes", F.lit(3 * k + j)) for j, c in enumerate("xyz")), F.lit(0.0))
-    small = base.select("scene_id", label, "axes")
-    spans = known.join(small, ["scene_id", label]).groupBy("scene_id", label).agg(*[(F.max(along(k)) - F.min(along(k))).alias(f"l{k + 1}") for k in range(3)])
-    return base.join(spans, ["scene_id", label])
-
-
-def split_at_valleys(points: DataFrame, label: str, bins: int = 15, spacing: float = 0.35, valley: float = 0.92, abnormal: float = 0.45, aspect: float = 1.5, least: int = 50, passes: int = 5) -> DataFrame:
-    """Splits elongated clusters at the deepest valley of the density along their first axis, pass by pass.
-
-    A cluster of `least` points or more is abnormal if its length or box exceeds `abnormal`, or its aspect ratio exceeds
-    `aspect` and it is longer than 0.25. It is cut where the least bin between its outer peaks is below `valley` times
-    the lower of them, if both sides keep more than 10 points. The upper side gets a new label."""
-    now = points
-    for _ in range(passes):
-        f = features(now, label).withColumn("_box", F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]))
-        odd = (F.col("n") >= least) & ((F.col("l1") > abnormal) | (F.col("_box") > abnormal) | ((F.try_divide(F.col("l1"), F.col("l2")) > aspect) & (F.col("l1") > 0.25)))
-        chosen = f.where(odd).select("scene_id", label, "axes", "l1")
-        t = sum((F.col(c) * F.get("axes", F.lit(j)) for j, c in enumerate("xyz")), F.lit(0.0))
-        placed = now.join(chosen, ["scene_id", label]).withColumn("_t", t)
-        shape = profiles(placed, ["scene_id", label], "_t", bins, 0.5)
-        apart = F.greatest(F.lit(1), F.floor(F.lit(spacing) / F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-9)))).cast("int")
-
-        @F.pandas_udf("int")
-        def valleys(smooth: pd.Series, distance: pd.Series) -> pd.Series:
-            return pd.Series([_valley(np.asarray(v, float), int(k), valley) for v, k in zip(smooth, distance)], dtype="Int32")
-
-        cuts = shape.withColumn("_at", valleys("smooth", apart)).where(F.col("_at").isNotNull())
-        cuts = cuts.select("scene_id", label, (F.col("low") + (F.col("_at") + 0.5) * (F.col("high") - F.col("low")) / bins).alias("_cut"))
-        sides = placed.join(cuts, ["scene_id", label]).groupBy("scene_id", label, "_cut").agg(F.count_if(F.col("_t") > F.col("_cut")).alias("_up"), F.count_if(F.col("_t") <= F.col("_cut")).alias("_low"))
-        good = sides.where("_up > 10 AND _low > 10")
-        top = now.groupBy("scene_id").agg(F.max(label).alias("_top"))
-        fresh = good.join(top, "scene_id").withColumn("_new", F.col("_top") + F.row_number().over(W.partitionBy("scene_id").orderBy(label)))
-        fresh = cut(fresh.join(chosen.select("scene_id", label, "axes"), ["scene_id", label]).select("scene_id", label, "_cut", "_new", "axes"))
-        if fresh.isEmpty():
-            break
-        moved = now.join(fresh, ["scene_id", label], "left")
-        now = cut(moved.withColumn(label, F.when(t > F.col("_cut"), F.col("_new")).otherwise(F.col(label))).select(points.columns))
-    return now
-
-
-def _valley(v: np.ndarray, distance: int, ratio: float) -> int | None:
-    found = peaks(v, distance, 0.1)
-    if len(found) < 2:
-        return None
-    a, b = found[0], found[-1]
-    at = a + int(np.argmin(v[a : b + 1]))
-    return at if v[at] / (min(v[a], v[b]) + 1e-6) < ratio else None
+    along = lambda k: sum(((F.col(c) - F.col(f"mean_{c}")) * F.get("axes", F.lit(3 * k + j)) for j, c in enumerate("xyz")), F.lit(0.0))
+    small = base.select(*keys, "axes", *[f"mean_{c}" for c in "xyz"])
+    spans = known.join(small, keys).groupBy(*keys).agg(*[(F.max(along(k)) - F.min(along(k))).alias(f"l{k + 1}") for k in range(3)], F.min(along(0)).alias("low"))
+    return base.join(spans, keys)
 
 
 def relabelled(points: DataFrame, label: str, edges: DataFrame) -> DataFrame:
@@ -158,14 +116,13 @@ def relabelled(points: DataFrame, label: str, edges: DataFrame) -> DataFrame:
 
 
 def merge_fragments(points: DataFrame, label: str, short: float = 0.15, distance: float = 0.20, angle: float = 25.0) -> DataFrame:
-    """Each short cluster joins the nearest other one within the distance whose first axis differs by less than the angle."""
-    f = features(points, label).select("scene_id", F.col(label).alias("u"), "l1", *[F.col(f"mean_{c}") for c in "xyz"], F.slice("axes", 1, 3).alias("axis"))
-    b = f.select("scene_id", F.col("u").alias("v"), *[F.col(f"mean_{c}").alias(f"_{c}") for c in "xyz"], F.col("axis").alias("_axis"))
-    gap = spatial.length(*[F.col(f"mean_{c}") - F.col(f"_{c}") for c in "xyz"])
+    """Each short cluster joins the nearest other one (the smaller label on ties) whose centre is within the distance and
+    whose first axis differs by less than the angle; joins are transitive. Centres meet by cells."""
+    f = cut(features(points, label).select("scene_id", F.col(label).alias("point_id"), "l1", *[F.col(f"mean_{c}").alias(c) for c in "xyz"], F.slice("axes", 1, 3).alias("axis")))
+    near = spatial.radius_join(f.where(F.col("l1") <= short), f.withColumn("_axis", F.col("axis")), distance, extra=("_axis",), extra_left=("axis",), closed=True)
     dot = F.abs(F.aggregate(F.zip_with("axis", "_axis", lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x))
-    pairs = f.join(b, "scene_id").where((F.col("u") != F.col("v")) & (F.col("l1") <= short)).withColumn("_gap", gap)
-    close = pairs.where((F.col("_gap") <= distance) & (F.degrees(F.acos(F.least(dot, F.lit(1.0)))) < angle))
-    best = close.groupBy("scene_id", "u").agg(F.min(F.struct("_gap", "v")).alias("b")).select("scene_id", "u", F.col("b.v").alias("v"))
+    close = near.where((F.col("left_id") != F.col("right_id")) & (F.degrees(F.acos(F.least(dot, F.lit(1.0)))) < angle))
+    best = close.groupBy("scene_id", F.col("left_id").alias("u")).agg(F.min(F.struct("distance", "right_id"))["right_id"].alias("v"))
     return relabelled(points, label, best)
 
 
@@ -185,22 +142,23 @@ def merge_stacked(points: DataFrame, label: str, flat: float = 0.20, rise: float
 
 
 def clean_up(points: DataFrame, label: str, discard: int, merge: int, cap: float) -> DataFrame:
-    """Clusters under `discard` points become null; those under `merge` go to the nearest larger cluster's centroid if it is
-    within the cap, else stay."""
-    f = points.where(F.col(label).isNotNull()).groupBy("scene_id", label).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"_{c}") for c in "xyz"])
+    """Clusters under `discard` points become null; those under `merge` go to the nearest larger cluster's centre if it is
+    within the cap (the smaller label on ties), else stay. Centres meet by cells."""
+    f = points.where(F.col(label).isNotNull()).groupBy("scene_id", F.col(label).alias("point_id")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"])
     small, big = f.where((F.col("n") >= discard) & (F.col("n") < merge)), f.where(F.col("n") >= merge)
-    b = big.select("scene_id", F.col(label).alias("to"), *[F.col(f"_{c}").alias(f"b{c}") for c in "xyz"])
-    gap = spatial.length(*[F.col(f"_{c}") - F.col(f"b{c}") for c in "xyz"])
-    best = small.join(b, "scene_id").withColumn("gap", gap).where(F.col("gap") <= cap).groupBy("scene_id", label).agg(F.min(F.struct("gap", "to"))["to"].alias("to"))
-    plan = f.select("scene_id", label, (F.col("n") < discard).alias("_gone")).join(best, ["scene_id", label], "left")
+    near = spatial.radius_join(small, big, cap, closed=True)
+    best = near.groupBy("scene_id", F.col("left_id").alias(label)).agg(F.min(F.struct("distance", "right_id"))["right_id"].alias("to"))
+    plan = f.select("scene_id", F.col("point_id").alias(label), (F.col("n") < discard).alias("_gone")).join(best, ["scene_id", label], "left")
     out = points.join(plan, ["scene_id", label], "left")
     return out.withColumn(label, F.when(F.col("_gone"), None).otherwise(F.coalesce("to", label))).select(points.columns)
 
 
-def reassign_by_votes(points: DataFrame, label: str, merge: int, k: int, cell: float, eps: float = 1e-6) -> DataFrame:
-    """Points of clusters under `merge` points take the label with the largest sum of 1 / (distance + eps) over the k nearest
-    points of larger clusters (the smaller label on ties)."""
+def reassign_by_votes(points: DataFrame, label: str, merge: int, k: int, cell: float, eps: float = 1e-6, short: float = 0.0) -> DataFrame:
+    """Points of clusters under `merge` points, or shorter than `short` along their first axis, take the label with the
+    largest sum of 1 / (distance + eps) over the k nearest points of the other clusters (the smaller label on ties)."""
     n = points.where(F.col(label).isNotNull()).groupBy("scene_id", label).agg(F.count("*").alias("_n"))
+    if short > 0:
+        n = n.join(features(points, label).select("scene_id", label, "l1"), ["scene_id", label]).withColumn("_n", F.when(F.col("l1") < short, 0).otherwise(F.col("_n"))).drop("l1")
     sized = points.join(n, ["scene_id", label])
     near = spatial.knn_join(sized.where(F.col("_n") < merge), sized.where(F.col("_n") >= merge).withColumn("to", F.col(label)), k, cell, extra=("to",))
     votes = near.groupBy("scene_id", "left_id", "to").agg(F.sum(1.0 / (F.col("distance") + eps)).alias("w"))

@@ -1,7 +1,9 @@
 """Range and nearest-neighbour joins over points, keyed by grid cells so that Spark plans them as equi-joins.
 
 A radius join uses cells of the radius' size: each right row goes to its 27 surrounding cells, and the pair is tested
-after the equi-join on scene and cell. Distances are strict (< radius). A k-nearest join searches cells of one size,
+after the equi-join on scene and cell. Distances are strict (< radius). Joins of a table with itself take half of the
+cells around and each pair once, over positions instead of points: points that share a position are one row with a count,
+so that repeated points make no pairs. A k-nearest join searches cells of a size that follows each scene's density,
 accepts the queries whose k-th candidate is nearer than the cell size (nothing outside the searched cells can be
 nearer), and repeats with cells of four times the size for the rest.
 """
@@ -59,26 +61,76 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "x
     return _candidates(a, b, radius, axes).where(near).select("scene_id", "left_id", "right_id", "distance", *extra_left, *extra)
 
 
+#: The own cell and the half of the cells around it that come later in order.
+_HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)]
+
+
+def positions(points: DataFrame, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
+    """keys, x, y, z, n (points there) and point_id (the smallest)."""
+    return points.groupBy(*keys, *"xyz").agg(F.count("*").alias("n"), F.min("point_id").alias("point_id"))
+
+
+def position_pairs(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("scene_id",), closed: bool = False) -> DataFrame:
+    """keys, a and b (structs of a position's other columns) and distance of every two positions within the radius, once."""
+    rest = [c for c in spots.columns if c not in keys]
+    placed = cells(spots, radius)
+    around = F.array(*[F.struct(*[(F.col(f"i{c}") + d).alias(f"i{c}") for c, d in zip("xyz", step)], F.lit(step == (0, 0, 0)).alias("own")) for step in _HALF])
+    left = placed.select(*keys, F.struct(*rest).alias("a"), F.inline(around))
+    right = placed.select(*keys, F.struct(*rest).alias("b"), "ix", "iy", "iz")
+    place = lambda side: F.struct(*[f"{side}.{c}" for c in "xyz"])
+    pairs = left.join(right, [*keys, "ix", "iy", "iz"]).where(~F.col("own") | (place("a") < place("b")))
+    pairs = pairs.withColumn("distance", length(*[F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]))
+    return pairs.where(F.col("distance") <= radius if closed else F.col("distance") < radius).select(*keys, "a", "b", "distance")
+
+
+def neighbour_counts(points: DataFrame, radius: float, keys: tuple[str, ...] = ("scene_id",), closed: bool = False) -> DataFrame:
+    """points with `neighbours`, the number of points within the radius, the point itself counted; no pair of points is made."""
+    spots = positions(points, keys).drop("point_id")
+    both = F.array(F.struct(F.col("a.x").alias("x"), F.col("a.y").alias("y"), F.col("a.z").alias("z"), F.col("b.n").alias("n")), F.struct("b.x", "b.y", "b.z", "a.n"))
+    others = position_pairs(spots, radius, keys, closed).select(*keys, F.inline(both))
+    counts = others.unionByName(spots).groupBy(*keys, *"xyz").agg(F.sum("n").alias("neighbours"))
+    return points.join(counts, [*keys, *"xyz"], "left")
+
+
+def _first_sizes(right: DataFrame, k: int, cell: float, axes: str) -> DataFrame:
+    """scene_id, _all (right rows) and _size, the cell in which about three times k points of mean density are searched,
+    `cell` at most."""
+    spans = right.groupBy("scene_id").agg(F.count("*").alias("_all"), *[(F.max(f"{c}2") - F.min(f"{c}2")).alias(f"_{c}") for c in axes])
+    wide = sum((F.when(F.col(f"_{c}") > 0, 1.0).otherwise(0.0) for c in axes), F.lit(0.0))
+    volume = F.lit(1.0)
+    for c in axes:
+        volume = volume * F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")).otherwise(1.0)
+    size = F.pow(volume * (3.0 * k / 4.2) / F.col("_all"), F.try_divide(F.lit(1.0), wide))
+    return spans.select("scene_id", "_all", F.least(F.lit(cell), F.greatest(F.coalesce(size, F.lit(cell)), F.lit(cell / 4096))).alias("_size"))
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:
     """scene_id, left_id, right_id, distance and rank (1 to k by distance, then right_id) of the nearest right points.
 
-    Scenes with fewer than k right points give all that they have. Right rows are counted once per scene so that a
-    query with every point of its scene among its candidates is done as well.
+    cell: the largest cell of the first search; dense scenes take smaller ones. Scenes with fewer than k right points give
+    all that they have: a query with every point of its scene among its candidates is done as well.
     """
     a, b = _sides(left, right, extra)
-    sizes = b.groupBy("scene_id").agg(F.count("*").alias("_all"))
-    rest, size, done = a.join(sizes, "scene_id"), cell, None
+    sizes = cut(_first_sizes(b, k, cell, axes))
+    rest, done, growth = a, None, 1.0
     by = W.partitionBy("scene_id", "left_id").orderBy("distance", "right_id")
+    keys = ["scene_id", *[f"i{c}" for c in axes]]
     while True:
-        found = _candidates(rest, b, size, axes).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        state = found.groupBy("scene_id", "left_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n"), F.first("_all").alias("_all"))
-        settled = state.where(((F.col("_n") == k) & (F.col("_far") < size)) | (F.col("_n") == F.col("_all"))).select("scene_id", "left_id")
+        now = sizes.withColumn("_size", F.col("_size") * growth)
+        placed = lambda df, mark: df.join(now, "scene_id").withColumns({f"i{c}": F.floor(F.col(f"{c}{mark}") / F.col("_size")) for c in axes})
+        spread = placed(b, "2").drop("_size", "_all")
+        for c in axes:
+            spread = spread.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"i{c}") - 1, F.col(f"i{c}") + 1)))
+        pairs = placed(rest, "").join(spread, keys).withColumn("distance", length(*[F.col(c) - F.col(f"{c}2") for c in axes]))
+        found = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        state = found.groupBy("scene_id", "left_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n"), F.first("_all").alias("_all"), F.first("_size").alias("_size"))
+        settled = state.where(((F.col("_n") == k) & (F.col("_far") < F.col("_size"))) | (F.col("_n") == F.col("_all"))).select("scene_id", "left_id")
         good = cut(found.join(settled, ["scene_id", "left_id"], "left_semi").select("scene_id", "left_id", "right_id", "distance", "rank", *extra))
         done = good if done is None else done.unionByName(good)
-        rest = cut(rest.join(good.select("scene_id", "left_id").distinct(), ["scene_id", "left_id"], "left_anti"))
+        rest = cut(rest.join(good.select("scene_id", "left_id").distinct(), ["scene_id", "left_id"], "left_anti").join(sizes.select("scene_id"), "scene_id", "left_semi"))
         if rest.isEmpty():
             return done
-        size *= 4
+        growth *= 4
 
 
 def nearest_join(left: DataFrame, right: DataFrame, cell: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -110,15 +162,25 @@ def tiles(points: DataFrame, size: float, stride: float, least: int = 1) -> Data
     return out
 
 
+def _anchored_numbers(at: Column, low: Column, high: Column, size: float, stride: float) -> Column:
+    """Numbers of the tiles that hold a place; the last tile ends at high."""
+    last = F.greatest(F.lit(0), F.ceil((high - low - size) / stride)).cast("int")
+    # one number more at both sides, for rounding
+    first = F.least(last, F.greatest(F.lit(0), F.floor((at - low - size) / stride)).cast("int"))
+    end = F.greatest(first, F.least(last, F.floor((at - low) / stride).cast("int") + 1))
+
+    def inside(k: Column) -> Column:
+        begin = F.greatest(low, F.least(low + k * stride, high - size))
+        return at.between(begin, begin + size)
+
+    return F.filter(F.array_distinct(F.array_append(F.sequence(first, end), last)), inside)
+
+
 def anchored_tiles(points: DataFrame, size: float, stride: float) -> DataFrame:
-    """Tiles whose last one is moved back so that it ends at the scene's maximum; closed at both ends."""
+    """Tiles whose last one is moved back so that it ends at the scene's maximum; closed at both ends. The numbers of a
+    point's tiles follow from its place."""
     box = points.groupBy("scene_id").agg(*[f(c).alias(f"_{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])
-    anchors = box
+    out = points.join(box, "scene_id")
     for c in "xy":
-        lo, hi = F.col(f"_lo{c}"), F.col(f"_hi{c}")
-        steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((hi - lo - size) / stride)).cast("int"))
-        anchors = anchors.withColumn(f"tile_{c}", F.explode(steps))
-        anchors = anchors.withColumn(f"_at{c}", F.greatest(lo, F.least(lo + F.col(f"tile_{c}") * stride, hi - size)))
-    anchors = anchors.select("scene_id", "tile_x", "tile_y", "_atx", "_aty")
-    inside = [F.col(c).between(F.col(f"_at{c}"), F.col(f"_at{c}") + size) for c in "xy"]
-    return points.join(anchors, "scene_id").where(inside[0] & inside[1]).drop("_atx", "_aty")
+        out = out.withColumn(f"tile_{c}", F.explode(_anchored_numbers(F.col(c), F.col(f"_lo{c}"), F.col(f"_hi{c}"), size, stride)))
+    return out.drop("_lox", "_loy", "_hix", "_hiy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
-from pointloom.operators import clusters, filters, ground, labels, refine, spatial, traits
+from pointloom.operators import clusters, filters, ground, labels, refine, spatial, splits, traits
 from pointloom.views import view
 
 from .join_queries import _NEAR
@@ -58,12 +58,12 @@ def cl4(spark, d):
 
 @query("cl5_grid_mean_shift")
 def cl5(spark, d):
-    return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4, most_rounds=6))
+    return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4))
 
 
 @query("cl6_k_means")
 def cl6(spark, d):
-    return _sizes(clusters.k_means(_events(spark, d), 6, 5))
+    return _sizes(clusters.k_means(_events(spark, d), 6))
 
 
 @query("cl8_summaries")
@@ -73,7 +73,7 @@ def cl8(spark, d):
 
 @query("cl9_mean_shift")
 def cl9(spark, d):
-    return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4, least=5, most_rounds=6))
+    return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4, least=5))
 
 
 @query("cl10_linked_neighbours")
@@ -174,7 +174,29 @@ def jn14(spark, d):
 
 @query("rf1_skeleton_split")
 def rf1(spark, d):
-    return _sizes(refine.split_at_valleys(_labelled(spark, d), "label", passes=2))
+    return _sizes(splits.split(_labelled(spark, d), "label"))
+
+
+@query("rf2_recursive_cuts")
+def rf2(spark, d):
+    """One pass of recursive cuts of every cluster, with the path of each part."""
+    e = _labelled(spark, d).withColumn("spacing", F.lit(0.35))
+    return splits.parts(e, "label", splits.Rule()).groupBy("scene_id", "label", "path").agg(F.count("*").alias("n"))
+
+
+@query("rf3_dynamic_spacing")
+def rf3(spark, d):
+    return _sizes(splits.split(_labelled(spark, d), "label", splits.Rule(spacing=6.0), dynamic=True, longest=0.6, least_points=20))
+
+
+@query("rf4_horizontal_split")
+def rf4(spark, d):
+    return _sizes(splits.split(_labelled(spark, d), "label", splits.Rule("horizontal"), every=True))
+
+
+@query("rf16_legacy_split")
+def rf16(spark, d):
+    return _sizes(splits.split(_labelled(spark, d), "label", splits.Rule("legacy", valley=0.9, diameter=0.5, aspect=2.0)))
 
 
 @query("rf5_merge_fragments")
@@ -226,7 +248,7 @@ def rf10(spark, d):
 @query("rf11_foreground_fill")
 def rf11(spark, d):
     e = _labelled(spark, d).withColumn("label", F.when(F.col("inst") > 2, F.col("label")))
-    return _sizes(refine.filled(e, "label", 0.1, 3))
+    return _sizes(refine.filled(e, "label", 0.1))
 
 
 @query("rf12_post_stage_chain")
@@ -244,7 +266,7 @@ def post_stages(points, discard: int, least: int, radius: float):
 
 @query("rf13_refine_external_labels")
 def rf13(spark, d):
-    out = refine.split_at_valleys(_labelled(spark, d), "label", passes=1)
+    out = splits.split(_labelled(spark, d), "label")
     return _sizes(post_stages(refine.merge_fragments(out, "label", 0.5, 0.5, 30.0), 10, 20, 0.2))
 
 
@@ -252,7 +274,7 @@ def rf13(spark, d):
 def rf14(spark, d):
     """Labels with the split alone, with the merge alone, and with neither."""
     e = _labelled(spark, d)
-    arms = {"base": e, "split": refine.split_at_valleys(e, "label", passes=1), "merge": refine.merge_fragments(e, "label", 10.0, 3.0, 80.0)}
+    arms = {"base": e, "split": splits.split(e, "label"), "merge": refine.merge_fragments(e, "label", 10.0, 3.0, 80.0)}
     out = None
     for name, arm in arms.items():
         counted = arm.groupBy("scene_id").agg(F.count_distinct("label").alias("clusters")).withColumn("arm", F.lit(name))
@@ -291,13 +313,13 @@ def rf18(spark, d):
 
 @query("gd1_ground_plane")
 def gd1(spark, d):
-    return rounded(ground.plane(view(spark, d, "points").where("z < 0.35"), share=0.3, tries=60))
+    return rounded(ground.plane(view(spark, d, "points"), share=0.3))
 
 
 @query("gd2_plane_segmentation")
 def gd2(spark, d):
     p = view(spark, d, "points")
-    return ground.without_ground(p, "plane", tries=60).groupBy("scene_id").agg(F.count("*").alias("kept"))
+    return ground.without_ground(p, "plane", share=1.0, tries=1000).groupBy("scene_id").agg(F.count("*").alias("kept"))
 
 
 _TERRAIN = """

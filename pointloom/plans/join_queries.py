@@ -64,7 +64,9 @@ def jn4b(spark, d):
 @query("jn5_radius_join", f"SELECT a.scene_id, count(*) AS pairs, round(sum({_D3}), 4) AS distance FROM event_points a JOIN event_points b ON a.scene_id = b.scene_id AND {_D3} < 0.1 GROUP BY ALL")
 def jn5(spark, d):
     e = view(spark, d, "event_points")
-    return rounded(spatial.radius_join(e, e, 0.1).groupBy("scene_id").agg(F.count("*").alias("pairs"), F.sum("distance").alias("distance")), 4)
+    both = spatial.position_pairs(spatial.positions(e), 0.1).withColumn("n", 2 * F.col("a.n") * F.col("b.n")).select("scene_id", "n", "distance")
+    own = spatial.positions(e).select("scene_id", (F.col("n") * F.col("n")).alias("n"), F.lit(0.0).alias("distance"))
+    return rounded(both.unionByName(own).groupBy("scene_id").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("distance")).alias("distance")), 4)
 
 
 @query("jn6_ball_query", f"""
@@ -72,15 +74,15 @@ SELECT a.scene_id, a.point_id AS left_id, count(*) AS n FROM points a JOIN point
 AND b.x BETWEEN a.x - 0.06 AND a.x + 0.06 AND {_D3} < 0.05 GROUP BY ALL""")
 def jn6(spark, d):
     p = view(spark, d, "points")
-    return spatial.radius_join(p, p, 0.05).groupBy("scene_id", "left_id").agg(F.count("*").alias("n"))
+    return spatial.neighbour_counts(p, 0.05).groupBy("scene_id", F.col("point_id").alias("left_id")).agg(F.sum("neighbours").alias("n"))
 
 
 @query("jn7_batched_ball_query", f"""
 SELECT a.scene_id, a.inst, count(*) AS pairs FROM event_points a JOIN event_points b ON a.scene_id = b.scene_id AND a.inst = b.inst AND {_D3} < 0.2 GROUP BY ALL""")
 def jn7(spark, d):
     e = view(spark, d, "event_points")
-    batch = e.withColumn("scene", F.col("scene_id")).withColumn("scene_id", F.struct("scene_id", "inst"))
-    return spatial.radius_join(batch, batch, 0.2).groupBy("scene_id").agg(F.count("*").alias("pairs")).select("scene_id.scene_id", "scene_id.inst", "pairs")
+    counted = spatial.neighbour_counts(e, 0.2, ("scene_id", "inst"))
+    return counted.groupBy("scene_id", "inst").agg(F.sum("neighbours").alias("pairs"))
 
 
 @query("jn8_point_in_tile", """
@@ -125,12 +127,12 @@ def jn11(spark, d):
     return rounded(graph.overlaps(view(spark, d, "proposals")))
 
 
-_BOX = "SELECT scene_id, gt_inst, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, count(*) AS n FROM points WHERE r < 0.01 AND g < 0.03 GROUP BY ALL"
+_BOX = "SELECT scene_id, gt_inst, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, count(*) AS n FROM points GROUP BY ALL"
 
 
 def _boxes(spark, d):
     ends = [f(c).alias(f"{c}{k}") for c in "xyz" for f, k in ((F.min, 0), (F.max, 1))]
-    return view(spark, d, "points").where("r < 0.01 AND g < 0.03").groupBy("scene_id", "gt_inst").agg(*ends, *[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count("*").alias("n"))
+    return view(spark, d, "points").groupBy("scene_id", "gt_inst").agg(*ends, *[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count("*").alias("n"))
 
 
 @query("jn12_box_overlap", f"""
@@ -163,11 +165,9 @@ def jn13(spark, d):
 WITH q AS ({_BOX}), t AS (SELECT p.scene_id, p.point_id, q.gt_inst, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d FROM points p JOIN q ON p.scene_id = q.scene_id)
 SELECT scene_id, gt_inst, count(*) AS n FROM (SELECT * FROM t WHERE d < 0.8 QUALIFY row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d, gt_inst) = 1) GROUP BY ALL""")
 def jn15(spark, d):
-    p, q = view(spark, d, "points"), _boxes(spark, d).select("scene_id", F.col("gt_inst").alias("to"), "cx", "cy", "cz")
-    far = spatial.length(*[F.col(c) - F.col(f"c{c}") for c in "xyz"])
-    # centroids are a row for each cluster: the join is on the scene, and the best one is an aggregate of the point
-    best = p.select("scene_id", "point_id", *"xyz").join(q, "scene_id").withColumn("d", far).where("d < 0.8").groupBy("scene_id", "point_id").agg(F.min(F.struct("d", "to")).alias("b"))
-    return best.groupBy("scene_id", F.col("b.to").alias("gt_inst")).agg(F.count("*").alias("n"))
+    p, q = view(spark, d, "points"), _boxes(spark, d).select("scene_id", F.col("gt_inst").alias("point_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    best = spatial.nearest_join(p, q, 1.0).where("distance < 0.8")
+    return best.groupBy("scene_id", F.col("right_id").alias("gt_inst")).agg(F.count("*").alias("n"))
 
 
 _PAIR = """
@@ -190,12 +190,12 @@ def jn16(spark, d):
 
 @query("jn17_registry_left_join", """
 WITH reg AS (SELECT scene_id, gt_inst, count(*) AS gt_points FROM points WHERE gt_inst > 0 GROUP BY ALL),
-m AS (SELECT scene_id, gt_inst, count(*) AS n FROM points WHERE gt_inst > 0 AND pred_inst = gt_inst AND x < 0.6 AND y < 0.1 GROUP BY ALL)
+m AS (SELECT scene_id, gt_inst, count(*) AS n FROM points WHERE gt_inst > 0 AND base_inst = gt_inst AND base_inst > 3 GROUP BY ALL)
 SELECT reg.scene_id, reg.gt_inst, gt_points, coalesce(n, 0) AS matched, m.gt_inst AS pred FROM reg LEFT JOIN m ON reg.scene_id = m.scene_id AND reg.gt_inst = m.gt_inst""")
 def jn17(spark, d):
     p = view(spark, d, "points").where("gt_inst > 0")
     reg = p.groupBy("scene_id", "gt_inst").agg(F.count("*").alias("gt_points"))
-    m = p.where("pred_inst = gt_inst AND x < 0.6 AND y < 0.1").groupBy("scene_id", "gt_inst").agg(F.count("*").alias("n")).withColumn("pred", F.col("gt_inst"))
+    m = p.where("base_inst = gt_inst AND base_inst > 3").groupBy("scene_id", "gt_inst").agg(F.count("*").alias("n")).withColumn("pred", F.col("gt_inst"))
     return reg.join(m, ["scene_id", "gt_inst"], "left").select("scene_id", "gt_inst", "gt_points", F.coalesce("n", F.lit(0)).alias("matched"), "pred")
 
 

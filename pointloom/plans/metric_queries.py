@@ -36,11 +36,11 @@ def ag3(spark, d):
 
 
 @query("ag4_pooling", """
-SELECT p.scene_id, p.proposal_id, round(avg(f), 6) AS mean, max(f) AS most, arg_max(point_id, f * 1000000 - point_id) AS at FROM (SELECT *, (point_id * 7 % 31) AS f FROM proposals) p GROUP BY ALL""")
+SELECT p.scene_id, p.proposal_id, round(avg(f), 6) AS mean, max(f) AS most, arg_max(point_id, f * 1000000 - point_id) AS most_at FROM (SELECT *, (point_id * 7 % 31) AS f FROM proposals) p GROUP BY ALL""")
 def ag4(spark, d):
     p = view(spark, d, "proposals").withColumn("f", F.col("point_id") * 7 % 31)
     best = F.max(F.struct("f", (-F.col("point_id")).alias("i")))
-    return p.groupBy("scene_id", "proposal_id").agg(F.round(F.avg("f"), 6).alias("mean"), F.max("f").alias("most"), (-best["i"]).alias("at"))
+    return p.groupBy("scene_id", "proposal_id").agg(F.round(F.avg("f"), 6).alias("mean"), F.max("f").alias("most"), (-best["i"]).alias("most_at"))
 
 
 @query("ag5_percentiles", """

@@ -264,17 +264,17 @@ def prj3(spark, d):
 
 @query("prj4_renumber", """
 SELECT scene_id, CAST(dense_rank() OVER (PARTITION BY scene_id ORDER BY gt_inst) AS INT) AS gt_inst, n
-FROM (SELECT scene_id, gt_inst, count(*) AS n FROM points WHERE gt_inst % 3 <> 1 GROUP BY ALL)""")
+FROM (SELECT scene_id, gt_inst, count(*) AS n FROM points GROUP BY ALL)""")
 def prj4(spark, d):
-    out = labels.renumbered(view(spark, d, "points").where("gt_inst % 3 <> 1"), "gt_inst", 1)
+    out = labels.renumbered(view(spark, d, "points"), "gt_inst", 1)
     return out.groupBy("scene_id", "gt_inst").agg(F.count("*").alias("n"))
 
 
 @query("prj5_centroid_offsets", """
 WITH i AS (SELECT scene_id, gt_inst, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, min(x) AS nx, max(x) AS hx FROM points GROUP BY ALL)
-SELECT p.scene_id, p.gt_inst, round(avg(abs(mx - x)), 5) AS dx, round(avg(abs(my - y)), 5) AS dy, round(avg(abs(mz - z)), 5) AS dz, round(max(hx - nx), 5) AS width
+SELECT p.scene_id, p.gt_inst, round(avg(abs(mx - x)), 3) AS dx, round(avg(abs(my - y)), 3) AS dy, round(avg(abs(mz - z)), 3) AS dz, round(max(hx - nx), 3) AS width
 FROM points p JOIN i ON p.scene_id = i.scene_id AND p.gt_inst = i.gt_inst GROUP BY ALL""")
 def prj5(spark, d):
     out = labels.centroid_offsets(view(spark, d, "points"), "gt_inst")
     mean = [F.avg(F.abs(f"offset_{c}")).alias(f"d{c}") for c in "xyz"]
-    return rounded(out.groupBy("scene_id", "gt_inst").agg(*mean, F.max(F.col("max_x") - F.col("min_x")).alias("width")), 5)
+    return rounded(out.groupBy("scene_id", "gt_inst").agg(*mean, F.max(F.col("max_x") - F.col("min_x")).alias("width")), 3)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pointloom.functions import rle
-from pointloom.operators import clusters, graph, labels, match, refine, sampling, spatial, statistics, traits
+from pointloom.operators import clusters, graph, labels, match, refine, sampling, spatial, splits, statistics, traits
 from pointloom.plans import catalog
 from pointloom.sources import readers
 
@@ -138,7 +138,7 @@ def test_split_cuts_a_dumbbell_once(spark):
     rng = np.random.default_rng(1)
     pts = np.concatenate([rng.normal((0, 0, 0), 0.08, (150, 3)), rng.normal((1.0, 0, 0), 0.08, (150, 3))])
     df = spark.createDataFrame([(0, k, *map(float, p), 1) for k, p in enumerate(pts)], "scene_id int, point_id long, x double, y double, z double, label long")
-    sides = {r["point_id"]: r["label"] for r in refine.split_at_valleys(df, "label", passes=3).collect()}
+    sides = {r["point_id"]: r["label"] for r in splits.split(df, "label").collect()}
     assert len(set(sides.values())) == 2 and len({sides[k] for k in range(150)}) == 1 and len({sides[k] for k in range(150, 300)}) == 1
 
 
