@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from pointloom.llm import lines, minhash, substrings
+from pointloom.llm import components, lines, minhash, substrings
+from pointloom.llm.common import Tables
 
 from .brute import groups, repeats
 from .conftest import SF
@@ -130,6 +131,20 @@ def test_minhash_takes_clashing_names(spark, name):
     assert minhash.one_of_each(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("hub", [5000, 3])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hub, tmp_path):
+    monkeypatch.setattr(components, "HUB", hub)
+    rng = random.Random(2)
+    edges = [("a", i, i + 1) for i in range(40)] + [("b", 7, i) for i in range(200)] + [("b", 1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)] + [("a", None, 3), ("a", 9, 9)]
+    found = components.components(spark.createDataFrame(edges, "g string, u long, v long").repartition(3), Tables(spark, "test"), "c").collect()
+    root = {(g, x): x for g, u, v in edges if u is not None and u != v for x in (u, v)}
+    for _ in edges:
+        for g, u, v in edges:
+            if u is not None and u != v:
+                root[g, u] = root[g, v] = min(root[g, u], root[g, v])
+    assert {(r["g"], r["node"]): r["component"] for r in found} == root and len(found) == len(root)
+
+
 def test_minhash_odd_rows(spark, odd, nothing):
     found = minhash.link(odd, size=2)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
