@@ -36,6 +36,14 @@ l AS (SELECT n.v AS point_id, min(cc.component) AS border FROM near n JOIN cc ON
 f AS (SELECT s.scene_id, s.point_id, coalesce(cc.component, l.border) AS label FROM s LEFT JOIN cc ON cc.node = s.point_id LEFT JOIN l ON l.point_id = s.point_id)"""
 
 
+_CC_POINTS = """
+cc(scene_id, node, component) USING KEY (scene_id, node) AS (
+  SELECT scene_id, node, node FROM nodes
+  UNION
+  SELECT e.scene_id, e.u, min(c.component) FROM e JOIN cc c ON c.scene_id = e.scene_id AND c.node = e.v
+  JOIN recurring.cc o ON o.scene_id = e.scene_id AND o.node = e.u WHERE c.component < o.component GROUP BY e.scene_id, e.u)"""
+
+
 @query("cl1_euclidean", dbscan_sql(0.12, 8).strip() + " SELECT scene_id, label, count(*) AS n FROM f GROUP BY ALL")
 def cl1(spark, d):
     return _sizes(clusters.dbscan(_events(spark, d), 0.12, 8))
@@ -66,7 +74,12 @@ def cl6(spark, d):
     return _sizes(clusters.k_means(_events(spark, d), 6))
 
 
-@query("cl8_summaries")
+@query("cl8_summaries", f"""
+WITH RECURSIVE p AS (SELECT *, floor(x / 0.1) AS ix, floor(y / 0.1) AS iy, floor(z / 0.1) AS iz FROM event_points),
+nodes AS (SELECT scene_id, ix, iy, iz, min(point_id) AS node, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL),
+e AS (SELECT a.scene_id, a.node AS u, b.node AS v FROM nodes a JOIN nodes b ON a.scene_id = b.scene_id AND {_D3} < 0.2),{_CC_POINTS}
+SELECT p.scene_id, component AS label, count(*) AS n FROM p JOIN nodes n ON p.scene_id = n.scene_id AND p.ix = n.ix AND p.iy = n.iy AND p.iz = n.iz
+JOIN cc ON cc.scene_id = n.scene_id AND cc.node = n.node GROUP BY ALL""")
 def cl8(spark, d):
     return _sizes(clusters.summarised(_events(spark, d), 0.1, 0.2))
 
@@ -76,7 +89,11 @@ def cl9(spark, d):
     return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4, least=5))
 
 
-@query("cl10_linked_neighbours")
+@query("cl10_linked_neighbours", f"""
+WITH RECURSIVE {_NEAR.format(d=_D3, on='').strip()},
+k AS (SELECT * FROM n WHERE rank <= 5 AND distance <= 0.12), nodes AS (SELECT scene_id, point_id AS node FROM event_points),
+e AS (SELECT scene_id, left_id AS u, right_id AS v FROM k UNION SELECT scene_id, right_id, left_id FROM k),{_CC_POINTS}
+SELECT scene_id, component AS label, count(*) AS n FROM cc GROUP BY ALL""")
 def cl10(spark, d):
     return _sizes(clusters.linked(_events(spark, d), 5, 0.4, 0.12))
 
@@ -118,14 +135,23 @@ def cl16(spark, d):
     return _sizes(clusters.ball_components(_events(spark, d), 0.25, 5, "inst"), "inst")
 
 
-@query("cl17_soft_groups")
+@query("cl17_soft_groups", f"""
+WITH RECURSIVE s AS (SELECT scene_id || '/' || c AS scene_id, scene_id AS scene, CAST(c AS INT) AS cls, point_id, x, y, z FROM event_points, range(0, 2) g(c) WHERE 0.2 + (inst + c) % 3 * 0.3 > 0.4),
+nodes AS (SELECT scene_id, point_id AS node, scene, cls FROM s),
+e AS (SELECT a.scene_id, a.point_id AS u, b.point_id AS v FROM s a JOIN s b ON a.scene_id = b.scene_id AND {_D3} < 0.15),{_CC_POINTS}
+SELECT scene AS scene_id, cls, component AS proposal_id, count(*) AS n FROM cc JOIN nodes USING (scene_id, node) GROUP BY ALL HAVING count(*) >= 5""")
 def cl17(spark, d):
     e = _events(spark, d)
     scores = {c: F.lit(0.2) + F.pmod(F.col("inst") + c, F.lit(3)) * 0.3 for c in range(2)}
     return clusters.soft_groups(e, scores, 0.4, 0.15, 5).groupBy("scene_id", "cls", "proposal_id").agg(F.count("*").alias("n"))
 
 
-@query("cl18_dual_groups")
+@query("cl18_dual_groups", f"""
+WITH RECURSIVE s AS (SELECT scene_id || '/' || c AS scene_id, scene_id AS scene, CAST(c AS INT) AS source, point_id, inst, x + c * (0.01 * inst) AS x, y, z FROM event_points, range(0, 2) g(c)),
+nodes AS (SELECT scene_id, point_id AS node, scene, source FROM s),
+e AS (SELECT a.scene_id, a.point_id AS u, b.point_id AS v FROM s a JOIN s b ON a.scene_id = b.scene_id AND a.inst = b.inst AND {_D3} < 0.25),{_CC_POINTS},
+k AS (SELECT scene, source, component, count(*) AS n FROM cc JOIN nodes USING (scene_id, node) GROUP BY ALL HAVING count(*) >= 5)
+SELECT scene AS scene_id, source, component AS proposal_id, n, round(least(1.0, n / CAST(max(n) OVER (PARTITION BY scene) AS DOUBLE)), 6) AS score FROM k""")
 def cl18(spark, d):
     e = _events(spark, d).withColumns({"dx": F.lit(0.01) * F.col("inst"), "dy": F.lit(0.0), "dz": F.lit(0.0)})
     return rounded(clusters.dual_groups(e, ("dx", "dy", "dz"), 0.25, 5, "inst"))
@@ -204,9 +230,19 @@ def rf5(spark, d):
     return _sizes(refine.merge_fragments(_labelled(spark, d), "label", 10.0, 3.0, 80.0))
 
 
-@query("rf6_merge_stacked")
+@query("rf6_merge_stacked", f"""
+WITH RECURSIVE c AS (SELECT DISTINCT scene_id, inst, floor(x / 0.03) AS ix, floor(y / 0.03) AS iy FROM event_points),
+k AS (SELECT scene_id, inst, count(*) AS cells FROM c GROUP BY ALL),
+b AS (SELECT scene_id, inst, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, avg(x) AS xm, avg(y) AS ym, avg(z) AS zm FROM event_points GROUP BY ALL HAVING count(*) >= 10),
+m AS (SELECT a.scene_id, a.inst AS u, b.inst AS v, count(*) AS shared FROM c a JOIN c b ON a.scene_id = b.scene_id AND a.ix = b.ix AND a.iy = b.iy AND a.inst < b.inst GROUP BY ALL),
+g AS (SELECT m.scene_id, m.u, m.v FROM m JOIN b p ON p.scene_id = m.scene_id AND p.inst = u JOIN b q ON q.scene_id = m.scene_id AND q.inst = v
+  JOIN k i ON i.scene_id = m.scene_id AND i.inst = u JOIN k j ON j.scene_id = m.scene_id AND j.inst = v
+  WHERE shared >= 0.04 * least(i.cells, j.cells) AND abs(p.zm - q.zm) >= 0.003 AND sqrt((p.xm - q.xm) * (p.xm - q.xm) + (p.ym - q.ym) * (p.ym - q.ym)) <= 0.4
+  AND sqrt((greatest(p.x1, q.x1) - least(p.x0, q.x0)) ** 2 + (greatest(p.y1, q.y1) - least(p.y0, q.y0)) ** 2 + (greatest(p.z1, q.z1) - least(p.z0, q.z0)) ** 2) <= 100),
+nodes AS (SELECT DISTINCT scene_id, inst AS node FROM event_points), e AS (SELECT scene_id, u, v FROM g UNION ALL SELECT scene_id, v, u FROM g),{_CC_POINTS}
+SELECT p.scene_id, CAST(component AS BIGINT) AS label, count(*) AS n FROM event_points p JOIN cc ON cc.scene_id = p.scene_id AND cc.node = p.inst GROUP BY ALL""")
 def rf6(spark, d):
-    return _sizes(refine.merge_stacked(_labelled(spark, d), "label", 10.0, 0.0, 100.0, 0.1))
+    return _sizes(refine.merge_stacked(_labelled(spark, d), "label", 0.4, 0.003, 100.0, 0.04))
 
 
 @query("rf7_tiny_fragments", """
@@ -220,7 +256,12 @@ def rf7(spark, d):
     return _sizes(refine.clean_up(p, "label", 700, 900, 0.2))
 
 
-@query("rf8_reassign_by_votes")
+@query("rf8_reassign_by_votes", f"""
+WITH k AS (SELECT scene_id, inst, count(*) AS n FROM event_points GROUP BY ALL), s AS (SELECT p.*, k.n FROM event_points p JOIN k USING (scene_id, inst)),
+r AS (SELECT a.scene_id, a.point_id, b.inst, {_D3} AS d, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {_D3}, b.point_id) AS r FROM s a JOIN s b ON a.scene_id = b.scene_id AND a.n < 280 AND b.n >= 280),
+v AS (SELECT scene_id, point_id, inst, round(sum(1.0 / (d + 1e-6)), 9) AS w FROM r WHERE r <= 10 GROUP BY ALL),
+t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY scene_id, point_id ORDER BY w DESC, inst) = 1)
+SELECT s.scene_id, CAST(coalesce(t.inst, s.inst) AS BIGINT) AS label, count(*) AS n FROM s LEFT JOIN t ON t.scene_id = s.scene_id AND t.point_id = s.point_id GROUP BY ALL""")
 def rf8(spark, d):
     return _sizes(refine.reassign_by_votes(_labelled(spark, d), "label", 280, 10, 0.4))
 
@@ -251,7 +292,17 @@ def rf11(spark, d):
     return _sizes(refine.filled(e, "label", 0.1))
 
 
-@query("rf12_post_stage_chain")
+@query("rf12_post_stage_chain", f"""
+WITH a0 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY scene_id, inst) >= 100 THEN inst END AS l FROM event_points),
+r AS (SELECT a.scene_id, a.point_id, b.l, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {_D3}, b.point_id) AS k FROM a0 a JOIN a0 b ON a.scene_id = b.scene_id AND a.l IS NULL AND b.l IS NOT NULL AND {_D3} < 0.2),
+v AS (SELECT scene_id, point_id, l, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY scene_id, point_id ORDER BY n DESC, l) = 1),
+a1 AS (SELECT a0.scene_id, a0.point_id, x, y, z, coalesce(a0.l, t.l) AS l FROM a0 LEFT JOIN t ON t.scene_id = a0.scene_id AND t.point_id = a0.point_id),
+a2 AS (SELECT * REPLACE (CASE WHEN l IS NOT NULL AND count(*) OVER (PARTITION BY scene_id, l) >= 280 THEN l END AS l) FROM a1),
+q AS (SELECT a.scene_id, a.point_id, b.l, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {_D3}, b.point_id) AS k FROM a2 a JOIN a2 b ON a.scene_id = b.scene_id AND a.l IS NULL AND b.l IS NOT NULL AND {_D3} < 0.2),
+a3 AS (SELECT a2.scene_id, coalesce(a2.l, q.l) AS l FROM a2 LEFT JOIN q ON q.scene_id = a2.scene_id AND q.point_id = a2.point_id AND q.k = 1),
+o AS (SELECT scene_id, l, dense_rank() OVER (PARTITION BY scene_id ORDER BY l) AS label FROM (SELECT DISTINCT scene_id, l FROM a3 WHERE l IS NOT NULL))
+SELECT a3.scene_id, o.label, count(*) AS n FROM a3 LEFT JOIN o ON o.scene_id = a3.scene_id AND o.l = a3.l GROUP BY ALL""")
 def rf12(spark, d):
     return _sizes(post_stages(_labelled(spark, d), 100, 280, 0.2))
 
@@ -288,7 +339,10 @@ def rf15(spark, d):
     return p.select("scene_id", "label", F.size("peaks").alias("n_peaks"), F.round(F.array_min("smooth"), 6).alias("least"))
 
 
-@query("rf17_recluster_large")
+@query("rf17_recluster_large", dbscan_sql(0.2, 3, "a.inst = b.inst").strip() + """,
+b AS (SELECT scene_id, inst FROM event_points GROUP BY ALL HAVING count(*) >= 250 AND sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) >= 1.0)
+SELECT s.scene_id, CAST(CASE WHEN b.inst IS NOT NULL AND f.label IS NOT NULL THEN f.label + 1000 ELSE s.inst END AS BIGINT) AS label, count(*) AS n
+FROM s JOIN f ON f.scene_id = s.scene_id AND f.point_id = s.point_id LEFT JOIN b ON b.scene_id = s.scene_id AND b.inst = s.inst GROUP BY ALL""")
 def rf17(spark, d):
     """Instances with enough points and a long enough diagonal are clustered again; the others keep their labels."""
     e = _labelled(spark, d)
@@ -299,7 +353,8 @@ def rf17(spark, d):
     return _sizes(out)
 
 
-@query("rf18_recover_leftovers")
+@query("rf18_recover_leftovers", dbscan_sql(0.2, 5, "a.inst >= 4 AND b.inst >= 4").strip() + """
+SELECT s.scene_id, CAST(CASE WHEN s.inst < 4 THEN s.inst ELSE f.label + 1000 END AS BIGINT) AS label, count(*) AS n FROM s JOIN f ON f.scene_id = s.scene_id AND f.point_id = s.point_id GROUP BY ALL""")
 def rf18(spark, d):
     """Points of no proposal, clustered and added."""
     e = _labelled(spark, d)

@@ -247,11 +247,15 @@ def wn6(spark, d):
     return rounded(smoothed(spark, d).select("scene_id", F.posexplode("smooth").alias("bin", "v")))
 
 
-@query("wn7_peaks")
+@query("wn7_peaks", f"""
+WITH {_BINS.strip().replace("min(x)", "min(y)").replace("max(x)", "max(y)").replace("(x - lo)", "(y - lo)")},
+p AS (SELECT scene_id, bin, v, lag(v) OVER w AS a, lead(v) OVER w AS b, max(v) OVER (PARTITION BY scene_id) AS m FROM g WINDOW w AS (PARTITION BY scene_id ORDER BY bin))
+SELECT scene_id, bin FROM p WHERE v > a AND v > b AND v >= 0.1 * m""")
 def wn7(spark, d):
     from pointloom.operators import refine
 
-    return refine.with_peaks(smoothed(spark, d), 2, 0.1).select("scene_id", F.explode("peaks").alias("bin"))
+    shape = refine.profiles(view(spark, d, "event_points").select("scene_id", "y"), ["scene_id"], "y", 15, 0.5)
+    return refine.with_peaks(shape, 2, 0.1).select("scene_id", F.explode("peaks").alias("bin"))
 
 
 @query("wn8_valley", f"""
@@ -319,9 +323,9 @@ def st1(spark, d):
     return part("a", "c0").unionByName(part("b", "c1"))
 
 
-@query("st2_set_overlap", "SELECT a.proposal_id AS a, b.proposal_id AS b, count(*) AS shared FROM (SELECT DISTINCT proposal_id, point_id FROM proposals WHERE proposal_id < 10) a JOIN (SELECT DISTINCT proposal_id, point_id FROM proposals WHERE proposal_id < 10) b ON a.point_id = b.point_id AND a.proposal_id < b.proposal_id GROUP BY ALL")
+@query("st2_set_overlap", "SELECT a.proposal_id AS a, b.proposal_id AS b, count(*) AS shared FROM (SELECT DISTINCT proposal_id, point_id FROM proposals) a JOIN (SELECT DISTINCT proposal_id, point_id FROM proposals) b ON a.point_id = b.point_id AND a.proposal_id < b.proposal_id GROUP BY ALL")
 def st2(spark, d):
-    p = view(spark, d, "proposals").where("proposal_id < 10").select("proposal_id", "point_id").distinct()
+    p = view(spark, d, "proposals").select("proposal_id", "point_id").distinct()
     a, b = p.withColumnRenamed("proposal_id", "a"), p.withColumnRenamed("proposal_id", "b")
     return a.join(b, "point_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 

@@ -70,10 +70,14 @@ def snk7(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("length"))
 
 
-@query("snk9_resume", "SELECT model, scene_id, count(*) AS n FROM results WHERE (model, scene_id) NOT IN (SELECT model, scene_id FROM results WHERE metric > 470) GROUP BY ALL")
+_DONE = ["model", "clustering", "scene_id", "plant_id"]
+
+
+@query("snk9_resume", f"""
+SELECT {", ".join(_DONE)}, count(*) AS n FROM results r WHERE NOT EXISTS (SELECT 1 FROM results d WHERE d.metric > 495 AND {" AND ".join(f"d.{k} = r.{k}" for k in _DONE)}) GROUP BY ALL""")
 def snk9(spark, d):
     r = view(spark, d, "results")
-    return writers.not_yet_done(r, r.where("metric > 470"), ["model", "scene_id"]).groupBy("model", "scene_id").agg(F.count("*").alias("n"))
+    return writers.not_yet_done(r, r.where("metric > 495"), _DONE).groupBy(*_DONE).agg(F.count("*").alias("n"))
 
 
 @query("str1_windowed_counts", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
