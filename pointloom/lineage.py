@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and held in the shared folder of spark.checkpoint.dir; where that is unset, sessions whose executors
-    run in the driver's process take a folder of this machine, and others must name one."""
-    session, context = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(session: SparkSession, name: str) -> str:
+    """A new path for files in the folder that driver and executors share."""
+    return f"{_shared(session)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(session: SparkSession) -> str:
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
         shared = session.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pointloom-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and held in the shared folder of spark.checkpoint.dir; where that is unset, sessions whose executors
+    run in the driver's process take a folder of this machine, and others must name one."""
+    _shared(df.sparkSession)
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,59 @@ def mutual_matches(overlap: DataFrame, threshold: float, keys: tuple[str, ...] =
     return out if out is not None else rest
 
 
+def assignment(value: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, each once, with the largest total value: shortest augmenting paths over reduced costs."""
+    turned = value.shape[0] > value.shape[1]
+    cost = -(value.T if turned else value)
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
+    for row in range(n):
+        owner[m], at = row, m
+        far, via, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while owner[at] >= 0:
+            done[at] = True
+            i, open_ = owner[at], ~done[:m]
+            reach = np.where(open_, cost[i] - u[i] - v[:m], np.inf)
+            nearer = reach < far
+            far[nearer], via[nearer] = reach[nearer], at
+            to = int(np.argmin(np.where(open_, far, np.inf)))
+            step = far[to]
+            u[owner[done]] += step
+            v[done] -= step
+            far[open_] -= step
+            at = to
+        while at != m:
+            owner[at], at = owner[via[at]], via[at]
+    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
+
+
+def optimal_matches(overlap: DataFrame, threshold: float) -> DataFrame:
+    """scene_id, pred, gt, iou of the one-to-one matching with the largest total IoU, then those at or above the threshold.
+
+    Instances that overlap, directly or over others, are a group; each group is matched for itself, so that a task holds
+    the instances of one group, not a scene's points."""
+    from pointloom.lineage import cut
+
+    from . import graph
+
+    pairs = cut(overlap.select("scene_id", "pred", "gt", "iou"))
+    sides = [F.concat(F.lit(k), F.lpad(F.col(c).cast("string"), 20, "0")) for k, c in (("p", "pred"), ("g", "gt"))]
+    groups = graph.components(pairs.select("scene_id", sides[0].alias("u"), sides[1].alias("v")))
+    placed = pairs.withColumn("node", sides[0]).join(groups, ["scene_id", "node"]).select("scene_id", "component", "pred", "gt", "iou")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pred", "gt"], kind="stable")
+        (p, i), (g, j) = (np.unique(rows[c], return_inverse=True) for c in ("pred", "gt"))
+        value = np.zeros((len(p), len(g)))
+        value[i, j] = rows["iou"]
+        found = [(rows["scene_id"].iloc[0], p[a], g[b], value[a, b]) for a, b in assignment(value) if value[a, b] >= max(threshold, 1e-12)]
+        return pd.DataFrame(found, columns=["scene_id", "pred", "gt", "iou"])
+
+    return placed.groupBy("scene_id", "component").applyInPandas(run, f"scene_id {kinds['scene_id']}, pred {kinds['pred']}, gt {kinds['gt']}, iou double")
+
+
 def detection(points: DataFrame, matched: DataFrame, pred: str, gt: str, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """Precision, recall, F1 and mean IoU of matches for each scene, counts of instances, and the count error."""
     of = lambda c, name: F.count_distinct(F.when(F.col(c) > 0, F.col(c))).alias(name)

@@ -514,6 +514,47 @@ def me10(spark, d):
     return k.select("scene_id", outcome.alias("outcome"), F.abs(F.col("p") - F.col("g")).alias("error"))
 
 
+def sticky(spark, d):
+    """Clusters of the event points: the points of one scene and of a pair of instances, with the instance as plant."""
+    e = view(spark, d, "event_points")
+    return e.select("scene_id", F.floor(F.col("inst") / 2).alias("cluster"), "point_id", *"xyz", "inst")
+
+
+@query("me11_parameter_scan")
+def me11(spark, d):
+    from pointloom.operators import splits, sweeps
+
+    return sweeps.scan(sticky(spark, d), [splits.Rule(spacing=s, valley=v) for s in (0.25, 0.35) for v in (0.85, 0.9)])
+
+
+@query("me12_optimal_assignment")
+def me12(spark, d):
+    p = view(spark, d, "points")
+    return rounded(match.optimal_matches(match.ious(p, "base_inst", "gt_inst"), 0.0))
+
+
+@query("st15_density_sensitivity")
+def st15(spark, d):
+    from pointloom.operators import splits, sweeps
+
+    return rounded(sweeps.density_sensitivity(sticky(spark, d), splits.Rule(), trials=5))
+
+
+@query("st16_tuned_rule")
+def st16(spark, d):
+    """Coordinate descent over spacing and valley by the share of clusters that split right."""
+    from pointloom.operators import splits, sweeps
+
+    clusters = sticky(spark, d)
+
+    def score(s: dict) -> float:
+        row = sweeps.scan(clusters, [splits.Rule(spacing=s["spacing"], valley=s["valley"])]).first()
+        return sweeps.tuning_score(row["correct"] / max(1, row["plants"]), 0.0, abs(row["parts"] - row["plants"]) / max(1, row["plants"]))
+
+    best, value = sweeps.coordinate_descent({"spacing": [0.25, 0.35], "valley": [0.85, 0.9]}, score, {"spacing": 0.35, "valley": 0.9}, 1)
+    return spark.createDataFrame([(best["spacing"], best["valley"], round(value, 6))], "spacing double, valley double, score double")
+
+
 @query("me13_majority_gt", f"WITH {_CELLS} SELECT scene_id, pred, gt, n FROM c WHERE pred > 0 AND gt > 0 QUALIFY row_number() OVER (PARTITION BY scene_id, pred ORDER BY n DESC, gt) = 1")
 def me13(spark, d):
     c = match.contingency(view(spark, d, "points"), "base_inst", "gt_inst").where("pred > 0 AND gt > 0")

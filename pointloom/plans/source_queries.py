@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pointloom.lineage import shared_folder
 from pointloom.sources import readers, writers
 from pointloom.streaming import scenes
 from pointloom.views import view
@@ -12,6 +13,108 @@ from .point_queries import rounded
 from .registry import query
 
 
+def _scenes(spark, d):
+    return view(spark, d, "points").select("scene_id", "point_id", *"xyz", *"rgb", F.col("sem_gt").alias("sem"), F.col("gt_inst").alias("inst"))
+
+
+def _text(spark, d, name, *columns):
+    """Rows of points, written as lines to the shared folder."""
+    folder = shared_folder(spark, name)
+    _scenes(spark, d).select(F.concat_ws(" ", *[c.cast("string") for c in columns]).alias("line")).write.text(folder)
+    return folder
+
+
+_SUMS = "count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z"
+
+
+def _sums(df, *keys):
+    return rounded(df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"]), 4, *"xyz")
+
+
+@query("src1_discovered_files", "SELECT scene_id % 2 AS parity, count(*) AS n FROM points GROUP BY ALL")
+def src1(spark, d):
+    """Files of two folders, found and read again; as many points as were written."""
+    folder = shared_folder(spark, "discover")
+    for parity in (0, 1):
+        _scenes(spark, d).where(F.col("scene_id") % 2 == parity).select(F.concat_ws(" ", *"xyz").alias("line")).write.text(f"{folder}/parity={parity}")
+    files = readers.discover(spark, folder, ("txt",)).select(F.regexp_extract("path", r"parity=(\d)", 1).cast("long").alias("parity")).distinct()
+    lines = spark.read.option("basePath", folder).text(folder).groupBy(F.col("parity").cast("long").alias("parity")).agg(F.count("*").alias("n"))
+    return lines.join(files, "parity", "left_semi")
+
+
+@query("src2_cloud_files", f"SELECT sem_gt AS sem, gt_inst AS inst, {_SUMS} FROM points GROUP BY ALL")
+def src2(spark, d):
+    """Scenes written as PLY files and read again (SRC2, SRC4, SRC5, SRC6)."""
+    folder = shared_folder(spark, "ply")
+    writers.ply_files(_scenes(spark, d), folder)
+    return _sums(readers.clouds(spark, folder, r"\.txt$"), "sem", "inst")
+
+
+@query("src3_ground_truth_text", f"SELECT sem_gt AS sem, gt_inst AS inst, {_SUMS} FROM points GROUP BY ALL")
+def src3(spark, d):
+    columns = [F.col(c) for c in "xyz"] + [F.col(c) * 255 for c in "rgb"] + [F.col("sem"), F.when(F.col("inst") > 0, F.col("inst")).otherwise(-1)]
+    return _sums(readers.ground_truth(spark, _text(spark, d, "gt", *columns)), "sem", "inst")
+
+
+@query("src8_plot_text", "SELECT CAST(gt_inst > 0 AS INT) AS sem, count(*) AS n, count(DISTINCT gt_inst) AS labels FROM points GROUP BY ALL")
+def src8(spark, d):
+    """Eight columns whose class is made two-valued, kept as Parquet after the first read."""
+    path = _text(spark, d, "plots", *[F.col(c) for c in "xyz"], *[F.col(c) for c in "rgb"], F.col("inst"), F.col("inst"))
+    kept = shared_folder(spark, "plots-parquet")
+    readers.ground_truth(spark, path, binarize=True).write.parquet(kept)
+    return spark.read.parquet(kept).groupBy("sem").agg(F.count("*").alias("n"), F.count_distinct("inst").alias("labels"))
+
+
+@query("src10_split_manifest", "SELECT CASE WHEN scene_id < 3 THEN 'train' WHEN scene_id = 3 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM points GROUP BY ALL")
+def src10(spark, d):
+    folder = shared_folder(spark, "splits")
+    names = view(spark, d, "points").select("scene_id").distinct().withColumn("split", F.when(F.col("scene_id") < 3, "train").when(F.col("scene_id") == 3, "val").otherwise("test"))
+    listed = [F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("scene_id").cast("string")))).alias(s) for s in ("train", "val", "test")]
+    names.agg(*listed).write.json(folder)
+    splits = readers.split_scenes(spark, folder)
+    points = view(spark, d, "points").withColumn("scene_id", F.col("scene_id").cast("string"))
+    return points.join(splits, "scene_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("src11_organ_text", f"SELECT sem_gt AS sem, {_SUMS} FROM points GROUP BY ALL")
+def src11(spark, d):
+    path = _text(spark, d, "organs", *[F.col(c) * 1000 for c in "xyz"], F.col("sem"), F.col("inst"))
+    return _sums(readers.organ_text(spark, path), "sem")
+
+
+@query("src12_training_log", "SELECT o_orderkey AS epoch, o_totalprice AS train_loss, CAST(o_custkey AS DOUBLE) AS val_loss FROM orders")
+def src12(spark, d):
+    folder = shared_folder(spark, "log")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    line = F.concat(F.lit("[Epoch "), F.col("o_orderkey"), F.lit("] train loss: "), F.col("o_totalprice"), F.lit(" | val loss: "), F.col("o_custkey"))
+    o.select(F.array(line, F.lit("saved checkpoint")).alias("a")).select(F.explode("a").alias("line")).write.text(folder)
+    return readers.training_log(spark, folder)
+
+
+@query("src13_labelled_ascii", f"SELECT CAST(gt_inst <> 0 AS INT) AS sem, {_SUMS} FROM points GROUP BY ALL")
+def src13(spark, d):
+    return _sums(readers.labelled_ascii(spark, _text(spark, d, "ascii", *[F.col(c) for c in "xyz"], F.col("inst"))), "sem")
+
+
+@query("snk4_evaluation_json", "SELECT scene_id, count(*) AS n FROM points GROUP BY ALL")
+def snk4(spark, d):
+    rows = view(spark, d, "points").groupBy("scene_id").agg(F.count("*").alias("n"))
+    return spark.read.json(writers.evaluation(rows, shared_folder(spark, "evaluation"), "configs/default.yaml", "test", clustered=False)).select("scene_id", "n")
+
+
+@query("snk8_converted_scenes", """
+SELECT scene_id, CASE WHEN gt_inst > 0 THEN dense_rank() OVER (PARTITION BY scene_id, gt_inst > 0 ORDER BY gt_inst) ELSE -1 END AS inst, n FROM (SELECT scene_id, gt_inst, count(*) AS n FROM points GROUP BY ALL)""")
+def snk8(spark, d):
+    return writers.canonical(_scenes(spark, d)).groupBy("scene_id", "inst").agg(F.count("*").alias("n"))
+
+
+@query("snk8_training_rows", "SELECT CASE WHEN gt_inst > 0 THEN gt_inst ELSE -100 END AS inst, count(*) AS n, min(sem_gt) AS least, max(sem_gt) AS most FROM points GROUP BY ALL")
+def snk8b(spark, d):
+    kept = shared_folder(spark, "training")
+    writers.training_rows(_scenes(spark, d)).write.parquet(kept)
+    return spark.read.parquet(kept).groupBy("inst").agg(F.count("*").alias("n"), F.min("sem").alias("least"), F.max("sem").alias("most"))
+
+
 @query("src7_labels_from_palette", """
 WITH p(label, pr, pg, pb) AS (VALUES (0, 0.0, 0.0, 0.2), (1, 0.05, 0.1, 0.6), (2, 0.08, 0.02, 0.9)),
 c AS (SELECT DISTINCT r, g, b FROM points), d AS (SELECT c.*, label, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS d FROM c, p),

@@ -1,4 +1,4 @@
-"""Point-cloud files as tables: text, PLY and NPY scenes, splits, logs.
+"""Point-cloud files as tables: text, PLY, PCD and NPY scenes, splits, logs.
 
 Text formats are read by Spark's text source and parsed by columns; binary ones are read whole by the binary-file source
 and decoded in batches, a file at a time, so that any file system that Spark reads will do.
@@ -13,8 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointloom.lineage import cut
+
 POINT_SCHEMA = "scene_id string, point_id long, x double, y double, z double, r double, g double, b double, sem int, inst long"
 _TYPES = {
     "char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8",
@@ -28,16 +31,22 @@ def scene_of(path: str | Column) -> Column:
     return F.regexp_extract(c, r"([^/]*?)(?:_gt)?(?:\.[^./]*)?$", 1)
 
 
-def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("ply", "txt", "npy")) -> DataFrame:
+def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("ply", "txt", "npy", "pcd")) -> DataFrame:
     """path and length of the scene files under a folder, ground truth left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     return files.where(F.col("path").rlike(rf"\.({'|'.join(suffixes)})$") & ~F.col("path").contains("_gt"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """scene_id, line and a point_id that follows the place in the file (file parts keep their order)."""
-    text = spark.read.text(path).select(scene_of(F.col("_metadata.file_path")).alias("scene_id"), F.col("_metadata.file_block_start").alias("_block"), F.trim("value").alias("line"))
-    return text.withColumn("point_id", F.monotonically_increasing_id()).drop("_block")
+    """scene_id, line and point_id, the line's number in its file from 0, whatever the cuts of the file.
+
+    A cut's rows have consecutive numbers, so that its first number and the rows of the cuts before it give the place."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.trim("value").alias("line"), F.monotonically_increasing_id().alias("_m"))
+    text = cut(text)
+    blocks = text.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    placed = text.join(blocks.withColumn("_before", F.coalesce(before, F.lit(0))), ["_file", "_block"])
+    return placed.select(scene_of(F.col("_file")).alias("scene_id"), "line", (F.col("_before") + F.col("_m") - F.col("_first")).alias("point_id"))
 
 
 def ground_truth(spark: SparkSession, path: str, label: int = -2, instance: int = -1, binarize: bool = False) -> DataFrame:
@@ -95,14 +104,46 @@ def _named(table: pd.DataFrame, *patterns: str) -> np.ndarray | None:
     return None
 
 
+def parse_pcd(content: bytes) -> pd.DataFrame:
+    """The points of an ASCII or plain binary PCD by its fields; a packed rgb field gives red, green and blue."""
+    header, at = {}, 0
+    while "DATA" not in header:
+        end = content.index(b"\n", at)
+        word = content[at:end].decode("ascii", "replace").split()
+        at = end + 1
+        if word and not word[0].startswith("#"):
+            header[word[0]] = word[1:]
+    names, count = header["FIELDS"], int(header["POINTS"][0])
+    kinds = ["<" + {"F": "f", "I": "i", "U": "u"}[t] + n for t, n in zip(header["TYPE"], header["SIZE"])]
+    if header["DATA"] == ["ascii"]:
+        rows = np.loadtxt(io.BytesIO(content[at:]), max_rows=count, ndmin=2) if count else np.zeros((0, len(names)))
+        columns = {n: rows[:, i].astype(k) for i, (n, k) in enumerate(zip(names, kinds))}
+    elif header["DATA"] == ["binary"]:
+        table = np.frombuffer(content, np.dtype(list(zip(names, kinds))), count, at)
+        columns = {n: table[n] for n in names}
+    else:
+        raise ValueError(f"PCD data of kind {header['DATA']} can't be read")
+    if "rgb" in columns:
+        packed = np.ascontiguousarray(columns.pop("rgb")).view("<u4")
+        columns |= {c: packed >> shift & 255 for c, shift in (("red", 16), ("green", 8), ("blue", 0))}
+    return pd.DataFrame({n: v.astype(float) for n, v in columns.items()})
+
+
 def parse_cloud(path: str, content: bytes) -> pd.DataFrame:
-    """Coordinates, colours in 0 to 1, class and instance of a PLY or NPY file; NaN labels become 0 and -1."""
-    if path.endswith(".npy"):
+    """Coordinates, colours in 0 to 1, class and instance of a PLY, PCD or NPY file, told apart by how it begins; NaN labels
+    become 0 and -1. A file of another kind raises, an empty one has no points."""
+    if not content:
+        return pd.DataFrame({c: pd.Series(dtype=k) for c, k in zip(["x", "y", "z", "r", "g", "b", "sem", "inst"], [*["float64"] * 6, "int32", "int64"])})
+    if content.startswith(b"\x93NUMPY"):
         a = np.load(io.BytesIO(content), allow_pickle=False)
         names = ["x", "y", "z", "red", "green", "blue", "semantic", "instance"][: a.shape[1]]
         table = pd.DataFrame({n: a[:, i] for i, n in enumerate(names)})
-    else:
+    elif content.startswith(b"ply"):
         table = parse_ply(content)
+    elif content.startswith((b"# .PCD", b"VERSION")):
+        table = parse_pcd(content)
+    else:
+        raise ValueError(f"{path} is no PLY, PCD or NPY file")
     out = pd.DataFrame({c: table[c].to_numpy(float) for c in "xyz"})
     colours = [_named(table, f"^{c}$", f"^(diffuse_)?{c}") for c in ("red", "green", "blue")]
     scale = 255.0 if colours[0] is not None and len(table) and max(np.nanmax(c) for c in colours if c is not None) > 1.1 else 1.0
@@ -114,9 +155,9 @@ def parse_cloud(path: str, content: bytes) -> pd.DataFrame:
     return out
 
 
-def clouds(spark: SparkSession, folder: str) -> DataFrame:
-    """The points of all PLY and NPY files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(r"\.(ply|npy)$"))
+def clouds(spark: SparkSession, folder: str, names: str = r"\.(ply|pcd|npy)$") -> DataFrame:
+    """The points of all PLY, PCD and NPY files under a folder whose paths match; a missing folder raises."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

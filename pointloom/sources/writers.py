@@ -34,6 +34,42 @@ def ply_text(points: DataFrame) -> DataFrame:
     return lines.join(points.groupBy("scene_id").agg(F.count("*").alias("vertices")), "scene_id")
 
 
+def ply_files(points: DataFrame, path: str, rows: int = 10_000) -> None:
+    """ASCII PLY files under a path, of about `rows` points of one scene each, with colours, semantic and instance."""
+    chunks = points.groupBy("scene_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("_chunks"))
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], *[F.round(F.col(c) * 255).cast("int").cast("string") for c in "rgb"], F.col("sem").cast("string"), F.col("inst").cast("string"))
+    placed = points.join(chunks, "scene_id").select("scene_id", F.pmod(F.xxhash64("point_id"), F.col("_chunks")).alias("_chunk"), line.alias("line"))
+    files = placed.groupBy("scene_id", "_chunk").agg(F.collect_list("line").alias("lines"))
+    fields = [*(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "property int semantic", "property int instance"]
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.size("lines").cast("string"), F.lit("\n" + "\n".join(fields) + "\nend_header\n"))
+    files.select(F.concat(head, F.array_join("lines", "\n"))).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def evaluation(rows: DataFrame, folder: str, config: str, split: str, clustered: bool = True) -> str:
+    """Writes evaluation rows as JSON under a name made of the configuration's stem, the skipped clustering and the split."""
+    stem = config.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    path = f"{folder}/{stem}{'' if clustered else '_nocluster'}_{split}.json"
+    rows.write.mode("overwrite").json(path)
+    return path
+
+
+def training_rows(points: DataFrame, background: int = -100) -> DataFrame:
+    """Rows as networks are trained on: coordinates from the scene's mean and colours in -1 to 1 as floats, class and
+    instance, the latter `background` where there is none."""
+    mean = points.groupBy("scene_id").agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"])
+    moved = [(F.col(c) - F.col(f"_{c}")).cast("float").alias(c) for c in "xyz"]
+    inst = F.when(F.col("inst") > 0, F.col("inst")).otherwise(background).cast("long").alias("inst")
+    return points.join(mean, "scene_id").select("scene_id", "point_id", *moved, *[(F.col(c) * 2 - 1).cast("float").alias(c) for c in "rgb"], F.col("sem").cast("long").alias("sem"), inst)
+
+
+def canonical(points: DataFrame) -> DataFrame:
+    """Converted scenes: x y z r g b sem inst, instances numbered from 1 in each scene, background -1."""
+    from pointloom.operators.labels import renumbered
+
+    known = renumbered(points.withColumn("inst", F.when(F.col("inst") > 0, F.col("inst"))), "inst", 1)
+    return known.select("scene_id", "point_id", *"xyz", *"rgb", F.col("sem").cast("int").alias("sem"), F.coalesce("inst", F.lit(-1)).cast("long").alias("inst"))
+
+
 def obj_text(points: DataFrame) -> DataFrame:
     return points.select("scene_id", "point_id", F.concat_ws(" ", F.lit("v"), *[F.col(c).cast("string") for c in "xyz"], *[F.col(c).cast("string") for c in "rgb"]).alias("line"))
 

@@ -192,3 +192,28 @@ def test_files(spark, tmp_path):
     truth = sorted((r["scene_id"], r["x"], r["sem"], r["inst"]) for r in readers.ground_truth(spark, f"{tmp_path}/a_gt.txt").collect())
     assert truth == [("a", 0.0, 1, 4), ("a", 3.0, 0, 0)]
     assert readers.discover(spark, str(tmp_path)).count() == 3
+
+
+def test_pcd_files_and_empty_ones(spark, tmp_path):
+    head = "# .PCD v0.7\nVERSION 0.7\nFIELDS x y z rgb\nSIZE 4 4 4 4\nTYPE F F F U\nCOUNT 1 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\n"
+    (tmp_path / "a.pcd").write_bytes((head + "DATA binary\n").encode() + struct.pack("<fffIfffI", 1, 2, 3, 0xFF0000, 4, 5, 6, 0x0000FF))
+    (tmp_path / "b.pcd").write_text(head.replace(" rgb", " label").replace("F F F U", "F F F I") + "DATA ascii\n1 2 3 1\n4 5 6 0\n")
+    (tmp_path / "c.ply").write_bytes(b"")
+    got = sorted((r["scene_id"], r["point_id"], r["x"], r["r"], r["b"], r["sem"]) for r in readers.clouds(spark, str(tmp_path)).collect())
+    assert got == [("a", 0, 1.0, 1.0, 0.0, 0), ("a", 1, 4.0, 0.0, 1.0, 0), ("b", 0, 1.0, 0.0, 0.0, 1), ("b", 1, 4.0, 0.0, 0.0, 0)]
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.clouds(spark, str(tmp_path / "none")).collect()
+
+
+def test_line_numbers_do_not_depend_on_cuts(spark, tmp_path):
+    (tmp_path / "s_gt.txt").write_text("".join(f"{i} 0 0 9 9 9 1 {i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            rows = readers.ground_truth(spark, f"{tmp_path}/s_gt.txt").collect()
+            assert len(rows) == 4000 and all(r["point_id"] == r["x"] == r["inst"] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
