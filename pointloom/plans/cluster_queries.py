@@ -206,7 +206,7 @@ def rf1(spark, d):
 @query("rf2_recursive_cuts")
 def rf2(spark, d):
     """One pass of recursive cuts of every cluster, with the path of each part."""
-    e = _labelled(spark, d).withColumn("spacing", F.lit(0.35))
+    e = _labelled(spark, d).withColumns({"spacing": F.lit(0.35), "valley": F.lit(0.92)})
     return splits.parts(e, "label", splits.Rule()).groupBy("scene_id", "label", "path").agg(F.count("*").alias("n"))
 
 

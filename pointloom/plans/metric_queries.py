@@ -522,9 +522,9 @@ def sticky(spark, d):
 
 @query("me11_parameter_scan")
 def me11(spark, d):
-    from pointloom.operators import splits, sweeps
+    from pointloom.operators import sweeps
 
-    return sweeps.scan(sticky(spark, d), [splits.Rule(spacing=s, valley=v) for s in (0.25, 0.35) for v in (0.85, 0.9)])
+    return sweeps.scan(sticky(spark, d), [(s, v) for s in (0.25, 0.35) for v in (0.85, 0.9)])
 
 
 @query("me12_optimal_assignment")
@@ -542,16 +542,17 @@ def st15(spark, d):
 
 @query("st16_tuned_rule")
 def st16(spark, d):
-    """Coordinate descent over spacing and valley by the share of clusters that split right."""
-    from pointloom.operators import splits, sweeps
+    """Coordinate descent over a scanned grid of spacing and valley, by the share of clusters that split right."""
+    from pointloom.operators import sweeps
 
-    clusters = sticky(spark, d)
+    grid = {"spacing": [0.25, 0.35], "valley": [0.85, 0.9]}
+    rows = {(r["spacing"], r["valley"]): r for r in sweeps.scan(sticky(spark, d), [(s, v) for s in grid["spacing"] for v in grid["valley"]]).collect()}  # a row a setting
 
     def score(s: dict) -> float:
-        row = sweeps.scan(clusters, [splits.Rule(spacing=s["spacing"], valley=s["valley"])]).first()
-        return sweeps.tuning_score(row["correct"] / max(1, row["plants"]), 0.0, abs(row["parts"] - row["plants"]) / max(1, row["plants"]))
+        row = rows[s["spacing"], s["valley"]]
+        return sweeps.tuning_score(row["correct"] / row["plants"], 0.0, abs(row["parts"] - row["plants"]) / row["plants"])
 
-    best, value = sweeps.coordinate_descent({"spacing": [0.25, 0.35], "valley": [0.85, 0.9]}, score, {"spacing": 0.35, "valley": 0.9}, 1)
+    best, value = sweeps.coordinate_descent(grid, score, {"spacing": 0.35, "valley": 0.9})
     return spark.createDataFrame([(best["spacing"], best["valley"], round(value, 6))], "spacing double, valley double, score double")
 
 

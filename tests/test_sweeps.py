@@ -36,7 +36,7 @@ def test_sweeps_over_known_clusters(spark):
     got = {r["share"]: r for r in sweeps.density_sensitivity(df, splits.Rule(), (1.0, 0.5), 3).collect()}
     assert got[1.0]["clusters"] == got[0.5]["clusters"] == 3 and got[1.0]["correct"] == 1.0 and got[1.0]["mae"] == 0.0
     assert all(abs(r["correct"] + r["over"] + r["under"] - 1) < 1e-9 for r in got.values())
-    fine, never = sweeps.scan(df, [splits.Rule(), splits.Rule(valley=0.0, adaptive=False)]).collect()
+    never, fine = sorted(sweeps.scan(df, [(0.35, 0.92), (0.35, 0.0)], splits.Rule(adaptive=False)).collect())
     assert (fine["correct"], fine["over_clusters"], fine["under_clusters"], fine["parts"], fine["plants"]) == (3, 0, 0, 5, 5)
     assert (never["correct"], never["under_clusters"], never["parts"]) == (1, 2, 3)
 
