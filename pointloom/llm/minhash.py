@@ -296,7 +296,8 @@ def _settled(doubtful: DataFrame, texts: DataFrame, size: int, percent: int) ->
             for g in np.unique(group):
                 at = np.nonzero(group == g)[0]
                 part = rows.slice(at[0], len(at))
-                sets = shingle_sets(part.column("text"), size, hasher)
+                # hashing takes many times a text's bytes, so it goes by smaller slices than the sets are held in
+                sets = [x for piece in slices(part.select(["text"]).to_batches()) for x in shingle_sets(piece.column("text"), size, hasher)]
                 names, reps, out = part.column("component").to_pylist(), part.column("rep").to_pylist(), ([], [])
                 for a, b in _close_pairs(part, number[at]):
                     for i, j in zip(a.tolist(), b.tolist()):
