@@ -163,7 +163,7 @@ def snk6b(spark, d):
     return writers.obj_text(view(spark, d, "points")).groupBy("scene_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("snk1_ply_lines")
+@query("snk1_ply_lines", "SELECT scene_id, count(*) AS lines, count(*) AS vertices FROM points GROUP BY ALL")
 def snk1(spark, d):
     return writers.ply_text(writers.coloured(view(spark, d, "points"), "pred_inst")).groupBy("scene_id").agg(F.count("*").alias("lines"), F.max("vertices").alias("vertices"))
 
