@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, media, minhash, oracles, quality, substrings, toxicity, urls
+from . import bpe, centroids, decontaminate, lines, media, minhash, neighbours, oracles, quality, substrings, toxicity, tries, urls
 from .labelled import held_out
 
 
@@ -81,6 +81,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
@@ -92,6 +104,12 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op4_substring_dedup": oracles.SUBSTRINGS, "op5_minhash": oracles.NEAR_DUPLICATES, "op9_url_filters": urls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": lines.oracle_sql(), "op4_substring_dedup": oracles.SUBSTRINGS, "op5_minhash": oracles.NEAR_DUPLICATES, "op9_url_filters": urls.oracle_sql(),
+    "op12_centroid_clustering": centroids.oracle_sql(), "op13_prefix_trie": tries.oracle_sql(),
+}
