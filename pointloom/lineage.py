@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,8 +24,30 @@ def _shared(session: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: The folder of written tables of each application.
+_roots: dict[str, str] = {}
+
+
+def _drop(session: SparkSession, root: str) -> None:
+    try:
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may already be gone at exit
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and held in the shared folder of spark.checkpoint.dir; where that is unset, sessions whose executors
-    run in the driver's process take a folder of this machine, and others must name one."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
+    """df, computed and held as a table in the shared folder of spark.checkpoint.dir until the end of the application; where
+    that is unset, sessions whose executors run in the driver's process take a folder of this machine, and others must name one.
+
+    A table and not checkpoint(): a checkpointed plan carries the size estimate of the plan that it replaces, a product of
+    its joins' sizes, so that over many rounds the estimate becomes a number of megabytes, with which every later plan
+    reckons. A table's size is that of its files, by which joins with small tables become broadcasts."""
+    session = df.sparkSession
+    application = session.sparkContext.applicationId
+    if application not in _roots:
+        _roots[application] = shared_folder(session, "cut")
+        atexit.register(_drop, session, _roots[application])
+    path = f"{_roots[application]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
