@@ -252,48 +252,3 @@ def with_adaptive_seed(points: DataFrame, distances: tuple[float, ...], cell: fl
         if left <= share:
             break
     return best[1], best[2]
-
-
-def density_tree(points: DataFrame, k: int, cell: float, levels: int, least: int) -> DataFrame:
-    """Adds `label`: clusters of the density hierarchy with the largest excess of mass over a ladder of levels.
-
-    Mutual reachability joins points at each level (the levels are quantiles of the core distances); components of
-    `least` points or more form a tree, level in level; from the leaves up a cluster is kept if its own stability, the sum
-    over its points of the gain in density, is at least that of the best clusters inside it."""
-    near = cut(spatial.knn_join(points, points, k, cell))
-    core = cut(near.groupBy("scene_id", "left_id").agg(F.max("distance").alias("core")))
-    shares = [(i + 1) / (levels + 1) for i in range(levels)]
-    ladder = core.groupBy("scene_id").agg(F.percentile("core", F.array(*[F.lit(s) for s in shares])).alias("eps"))
-    reach = near.join(core, ["scene_id", "left_id"]).join(core.select("scene_id", F.col("left_id").alias("right_id"), F.col("core").alias("core2")), ["scene_id", "right_id"])
-    reach = cut(reach.select("scene_id", "left_id", "right_id", F.greatest("distance", "core", "core2").alias("d")))
-    each = reach.join(ladder, "scene_id").select("scene_id", "left_id", "right_id", "d", F.posexplode("eps").alias("level", "eps")).where(F.col("d") <= F.col("eps"))
-    edges = each.select(F.struct("scene_id", "level").alias("scene_id"), F.col("left_id").alias("u"), F.col("right_id").alias("v"))
-    parts = graph.components(edges).select("scene_id.scene_id", "scene_id.level", F.col("node").alias("point_id"), F.col("component").alias("cluster"))
-    big = parts.groupBy("scene_id", "level", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    parts = cut(parts.join(big, ["scene_id", "level", "cluster"], "left_semi"))
-    gain = _gains(ladder)
-    own = parts.groupBy("scene_id", "level", "cluster").agg(F.count("*").alias("n")).join(gain, ["scene_id", "level"]).withColumn("own", F.col("n") * F.col("gain"))
-    chosen = cut(own.where("level = 0").select("scene_id", "level", "cluster", "own", F.col("own").alias("best"), F.lit(True).alias("keep")))
-    tables = [chosen]
-    for level in range(1, levels):
-        inner, outer = parts.where(F.col("level") == level - 1), parts.where(F.col("level") == level)
-        up = inner.select("scene_id", "point_id", F.col("cluster").alias("child")).join(outer.select("scene_id", "point_id", "cluster"), ["scene_id", "point_id"]).select("scene_id", "child", "cluster").distinct()
-        below = up.join(tables[-1].select("scene_id", F.col("cluster").alias("child"), "best", F.col("own").alias("sum")), ["scene_id", "child"])
-        inside = below.groupBy("scene_id", "cluster").agg(F.sum("best").alias("inside"), F.count("*").alias("children"), F.sum("sum").alias("chain"))
-        state = own.where(F.col("level") == level).join(inside, ["scene_id", "cluster"], "left").withColumn("own", F.col("own") + F.when(F.col("children") == 1, F.col("chain")).otherwise(0.0))
-        keep = F.col("inside").isNull() | (F.col("own") >= F.col("inside"))
-        tables.append(cut(state.select("scene_id", "level", "cluster", "own", F.greatest("own", F.coalesce("inside", F.lit(0.0))).alias("best"), keep.alias("keep"))))
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    kept = parts.join(every.where("keep").select("scene_id", "level", "cluster"), ["scene_id", "level", "cluster"], "left_semi")
-    # the outermost kept cluster of a point holds all that are inside it
-    best = kept.groupBy("scene_id", "point_id").agg(F.max(F.struct("level", "cluster"))["cluster"].alias("label"))
-    return points.join(best, ["scene_id", "point_id"], "left")
-
-
-def _gains(ladder: DataFrame) -> DataFrame:
-    """Density gained from each level to the next wider one."""
-    at = ladder.select("scene_id", F.col("eps").alias("all"), F.posexplode("eps").alias("level", "eps"))
-    density = lambda e: 1.0 / F.greatest(e, F.lit(1e-9))
-    return at.select("scene_id", "level", (density(F.col("eps")) - F.coalesce(density(F.get("all", F.col("level") + 1)), F.lit(0.0))).alias("gain"))

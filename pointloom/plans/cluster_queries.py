@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
-from pointloom.operators import clusters, filters, ground, labels, refine, spatial, splits, traits
+from pointloom.operators import clusters, filters, ground, hierarchy, labels, refine, spatial, splits, traits
 from pointloom.views import view
 
 from .join_queries import _NEAR
@@ -56,7 +56,7 @@ def cl2(spark, d):
 
 @query("cl3_density_tree")
 def cl3(spark, d):
-    return _sizes(clusters.density_tree(_events(spark, d), 5, 0.4, 6, 15))
+    return _sizes(hierarchy.density_tree(_events(spark, d), 5, 0.4, 15))
 
 
 @query("cl4_density_peaks")
