@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import Tables, mix
 
 #: Vectors whose neighbours are searched exactly for the distance, vectors of a block, visits of a block, rows of one step.
-SAMPLE, BLOCK, VISITS, STEP = 64, 4096, 65_536, 512
-#: Vectors that a bucket should hold, slots that a projection is worth, slots looked at around a query's own.
-BUCKET, SLOTS, REACH = 1024, 3.0, 4
+SAMPLE, BLOCK, VISITS, STEP = 64, 16_384, 65_536, 512
+#: Vectors that a bucket should hold, slots that a projection is worth, slots looked at around a query's own. A visit moves a
+#: query and k results, about a kilobyte, whatever the bucket holds; buckets are large enough that comparing outweighs that.
+BUCKET, SLOTS, REACH = 8192, 3.0, 4
 
 
 def usable(vectors: DataFrame, dims: int) -> DataFrame:
