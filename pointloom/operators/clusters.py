@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pointloom.lineage import cut
 
 from . import graph, sampling, spatial
+from .watershed import watershed
 
 
 def dbscan(points: DataFrame, eps: float, least: int, same: str | None = None) -> DataFrame:
@@ -203,41 +204,6 @@ def summarised(points: DataFrame, threshold: float, reach: float) -> DataFrame:
     return placed.join(named, keys).drop("ix", "iy", "iz")
 
 
-def watershed(points: DataFrame, cell: float, separation: float, sigma_cells: float = 1.0) -> DataFrame:
-    """Adds `label`: basins of the distance transform of the occupied cells.
-
-    Every occupied cell's distance to the nearest empty one (a nearest join), smoothed over its surroundings; each cell
-    climbs to its best neighbour, chains of climbs are followed by pointer doubling, and tops that are not apart from a
-    higher one fall to the nearest peak."""
-    placed = cut(spatial.cells(points, cell))
-    keys = ["scene_id", "ix", "iy", "iz"]
-    solid = cut(placed.groupBy(*keys).agg(F.min("point_id").alias("point_id")).withColumns({c: (F.col(f"i{c}") + 0.5) * cell for c in "xyz"}))
-    around = solid.select(*keys)
-    for c in "xyz":
-        around = around.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"i{c}") - 1, F.col(f"i{c}") + 1)))
-    empty = around.distinct().join(solid.select(*keys), keys, "left_anti").withColumns({c: (F.col(f"i{c}") + 0.5) * cell for c in "xyz"} | {"point_id": F.xxhash64(*keys)})
-    depth = spatial.nearest_join(solid, empty, 2 * cell).select("scene_id", F.col("left_id").alias("point_id"), F.col("distance").alias("depth"))
-    deep = solid.join(depth, ["scene_id", "point_id"])
-    near = spatial.radius_join(deep, deep.withColumn("depth2", F.col("depth")), 2.01 * cell, extra=("depth2",))
-    w = F.exp(-0.5 * (F.col("distance") / (sigma_cells * cell)) * (F.col("distance") / (sigma_cells * cell)))
-    height = cut(near.groupBy("scene_id", F.col("left_id").alias("point_id")).agg((F.sum(w * F.col("depth2")) / F.sum(w)).alias("height")))
-    hill = cut(solid.join(height, ["scene_id", "point_id"]))
-    steps = spatial.radius_join(hill, hill.withColumn("h2", F.col("height")), 1.8 * cell, extra=("h2",))
-    climb = cut(steps.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.min(F.struct((-F.round("h2", 9)).alias("h"), "right_id"))["right_id"].alias("to")))
-    while True:
-        twice = climb.alias("a").join(climb.alias("b"), (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.to") == F.col("b.point_id")))
-        moved = cut(twice.select("a.scene_id", "a.point_id", F.col("b.to").alias("to"), (F.col("a.to") != F.col("b.to")).alias("_moved")))
-        climb = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
-    tops = hill.join(climb.where(F.col("point_id") == F.col("to")).select("scene_id", "point_id"), ["scene_id", "point_id"], "left_semi")
-    chosen = top_separated(tops, tops.select("scene_id", "point_id", F.col("height").alias("score")), 1 << 30, separation, 1 << 30)
-    there = tops.join(chosen, ["scene_id", "point_id"], "left_semi").select("scene_id", F.col("point_id").alias("label"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    fallen = to_nearest(tops, there).select("scene_id", F.col("point_id").alias("to"), "label")
-    basins = solid.select(*keys, "point_id").join(climb, ["scene_id", "point_id"]).join(fallen, ["scene_id", "to"]).select(*keys, "label")
-    return placed.join(basins, keys, "left").drop("ix", "iy", "iz")
-
-
 def with_adaptive_seed(points: DataFrame, distances: tuple[float, ...], cell: float, share: float = 0.1, least: int = 50) -> tuple[float, DataFrame]:
     """The first seed distance that leaves at most `share` of the points in clusters under `least` points, else the one that
     leaves the fewest, and its labels."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
-from pointloom.operators import clusters, filters, ground, hierarchy, labels, refine, spatial, splits, traits
+from pointloom.operators import agglomeration, clusters, filters, ground, hierarchy, labels, refine, spatial, splits, traits
 from pointloom.views import view
 
 from .join_queries import _NEAR
@@ -98,6 +98,11 @@ def cl10(spark, d):
     return _sizes(clusters.linked(_events(spark, d), 5, 0.4, 0.12))
 
 
+@query("cl10_agglomerated")
+def cl10_agglomerated(spark, d):
+    return _sizes(agglomeration.agglomerated(_events(spark, d), 5, 0.4, 0.12))
+
+
 @query("cl11_watershed")
 def cl11(spark, d):
     return _sizes(clusters.watershed(_events(spark, d), 0.1, 0.6))

@@ -520,11 +520,15 @@ def sticky(spark, d):
     return e.select("scene_id", F.floor(F.col("inst") / 2).alias("cluster"), "point_id", *"xyz", "inst")
 
 
+#: Settings that the sweeps try.
+SPACINGS, VALLEYS = (0.20, 0.25, 0.30, 0.35), (0.80, 0.85, 0.90, 0.95)
+
+
 @query("me11_parameter_scan")
 def me11(spark, d):
     from pointloom.operators import sweeps
 
-    return sweeps.scan(sticky(spark, d), [(s, v) for s in (0.25, 0.35) for v in (0.85, 0.9)])
+    return sweeps.scan(sticky(spark, d), [(s, v) for s in SPACINGS for v in VALLEYS])
 
 
 @query("me12_optimal_assignment")
@@ -537,7 +541,7 @@ def me12(spark, d):
 def st15(spark, d):
     from pointloom.operators import splits, sweeps
 
-    return rounded(sweeps.density_sensitivity(sticky(spark, d), splits.Rule(), trials=5))
+    return rounded(sweeps.density_sensitivity(sticky(spark, d), splits.Rule()))
 
 
 @query("st16_tuned_rule")
@@ -545,7 +549,7 @@ def st16(spark, d):
     """Coordinate descent over a scanned grid of spacing and valley, by the share of clusters that split right."""
     from pointloom.operators import sweeps
 
-    grid = {"spacing": [0.25, 0.35], "valley": [0.85, 0.9]}
+    grid = {"spacing": list(SPACINGS), "valley": list(VALLEYS)}
     rows = {(r["spacing"], r["valley"]): r for r in sweeps.scan(sticky(spark, d), [(s, v) for s in grid["spacing"] for v in grid["valley"]]).collect()}  # a row a setting
 
     def score(s: dict) -> float:
