@@ -110,12 +110,10 @@ def to_nearest(points: DataFrame, centres: DataFrame, cap: float | None = None)
     return points.join(best, ["scene_id", "point_id"], "left")
 
 
-def top_separated(points: DataFrame, scores: DataFrame, count: int, separation: float, candidates: int = 200) -> DataFrame:
-    """scene_id, point_id, score of the best points that are `separation` or more from every better chosen one."""
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("scene_id").orderBy(F.desc("score"), "point_id")
-    top = cut(scores.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= candidates).drop("_r").join(points.select("scene_id", "point_id", *"xyz"), ["scene_id", "point_id"]))
+def separated(points: DataFrame, scores: DataFrame, separation: float) -> DataFrame:
+    """scene_id, point_id, score of the points that are `separation` or more from every better chosen one (the smaller id on
+    ties). Rounds: points that no better live point is near stay, those near one that stays go."""
+    top = cut(scores.join(points.select("scene_id", "point_id", *"xyz"), ["scene_id", "point_id"]))
     pairs = spatial.radius_join(top, top.withColumn("score2", F.col("score")), separation, extra=("score2",), extra_left=("score",))
     better = (F.col("score2") > F.col("score")) | ((F.col("score2") == F.col("score")) & (F.col("right_id") < F.col("left_id")))
     beaten = cut(pairs.where((F.col("left_id") != F.col("right_id")) & better).select("scene_id", F.col("left_id").alias("point_id"), F.col("right_id").alias("by")))
@@ -126,7 +124,7 @@ def top_separated(points: DataFrame, scores: DataFrame, count: int, separation:
         kept = stay if kept is None else kept.unionByName(stay)
         gone = beaten.join(stay.select("scene_id", F.col("point_id").alias("by")), ["scene_id", "by"], "left_semi").select("scene_id", "point_id")
         live = cut(live.join(stay, ["scene_id", "point_id"], "left_anti").join(gone, ["scene_id", "point_id"], "left_anti"))
-    return kept.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= count).drop("_r") if kept is not None else top.select("scene_id", "point_id", "score")
+    return kept if kept is not None else live
 
 
 def first_separated(points: DataFrame, scores: DataFrame, count: int, separation: float) -> DataFrame:
@@ -162,9 +160,9 @@ def mean_shift(points: DataFrame, bandwidth: float, cell: float, least: int = 1,
         seeds = moved
         if far is None or far < tolerance:
             break
-    modes = top_separated(seeds, seeds.select("scene_id", "point_id", F.col("n").cast("double").alias("score")), 1 << 30, bandwidth, 1 << 30)
-    there = seeds.join(modes, ["scene_id", "point_id"], "left_semi").select("scene_id", F.col("point_id").alias("label"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    return to_nearest(points, there)
+    modes = separated(seeds, seeds.select("scene_id", "point_id", F.col("n").cast("double").alias("score")), bandwidth)
+    near = spatial.nearest_join(points, seeds.join(modes, ["scene_id", "point_id"], "left_semi"), bandwidth)
+    return points.join(near.select("scene_id", F.col("left_id").alias("point_id"), F.col("right_id").alias("label")), ["scene_id", "point_id"], "left")
 
 
 def k_means(points: DataFrame, k: int, rounds: int = 15, flat: bool = True) -> DataFrame:
