@@ -197,22 +197,30 @@ def _jpeg(c: Content, at: int) -> int:
     b, p = c.b, at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         c.spend(8)
+        if b[p + 1] == 0xFF:  # a fill byte
+            p += 1
+            continue
         kind, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if kind == 0xDA:
             return c.after(b"\xff\xd9", p + 2 + size) + 2 if c.after(b"\xff\xd9", p + 2 + size) >= 0 else 0
-        if kind in (0, 0xFF) or 0xD0 <= kind <= 0xD9 or size < 2:
+        if kind == 0 or 0xD0 <= kind <= 0xD9 or size < 2:
             return 0
         p += 2 + size
     return 0
 
 
 def _zip(c: Content, at: int) -> int:
-    b, end = c.b, c.after(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, comment = struct.unpack_from("<IIH", b, end + 12)
-    whole = at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02"
-    return end + 22 + comment if whole and end + 22 + comment <= len(b) else 0
+    """Up to the first end record whose directory lies where it says; records before it are of archives stored inside."""
+    b, ends = c.b, c.marks[b"PK\x05\x06"]
+    for end in ends[bisect_left(ends, at) :]:
+        c.spend(22)
+        if end + 22 > len(b):
+            return 0
+        size, start, comment = struct.unpack_from("<IIH", b, end + 12)
+        whole = at + start + size == end and (b[at + start : at + start + 4] == b"PK\x01\x02")
+        if whole and end + 22 + comment <= len(b):
+            return end + 22 + comment
+    return 0
 
 
 def _pdf(c: Content, at: int) -> int:

@@ -20,14 +20,26 @@ SLOTS, SIZES = 1 << 12, (2, 3, 4)
 #: Labelled rows that a fit may take.
 FIT_ROWS = 12_000
 
-#: Words of hosts that are to be blocked and of ordinary ones; the labelled table is made of them. Ours.
-BAD = "casino bets poker slots win bonus free cheap pills meds viagra replica adult cams xxx ads track click popup spam farm seo backlinks loans payday crack warez keygen prizes deals".split()
+#: Words of hosts that are to be blocked and of ordinary ones; the labelled table is made of them. Ours: gambling, medicines
+#: by post, sexual content, advertising and tracking, lures, forged goods and credit, and against them everyday nouns.
+BAD = (
+    "casino casinos betting sportsbet gamble gambler poker slots roulette jackpot blackjack bingo lottery wager bookmaker winner winning wins bonus bonuses spins "
+    "pill pillshop viagra cialis pharma pharmacy meds tramadol steroids slimming diet cheaper cheapest cheapmeds discount discounts coupon "
+    "adults adultcam porn porno sex sexy xxx cams webcam escort hookup nude milf fetish hentai "
+    "adserver adsense advert adverts banner popup popunder clicks clickbait tracker trackers tracking pixel retarget affiliate traffic redirect "
+    "freebie freebies freegift giveaway prize prizes reward rewards claim lucky voucher survey spins crypto bitcoin forex airdrop doubler invest "
+    "replica replicas rolex handbags outlet wholesale warez keygen crack cracked torrent serial nulled cheats "
+    "loan loans payday credit debt refinance mortgage spammer spamming spambot linkfarm farming botnet seo backlinks phish login-verify malware"
+).split()
 GOOD = (
     "library news garden weather docs museum recipes university shop thermal mountain forum travel wiki photos hospital maps code theatre "
     "science river music history school market bakery energy city water thread tower harbour letter station stone village winter theory "
     "nation motion question ocean garage mother brother north south earth health youth truth growth thing thank there where white wheel "
     "ship shelter fashion shadow kitchen teacher paper pepper summer dinner table cable noble island hand friend border order animal "
-    "painting building morning evening string spring orange bridge cottage yellow window pillow"
+    "painting building morning evening string spring orange bridge cottage yellow window pillow account archive atlas author balance "
+    "basket beacon bicycle camera canvas carpet castle ceramic chapel children chorus climate clinic coast college compass concert "
+    "country culture desert doctor drawing engine factory family festival field flower forest fruit gallery glacier grammar guitar "
+    "journal justice language lantern lesson machine meadow measure medicine memory mirror mobile nature needle network notebook"
 ).split()
 
 #: Rules as host and path, and what they decide; they fit the host, its subdomains and the paths that begin so.
@@ -36,11 +48,11 @@ RULES = [
 ]
 
 
-def labelled_rows() -> list[tuple[str, int]]:
+def labelled_rows(bad: list[str] = BAD, good: list[str] = GOOD) -> list[tuple[str, int]]:
     """Small table of URLs, 1 to be blocked: each word alone and before each of the next three, under turning subdomains,
     domains and paths that tell nothing."""
     out = []
-    for label, words in ((1, BAD), (0, GOOD)):
+    for label, words in ((1, bad), (0, good)):
         for i, w in enumerate(words):
             hosts = [w, *(f"{w}-{words[(i + k) % len(words)]}" for k in (1, 2, 3))]
             for k, host in enumerate(hosts):

@@ -163,6 +163,34 @@ def test_updated_files_and_members_are_whole():
     assert media.sniff(pack(b"one") + pack(b"two") + b"rest", search)[:3] == ("application/gzip", len(pack(b"one") + pack(b"two")), [])
 
 
+def test_archives_in_archives_and_fill_bytes():
+    import io
+    import zipfile
+
+    def pack(*members, comment=b""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for i, m in enumerate(members):
+                z.writestr(f"m{i}", m)
+            z.comment = comment
+        return out.getvalue()
+
+    search = media.automaton()
+    inner = pack(b"some text", comment=b"inner")
+    nested = pack(inner, b"more", inner)
+    kind, size, inside, unchecked = media.sniff(nested + b"tail", search)
+    at = nested.index(inner)
+    assert (kind, size, unchecked) == ("application/zip", len(nested), 0)
+    assert ("application/zip", at, len(inner)) in inside and ("application/zip", nested.index(inner, at + 1), len(inner)) in inside and len(inside) == 2
+    twice = pack(nested)
+    assert media.sniff(twice, search)[:2] == ("application/zip", len(twice))
+    segment = b"\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0"
+    scan = b"\xff\xda\0\x08\1\1\0\0\x3f\0data\xff\xd9"
+    for fill in (b"", b"\xff", b"\xff\xff\xff"):
+        jpeg = b"\xff\xd8" + segment + fill + b"\xff\xdb\0\4ab" + fill + scan
+        assert media.sniff(jpeg + b"rest", search)[:2] == ("image/jpeg", len(jpeg)), fill
+
+
 def test_types_are_corrected_and_media_carved(spark):
     png, wav = media.as_png(b"p" * 384), media.as_wav(b"w" * 192)
     gzip = zlib.compressobj(wbits=31)
@@ -209,17 +237,34 @@ def test_url_fits(spark, nothing):
     assert [r["score"] for r in urls.judge(pages, none).collect()] == [0.5, 0.5]
 
 
-def test_url_model_on_held_out_rows():
-    """Of five folds of the labelled table, and of the hosts of the pages, which it does not hold."""
-    rows = [(u.split("/")[2], "/" + u.split("/", 3)[3], y) for u, y in urls.labelled_rows()]
+def _blocked(w, host, path):
+    found = urls.slots(host, path)
+    return w[found].sum() / len(found) ** 0.5 + w[-1] >= 0
+
+
+def _split(rows):
+    return [(u.split("/")[2], "/" + u.split("/", 3)[3], y) for u, y in rows]
+
+
+def test_url_model_on_held_out_words():
+    """Five folds by word: no host of a fold's words, alone or with others, is in what its model learns from."""
+    bad, good = list(dict.fromkeys(urls.BAD)), list(dict.fromkeys(urls.GOOD))
+    told = {0: [], 1: []}
+    for k in range(5):
+        w = urls.train(_split(urls.labelled_rows([x for i, x in enumerate(bad) if i % 5 != k], [x for i, x in enumerate(good) if i % 5 != k])))
+        for label, words in ((1, bad), (0, good)):
+            told[label] += [_blocked(w, f"www.{x}.example.com", "/en/1") for i, x in enumerate(words) if i % 5 == k]
+    recall, alarms = np.mean(told[1]), np.mean(told[0])
+    print("held-out words: recall", recall, "false alarms", alarms)
+    assert recall >= 0.5 and alarms <= 0.25
 
-    def right(w, host, path, label):
-        found = urls.slots(host, path)
-        return (w[found].sum() / len(found) ** 0.5 + w[-1] >= 0) == bool(label)
 
-    folds = [urls.train([r for i, r in enumerate(rows) if i % 5 != k]) for k in range(5)]
-    assert np.mean([right(folds[i % 5], *r) for i, r in enumerate(rows)]) >= 0.95
-    hosts = duckdb.sql(r"SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
+def test_url_model_on_hosts_of_the_pages():
+    """Of the words of the pages' hosts only "casino" stands in the labelled table as it is."""
+    hosts = [h for h, in duckdb.sql(r"SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+    own = {x for h in hosts for part in h.split(".")[:-2] for x in part.split("-")}
+    assert own & {x for w in urls.BAD + urls.GOOD for x in w.split("-")} == {"casino"}
     bad = ("casino", "bets", "pills", "track", "spam", "adult")
-    assert len(hosts) == 60 and sum(any(x in h for x in bad) for h, in hosts) == 6
-    assert all(right(urls.default_weights(), h, f"/{f}/{n}", any(x in h for x in bad)) for h, in hosts for f in ("en", "de") for n in (17, 4242))
+    assert len(hosts) == 60 and sum(any(x in h for x in bad) for h in hosts) == 6
+    wrong = {h for h in hosts for f in ("en", "de") for n in (17, 4242) if _blocked(urls.default_weights(), h, f"/{f}/{n}") != any(x in h for x in bad)}
+    assert not wrong
