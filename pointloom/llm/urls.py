@@ -99,7 +99,7 @@ def slots(host: str, path: str) -> list[int]:
     return [_slot(g) for g in found]
 
 
-def train(rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 2.0, decay: float = 1e-5) -> np.ndarray:
+def train(rows: list[tuple[str, str, int]], rounds: int = 1500, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
     """Weights of the slots, the last for the constant; full-batch gradient steps over rows of host, path and label."""
     w = np.zeros(SLOTS + 1)
     if not rows:
