@@ -437,6 +437,13 @@ def tt3(spark, d):
     return rounded(traits.spans(view(spark, d, "points"), "gt_inst"))
 
 
+@query("tt4_largest_diameter", """
+SELECT a.scene_id, a.inst, round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS max_diameter
+FROM event_points a JOIN event_points b ON a.scene_id = b.scene_id AND a.inst = b.inst WHERE a.inst > 0 GROUP BY ALL""")
+def tt4(spark, d):
+    return rounded(traits.hulls(view(spark, d, "event_points"), "inst").select("scene_id", "inst", "max_diameter"), 6, "max_diameter")
+
+
 @query("tt3_crown_hull")
 def tt3b(spark, d):
     return rounded(traits.hulls(view(spark, d, "event_points"), "inst"))
