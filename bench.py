@@ -15,6 +15,7 @@ HEADLINE = [
     "flt1_plane_ground", "flt2_percentile_prefilter", "flt7_mad_filter", "smp6_voxel_downsample", "til1_sliding_tiles", "jn5_radius_join", "jn6_ball_query",
     "jn11_proposal_overlaps", "ag6_covariance", "ag10_confusion", "me1_instance_matching", "me2_detection_metrics", "me7_panoptic_quality", "cl2_dbscan",
     "rf7_tiny_fragments", "rf10_noise_to_nearest", "gd3_terrain_grid", "tt2_heights", "st11_signed_rank", "ag14_scene_gain_counts",
+    "cl11_watershed", "rf1_skeleton_split", "rf12_post_stage_chain",
 ]
 
 
