@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointloom.lineage import shared_folder
-from pointloom.sources import readers, writers
+from pointloom.sources import ranges, readers, sinks, writers
 from pointloom.streaming import scenes
 from pointloom.views import view
 
@@ -50,6 +50,48 @@ def src2(spark, d):
     return _sums(readers.clouds(spark, folder, r"\.txt$"), "sem", "inst")
 
 
+_SCENE = r"/scene=([^/]+)/"
+
+
+def _read_again(spark, d, columns, spans=1 << 16, **forms):
+    """Scenes (their columns, with the names to write) in files of each form, read again by small ranges."""
+    folder = shared_folder(spark, "clouds")
+    for form, scenes_of in forms.items():
+        points = _scenes(spark, d).where(scenes_of).select("scene_id", "point_id", *[F.col(c).alias(n) for c, n in columns.items()])
+        sinks.cloud_files(spark, points, folder, form, rows=20_000)
+    read = ranges.clouds(spark, folder, r"\.ply$", tuple(columns), _SCENE, spans)
+    return read.withColumn("scene_id", F.col("scene_id").cast("long"))
+
+
+@query("src4_ascii_ply", f"SELECT CAST(scene_id AS BIGINT) AS scene_id, CASE WHEN gt_inst = 0 THEN 0 ELSE sem_gt END AS sem, CASE WHEN gt_inst = 0 THEN -1 ELSE gt_inst END AS inst, {_SUMS}, round(sum(r), 4) AS r FROM points GROUP BY 1, 2, 3")
+def src4(spark, d):
+    """PLY as text with class and instance, both NaN for points of no instance."""
+    folder = shared_folder(spark, "clouds")
+    known = [F.when(F.col("inst") > 0, F.col(c)).otherwise(float("nan")).cast("double").alias(n) for c, n in (("sem", "semantic"), ("inst", "instance"))]
+    sinks.cloud_files(spark, _scenes(spark, d).select("scene_id", "point_id", *"xyz", *"rgb", *known), folder, "ply_ascii", rows=20_000)
+    read = ranges.clouds(spark, folder, r"\.ply$", scene=_SCENE, span=1 << 16).withColumn("scene_id", F.col("scene_id").cast("long"))
+    out = read.groupBy("scene_id", "sem", "inst").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyzr"])
+    return rounded(out, 4, *"xyzr")
+
+
+@query("src5_binary_ply", f"SELECT CAST(scene_id AS BIGINT) AS scene_id, gt_inst AS inst, {_SUMS} FROM points GROUP BY ALL")
+def src5(spark, d):
+    """Binary PLY of both byte orders, instances under `plant_ids`; no other column is decoded."""
+    even = F.col("scene_id") % 2 == 0
+    columns = {**{c: c for c in "xyz"}, "inst": "plant_ids"}
+    return _sums(_read_again(spark, d, columns, ply_little=even, ply_big=~even), "scene_id", "inst")
+
+
+@query("src6_named_ply", f"SELECT CAST(scene_id AS BIGINT) AS scene_id, sem_gt AS sem, {_SUMS}, round(max(b), 4) AS b FROM points GROUP BY 1, 2")
+def src6(spark, d):
+    """Text and binary PLY whose property names are only alike."""
+    even = F.col("scene_id") % 2 == 0
+    columns = {**{c: c for c in "xyz"}, "r": "diffuse_red", "g": "diffuse_green", "b": "diffuse_blue", "sem": "scalar_sf_class"}
+    read = _read_again(spark, d, columns, ply_ascii=even, ply_little=~even)
+    out = read.groupBy("scene_id", "sem").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"], F.max("b").alias("b"))
+    return rounded(out, 4, *"xyzb")
+
+
 @query("src3_ground_truth_text", f"SELECT sem_gt AS sem, gt_inst AS inst, {_SUMS} FROM points GROUP BY ALL")
 def src3(spark, d):
     columns = [F.col(c) for c in "xyz"] + [F.col(c) * 255 for c in "rgb"] + [F.col("sem"), F.when(F.col("inst") > 0, F.col("inst")).otherwise(-1)]
@@ -163,6 +205,16 @@ def snk6b(spark, d):
     return writers.obj_text(view(spark, d, "points")).groupBy("scene_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+@query("snk6_obj_files", "SELECT CAST(scene_id AS BIGINT) AS scene_id, count(*) AS vertices, round(sum(x), 4) AS x, round(sum(b), 4) AS b FROM points GROUP BY 1")
+def snk6c(spark, d):
+    """OBJ files, written by tasks that commit, and the numbers on their lines."""
+    folder = shared_folder(spark, "obj")
+    sinks.cloud_files(spark, _scenes(spark, d).select("scene_id", "point_id", *"xyz", *"rgb"), folder, "obj", rows=20_000)
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), _SCENE, 1).cast("long").alias("scene_id"), F.split("value", " ").alias("v"))
+    out = lines.where("v[0] = 'v'").groupBy("scene_id").agg(F.count("*").alias("vertices"), F.sum(F.col("v")[1].cast("double")).alias("x"), F.sum(F.col("v")[6].cast("double")).alias("b"))
+    return rounded(out, 4, "x", "b")
+
+
 @query("snk1_ply_lines", "SELECT scene_id, count(*) AS lines, count(*) AS vertices FROM points GROUP BY ALL")
 def snk1(spark, d):
     return writers.ply_text(writers.coloured(view(spark, d, "points"), "pred_inst")).groupBy("scene_id").agg(F.count("*").alias("lines"), F.max("vertices").alias("vertices"))
