@@ -202,6 +202,46 @@ def summarised(points: DataFrame, threshold: float, reach: float) -> DataFrame:
     return placed.join(named, keys).drop("ix", "iy", "iz")
 
 
+#: Cells of a feature tree are an eighth of the radius bound at first and double their size with each level, up to four bounds.
+TREE_LEVELS = 6
+
+
+def feature_leaves(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Points with `label`, the leaf that holds them (named by its smallest point), and the leaves: scene_id, label, n, the
+    sums sx, sy, sz, the sum of squares ss and the radius (root mean square distance from the mean), which is no more than
+    the bound.
+
+    A leaf is a triple of count, sums and sum of squares, which add up when leaves merge. Points are summarised by small
+    cells; level by level, the summaries of a cell of twice the size merge if their radius stays within the bound, else they
+    are leaves for good. Every level is one aggregation over summaries, whose number falls with each."""
+    keys, sums = ["scene_id", "ix", "iy", "iz"], ["n", "sx", "sy", "sz", "ss"]
+    placed = spatial.cells(points, radius / 8)
+    squares = F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("ss")
+    bases = placed.groupBy(*keys).agg(F.min("point_id").alias("label"), F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], squares)
+    bases = cut(bases)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")) / (F.col("n") * F.col("n"))))
+    live, done = bases, None
+    for level in range(TREE_LEVELS + 1):
+        if level == TREE_LEVELS:
+            closed, live = live, None
+        else:
+            upper = ["scene_id", *[f"u{c}" for c in "xyz"]]
+            up = live.withColumns({f"u{c}": F.floor(F.col(f"i{c}") / 2) for c in "xyz"})
+            parents = up.groupBy(*upper).agg(F.min("label").alias("label"), *[F.sum(c).alias(c) for c in sums])
+            good = cut(parents.where(spread <= radius))
+            closed = up.join(good.select(*upper), upper, "left_anti").select(*keys, "label", *sums)
+            live = good.select("scene_id", *[F.col(f"u{c}").alias(f"i{c}") for c in "xyz"], "label", *sums)
+        closed = closed.withColumn("level", F.lit(level))
+        done = closed if done is None else done.unionByName(closed)
+    done = cut(done)
+    paths = [F.struct(F.lit(k).alias("level"), *[F.floor(F.col(f"i{c}") / (1 << k)).alias(f"a{c}") for c in "xyz"]) for k in range(TREE_LEVELS + 1)]
+    above = bases.select(*keys, F.inline(F.array(*paths)))
+    named = above.join(done.select("scene_id", "level", *[F.col(f"i{c}").alias(f"a{c}") for c in "xyz"], "label"), ["scene_id", "level", "ax", "ay", "az"])
+    home = named.groupBy(*keys).agg(F.min(F.struct("level", "label"))["label"].alias("label"))  # the lowest leaf above a cell is its own
+    leaves = done.select("scene_id", "label", *sums, spread.alias("radius"))
+    return placed.join(home, keys).select(*points.columns, "label"), leaves
+
+
 def with_adaptive_seed(points: DataFrame, distances: tuple[float, ...], cell: float, share: float = 0.1, least: int = 50) -> tuple[float, DataFrame]:
     """The first seed distance that leaves at most `share` of the points in clusters under `least` points, else the one that
     leaves the fewest, and its labels."""

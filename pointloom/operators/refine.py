@@ -108,22 +108,37 @@ def features(points: DataFrame, label: str, more: tuple[str, ...] = ()) -> DataF
     return base.join(spans, keys)
 
 
-def relabelled(points: DataFrame, label: str, edges: DataFrame) -> DataFrame:
-    """Clusters linked by edges (scene_id, u, v) take the smallest label among them."""
-    found = graph.components(edges).where(F.col("node") != F.col("component")).withColumnRenamed("node", label)
+def relabelled(points: DataFrame, label: str, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Clusters linked by edges (scene_id, u, v) take the smallest label among them, or the one of them that is in names
+    (scene_id, node)."""
+    found = graph.components(edges)
+    if names is not None:
+        found = cut(found)
+        chosen = found.join(names, ["scene_id", "node"]).select("scene_id", "component", F.col("node").alias("_name"))
+        found = found.join(chosen, ["scene_id", "component"]).select("scene_id", "node", F.col("_name").alias("component"))
+    found = found.where(F.col("node") != F.col("component")).withColumnRenamed("node", label)
     joined = points.join(found, ["scene_id", label], "left")
     return joined.withColumn(label, F.coalesce("component", label)).drop("component")
 
 
 def merge_fragments(points: DataFrame, label: str, short: float = 0.15, distance: float = 0.20, angle: float = 25.0) -> DataFrame:
     """Each short cluster joins the nearest other one (the smaller label on ties) whose centre is within the distance and
-    whose first axis differs by less than the angle; joins are transitive. Centres meet by cells."""
-    f = cut(features(points, label).select("scene_id", F.col(label).alias("point_id"), "l1", *[F.col(f"mean_{c}").alias(c) for c in "xyz"], F.slice("axes", 1, 3).alias("axis")))
-    near = spatial.radius_join(f.where(F.col("l1") <= short), f.withColumn("_axis", F.col("axis")), distance, extra=("_axis",), extra_left=("axis",), closed=True)
+    whose first axis differs by less than the angle; joins are transitive. Centres meet by cells.
+
+    As in a pass from the smallest cluster to the largest (then by label), where each takes its neighbour's name, joined
+    clusters are named by the one that joined none, or, where two joined each other, by the one whose turn came last. Longer
+    rings do not arise: each would hold equal distances only, of which its smallest label draws both its neighbours."""
+    f = cut(features(points, label).select("scene_id", F.col(label).alias("point_id"), "n", "l1", *[F.col(f"mean_{c}").alias(c) for c in "xyz"], F.slice("axes", 1, 3).alias("axis")))
+    right = f.select("scene_id", "point_id", *"xyz", F.col("axis").alias("_axis"), F.col("n").alias("_n"))
+    near = spatial.radius_join(f.where(F.col("l1") <= short), right, distance, extra=("_axis", "_n"), extra_left=("axis", "n"), closed=True)
     dot = F.abs(F.aggregate(F.zip_with("axis", "_axis", lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x))
     close = near.where((F.col("left_id") != F.col("right_id")) & (F.degrees(F.acos(F.least(dot, F.lit(1.0)))) < angle))
-    best = close.groupBy("scene_id", F.col("left_id").alias("u")).agg(F.min(F.struct("distance", "right_id"))["right_id"].alias("v"))
-    return relabelled(points, label, best)
+    first = F.min(F.struct("distance", "right_id", "n", "_n"))
+    best = cut(close.groupBy("scene_id", F.col("left_id").alias("u")).agg(first.alias("_b")).select("scene_id", "u", F.col("_b.right_id").alias("v"), "_b.n", "_b._n"))
+    sinks = best.select("scene_id", F.col("v").alias("node")).distinct().join(best.select("scene_id", F.col("u").alias("node")), ["scene_id", "node"], "left_anti")
+    mutual = best.join(best.select("scene_id", F.col("u").alias("v"), F.col("v").alias("u")), ["scene_id", "u", "v"])
+    last = mutual.where(F.struct("n", "u") > F.struct(F.col("_n").alias("n"), F.col("v").alias("u"))).select("scene_id", F.col("u").alias("node"))
+    return relabelled(points, label, best.select("scene_id", "u", "v"), sinks.unionByName(last))
 
 
 def merge_stacked(points: DataFrame, label: str, flat: float = 0.20, rise: float = 0.20, diagonal: float = 0.65, share: float = 0.15, cell: float = 0.03, least: int = 10) -> DataFrame:

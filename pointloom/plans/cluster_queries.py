@@ -84,6 +84,29 @@ def cl8(spark, d):
     return _sizes(clusters.summarised(_events(spark, d), 0.1, 0.2))
 
 
+def _tree_sql(radius: float) -> str:
+    """Levels of the feature tree, one after the other."""
+    cells = ", ".join(f"floor({c} / {radius / 8}) AS i{c}" for c in "xyz")
+    spread = "sqrt(greatest(0.0, ss / n - (sx * sx + sy * sy + sz * sz) / (n * n)))"
+    parts = [f"""t0 AS (SELECT scene_id, {cells}, min(point_id) AS label, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x * x + y * y + z * z) AS ss
+FROM event_points GROUP BY ALL)"""]
+    for k in range(clusters.TREE_LEVELS):
+        up = ", ".join(f"floor(i{c} / 2) AS i{c}" for c in "xyz")
+        same = " AND ".join(f"floor(t.i{c} / 2) = g.i{c}" for c in "xyz")
+        parts.append(f"""t{k + 1} AS (SELECT * FROM (SELECT scene_id, {up}, min(label) AS label, CAST(sum(n) AS BIGINT) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sz) AS sz, sum(ss) AS ss
+FROM t{k} GROUP BY scene_id, floor(ix / 2), floor(iy / 2), floor(iz / 2)) WHERE {spread} <= {radius}),
+c{k} AS (SELECT * FROM t{k} t WHERE NOT EXISTS (SELECT 1 FROM t{k + 1} g WHERE g.scene_id = t.scene_id AND {same}))""")
+    rows = " UNION ALL ".join(f"SELECT * FROM {t}" for t in [*(f"c{k}" for k in range(clusters.TREE_LEVELS)), f"t{clusters.TREE_LEVELS}"])
+    return f"WITH {', '.join(parts)} SELECT scene_id, label, n, n AS points, round(sx / n, 6) AS mean_x, round({spread}, 5) AS radius FROM ({rows})"
+
+
+@query("cl8_feature_leaves", _tree_sql(0.0937))
+def cl8b(spark, d):
+    labelled, leaves = clusters.feature_leaves(_events(spark, d), 0.0937)
+    counted = labelled.groupBy("scene_id", "label").agg(F.count("*").alias("points"), F.round(F.avg("x"), 6).alias("mean_x"))
+    return leaves.join(counted, ["scene_id", "label"]).select("scene_id", "label", "n", "points", "mean_x", F.round("radius", 5).alias("radius"))
+
+
 @query("cl9_mean_shift")
 def cl9(spark, d):
     return _sizes(clusters.mean_shift(_events(spark, d), 0.6, 0.4, least=5))
