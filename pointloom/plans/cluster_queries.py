@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
-from pointloom.operators import agglomeration, clusters, filters, ground, hierarchy, labels, refine, spatial, splits, traits
+from pointloom.operators import agglomeration, alpha, clusters, filters, ground, hierarchy, labels, refine, spatial, splits, traits
 from pointloom.views import view
 
 from .join_queries import _NEAR
@@ -479,6 +479,12 @@ def tt5(spark, d):
     return rounded(traits.voxel_volume(view(spark, d, "points"), "gt_inst"))
 
 
+@query("tt5_alpha_volume")
+def tt5b(spark, d):
+    """Alpha volumes of instances; tests hold the operator against all tetrahedra with an empty sphere."""
+    return rounded(alpha.volumes(_events(spark, d), "inst", 0.08))
+
+
 @query("pipeline_scene_traits")
 def scene_pipeline(spark, d):
     """Ground off, clusters, clean-up and traits of all scenes in one run."""
