@@ -327,7 +327,15 @@ def gp8(spark, d):
     return masks.groupBy("scene_id", "proposal_id").agg(F.sum(mask).alias("mask_sum"))
 
 
-@query("gp9_proposal_assignment")
+@query("gp9_proposal_assignment", """
+WITH g AS (SELECT DISTINCT scene_id, point_id, point_id % 9 AS gt FROM proposals), s AS (SELECT scene_id, proposal_id, count(*) AS n FROM proposals GROUP BY ALL),
+t AS (SELECT scene_id, gt, count(*) AS n FROM g GROUP BY ALL),
+i AS (SELECT p.scene_id, p.proposal_id, g.gt, count(*) / (s.n + t.n - count(*) + CAST('1e-5' AS DOUBLE)) AS iou FROM proposals p JOIN g ON p.scene_id = g.scene_id AND p.point_id = g.point_id
+  JOIN s ON s.scene_id = p.scene_id AND s.proposal_id = p.proposal_id JOIN t ON t.scene_id = g.scene_id AND t.gt = g.gt GROUP BY p.scene_id, p.proposal_id, g.gt, s.n, t.n),
+b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY scene_id, proposal_id ORDER BY iou DESC, gt) = 1),
+l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY scene_id, gt ORDER BY iou DESC, proposal_id) = 1),
+m AS (SELECT scene_id, proposal_id, max(gt) AS low FROM l GROUP BY ALL)
+SELECT b.scene_id, b.proposal_id, coalesce(low, CASE WHEN iou >= 0.11 THEN gt END) AS gt FROM b LEFT JOIN m ON m.scene_id = b.scene_id AND m.proposal_id = b.proposal_id""")
 def gp9(spark, d):
     """The best true instance of each proposal at or above 0.11, and for every instance its best proposal whatever the IoU."""
     i = _proposal_iou(spark, d)

@@ -462,13 +462,27 @@ def me5(spark, d):
     return m.agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("miou"))
 
 
-@query("me6_ap_over_thresholds")
+_LEVELS = [0.25, *[0.5 + 0.05 * k for k in range(9)]]
+
+
+@query("me6_ap_over_thresholds", f"""
+WITH c AS (SELECT scene_id, pred_inst AS pred, gt_inst AS gt, count(*) AS n FROM points GROUP BY ALL),
+a AS (SELECT scene_id, pred, CAST(sum(n) AS BIGINT) AS area FROM c WHERE pred > 0 GROUP BY ALL), g AS (SELECT scene_id, gt, CAST(sum(n) AS BIGINT) AS area FROM c WHERE gt > 0 GROUP BY ALL),
+i AS (SELECT c.scene_id, c.pred, c.gt, a.area, c.n / (a.area + g.area - c.n) AS iou FROM c JOIN a ON a.scene_id = c.scene_id AND a.pred = c.pred JOIN g ON g.scene_id = c.scene_id AND g.gt = c.gt WHERE a.area >= 100),
+b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY scene_id, pred ORDER BY iou DESC, gt) = 1),
+t AS (SELECT CAST(unnest([{", ".join(f"'{v!r}'" for v in _LEVELS)}]) AS DOUBLE) AS threshold),
+e AS (SELECT threshold, area AS score, iou > threshold AND row_number() OVER (PARTITION BY threshold, scene_id, gt ORDER BY area DESC, pred) = 1 AS hit FROM b, t),
+s AS (SELECT threshold, score, count(*) FILTER (hit) AS hits, count(*) AS n FROM e GROUP BY ALL),
+k AS (SELECT *, sum(hits) OVER w AS tp, sum(n) OVER w AS seen FROM s WINDOW w AS (PARTITION BY threshold ORDER BY score DESC)),
+r AS (SELECT *, tp / seen AS precision, tp / (SELECT greatest(1, count(*)) FROM g) AS recall FROM k),
+m AS (SELECT *, max(precision) OVER (PARTITION BY threshold ORDER BY score ROWS UNBOUNDED PRECEDING) AS env, recall - coalesce(lag(recall) OVER (PARTITION BY threshold ORDER BY score DESC), 0) AS step FROM r)
+SELECT round(threshold, 6) AS threshold, round(sum(env * step), 6) AS ap FROM m GROUP BY ALL""")
 def me6(spark, d):
     """AP of matches over IoU .5 to .9 in steps of .05, and .25; predictions under 100 points are left out."""
     p = view(spark, d, "points")
     i = match.ious(p, "pred_inst", "gt_inst").where("pred_area >= 100")
     score = F.col("pred_area") / 1000.0
-    levels = F.explode(F.array(*[F.lit(t) for t in [0.25, *[0.5 + 0.05 * k for k in range(9)]]])).alias("threshold")
+    levels = F.explode(F.array(*[F.lit(t) for t in _LEVELS])).alias("threshold")
     best = i.groupBy("scene_id", "pred").agg(F.max(F.struct("iou", F.negative("gt").alias("gt"))).alias("b"), F.first(score).alias("score"))
     each = best.select("scene_id", "pred", "score", F.col("b.iou").alias("iou"), F.col("b.gt").alias("gt"), levels)
     first = W.partitionBy("threshold", "scene_id", "gt").orderBy(F.desc("score"), "pred")
