@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,16 @@ _RANGE = "path string, head string, start long, stop long"
 _SLICE = 100_000
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark tells it (nothing in it escaped), and the path within."""
+    head, _, rest = path.partition(":/") if ":" in path.split("/")[0] else ("file", "", os.path.abspath(path))
+    inner = f"/{rest.lstrip('/')}" if head == "file" or not rest.startswith("/") else rest[1:]
+    return fs.FileSystem.from_uri(f"{head}://{quote(inner, safe='/:@')}")
+
+
 def open_file(path: str):
-    """A file open for reading at any place; paths as Spark tells them."""
-    system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
+    """A file open for reading at any place."""
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 

@@ -5,7 +5,6 @@ succeeded, and its abort removes the folder, so that neither a failed task nor o
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .ranges import file_system
+
 #: Types of PLY properties by Spark's.
 _PLY = {"double": ("double", "f8"), "float": ("float", "f4"), "int": ("int", "i4"), "smallint": ("short", "i2"), "tinyint": ("char", "i1"), "bigint": ("double", "f8")}
 
@@ -30,10 +31,6 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
-
-
 def encode(table: pa.Table, schema: StructType, form: str) -> bytes:
     """A file of the rows: binary PLY (little or big endian), PLY as text, or the vertex lines of an OBJ."""
     columns = {f.name: table[f.name].to_numpy() for f in schema.fields}

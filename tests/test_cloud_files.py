@@ -113,3 +113,12 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
             sinks.cloud_files(spark, broken, folder, rows=50, mode=mode)
         assert sorted(f for _, _, fs in os.walk(folder) for f in fs) == before
         assert not [f for f in os.listdir(folder) if f.startswith("_")]
+
+
+def test_names_with_signs_are_kept(spark, tmp_path):
+    folder = str(tmp_path / "with space")
+    named = points(spark, 30).withColumn("scene_id", F.element_at(F.array(*[F.lit(n) for n in ("a b", "50%", "x/y")]), F.col("scene_id").cast("int") + 1))
+    sinks.cloud_files(spark, named, folder)
+    assert sorted(os.listdir(folder)) == ["scene=50%25", "scene=a%20b", "scene=x%2Fy"]
+    assert sorted(r["inst"] for r in ranges.clouds(spark, folder).collect()) == list(range(30))
+    assert ranges.file_system("file:/a/b%20c")[1] == ranges.file_system("/a/b%20c")[1] == ranges.file_system("file:///a/b%20c")[1] == "/a/b%20c"
