@@ -72,19 +72,23 @@ def assignment(value: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
-def optimal_matches(overlap: DataFrame, threshold: float) -> DataFrame:
+def optimal_matches(overlap: DataFrame, threshold: float, largest: int = 4_000_000) -> DataFrame:
     """scene_id, pred, gt, iou of the one-to-one matching with the largest total IoU, then those at or above the threshold.
 
-    Instances that overlap, directly or over others, are a group; each group is matched for itself, so that a task holds
-    the instances of one group, not a scene's points."""
+    Pairs that no other choice can outweigh are taken first. Instances of the rest that overlap, directly or over others, are a
+    group; a group of up to `largest` cells (predictions times true instances) is matched by one task, 8 bytes a cell, and
+    larger ones by rounds of bids over tables, exact for IoU of six decimals."""
     from pointloom.lineage import cut
 
-    from . import graph
+    from . import auction, graph
 
-    pairs = cut(overlap.select("scene_id", "pred", "gt", "iou"))
+    taken, pairs = auction.peel(overlap)
     sides = [F.concat(F.lit(k), F.lpad(F.col(c).cast("string"), 20, "0")) for k, c in (("p", "pred"), ("g", "gt"))]
     groups = graph.components(pairs.select("scene_id", sides[0].alias("u"), sides[1].alias("v")))
-    placed = pairs.withColumn("node", sides[0]).join(groups, ["scene_id", "node"]).select("scene_id", "component", "pred", "gt", "iou")
+    placed = cut(pairs.withColumn("node", sides[0]).join(groups, ["scene_id", "node"]).select("scene_id", "component", "pred", "gt", "iou"))
+    keys = ["scene_id", "component"]
+    sizes = [placed.select(*keys, c).distinct().groupBy(*keys).agg(F.count("*").alias(f"_{c}")) for c in ("pred", "gt")]
+    large = cut(sizes[0].join(sizes[1], keys).where(F.col("_pred") * F.col("_gt") > largest).select(*keys))
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -92,10 +96,14 @@ def optimal_matches(overlap: DataFrame, threshold: float) -> DataFrame:
         (p, i), (g, j) = (np.unique(rows[c], return_inverse=True) for c in ("pred", "gt"))
         value = np.zeros((len(p), len(g)))
         value[i, j] = rows["iou"]
-        found = [(rows["scene_id"].iloc[0], p[a], g[b], value[a, b]) for a, b in assignment(value) if value[a, b] >= max(threshold, 1e-12)]
+        found = [(rows["scene_id"].iloc[0], p[a], g[b], value[a, b]) for a, b in assignment(value) if value[a, b] > 1e-12]
         return pd.DataFrame(found, columns=["scene_id", "pred", "gt", "iou"])
 
-    return placed.groupBy("scene_id", "component").applyInPandas(run, f"scene_id {kinds['scene_id']}, pred {kinds['pred']}, gt {kinds['gt']}, iou double")
+    small = placed.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(run, f"scene_id {kinds['scene_id']}, pred {kinds['pred']}, gt {kinds['gt']}, iou double")
+    out = taken.unionByName(small)
+    if not large.isEmpty():
+        out = out.unionByName(auction.auction(placed.join(large, keys, "left_semi"), keys).drop("component"))
+    return out.where(F.col("iou") >= threshold)
 
 
 def detection(points: DataFrame, matched: DataFrame, pred: str, gt: str, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointloom.operators import graph, sampling, spatial
+from pointloom.operators import boxes, graph, sampling, spatial
 from pointloom.views import view
 
 from .point_queries import _D2, _D3, rounded
@@ -139,13 +139,8 @@ def _boxes(spark, d):
 WITH q AS ({_BOX}) SELECT a.scene_id, a.gt_inst AS a, b.gt_inst AS b FROM q a JOIN q b ON a.scene_id = b.scene_id AND a.gt_inst < b.gt_inst
 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1""")
 def jn12(spark, d):
-    q = _boxes(spark, d)
-    a, b = q.alias("a"), q.alias("b")
-    apart = [F.col(f"a.{c}0") <= F.col(f"b.{c}1") for c in "xyz"] + [F.col(f"b.{c}0") <= F.col(f"a.{c}1") for c in "xyz"]
-    on = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.gt_inst") < F.col("b.gt_inst"))
-    for t in apart:
-        on = on & t
-    return a.join(b, on).select("a.scene_id", F.col("a.gt_inst").alias("a"), F.col("b.gt_inst").alias("b"))
+    met = boxes.box_pairs(_boxes(spark, d), "gt_inst")
+    return met.select("scene_id", F.col("a.gt_inst").alias("a"), F.col("b.gt_inst").alias("b"))
 
 
 @query("jn13_cluster_pairs", f"""
@@ -154,11 +149,11 @@ ON a.scene_id = b.scene_id AND a.gt_inst < b.gt_inst AND sqrt((a.cx - b.cx) * (a
 AND sqrt(power(greatest(a.x1, b.x1) - least(a.x0, b.x0), 2) + power(greatest(a.y1, b.y1) - least(a.y0, b.y0), 2) + power(greatest(a.z1, b.z1) - least(a.z0, b.z0), 2)) <= 4.5""")
 def jn13(spark, d):
     q = _boxes(spark, d)
-    a, b = q.alias("a"), q.alias("b")
-    flat = spatial.length(*[F.col(f"a.c{c}") - F.col(f"b.c{c}") for c in "xy"])
-    whole = spatial.length(*[F.greatest(f"a.{c}1", f"b.{c}1") - F.least(f"a.{c}0", f"b.{c}0") for c in "xyz"])
-    on = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.gt_inst") < F.col("b.gt_inst")) & (flat <= 0.2) & (whole <= 4.5)
-    return rounded(a.join(b, on).select("a.scene_id", F.col("a.gt_inst").alias("a"), F.col("b.gt_inst").alias("b"), flat.alias("distance")))
+    ends = [f"{c}{k}" for c in "xyz" for k in "01"]
+    centres = q.select("scene_id", F.col("gt_inst").alias("point_id"), *[F.col(f"c{c}").alias(c) for c in "xyz"], F.struct(*ends).alias("box"))
+    near = spatial.radius_join(centres, centres.withColumnRenamed("box", "box2"), 0.2, "xy", ("box2",), ("box",), closed=True).where("left_id < right_id")
+    whole = spatial.length(*[F.greatest(f"box.{c}1", f"box2.{c}1") - F.least(f"box.{c}0", f"box2.{c}0") for c in "xyz"])
+    return rounded(near.where(whole <= 4.5).select("scene_id", F.col("left_id").alias("a"), F.col("right_id").alias("b"), "distance"))
 
 
 @query("jn15_nearest_centroid", f"""
