@@ -52,7 +52,7 @@ def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return ranked.withColumn("holm", F.least(F.lit(1.0), running)).drop("_step")
 
 
-def bootstrap(pairs: DataFrame, keys: list[str], rounds: int = 200, delta: str = "delta") -> DataFrame:
+def bootstrap(pairs: DataFrame, keys: list[str], rounds: int = 10_000, delta: str = "delta") -> DataFrame:
     """Percentile interval of the mean under resampling: every row of a group enters each round a Poisson(1) number of
     times, drawn from a hash of row and round, so that no task needs a whole group."""
     u = F.pmod(F.xxhash64(*keys, "row", "round"), F.lit(1 << 24)) / float(1 << 24)
