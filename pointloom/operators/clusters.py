@@ -58,13 +58,24 @@ def shifted_dbscan(points: DataFrame, offsets: tuple[str, str, str], eps: float,
 
 
 def ball_components(points: DataFrame, radius: float, least: int, same: str) -> DataFrame:
-    """Adds `label`: components of the graph of points nearer than the radius within one class; small ones get null."""
-    found = spatial.radius_join(points, points.withColumn("_same", F.col(same)), radius, extra=("_same",), extra_left=(same,))
-    edges = found.where((F.col(same) == F.col("_same")) & (F.col("left_id") <= F.col("right_id"))).select("scene_id", F.col("left_id").alias("u"), F.col("right_id").alias("v"))
-    parts = graph.components(edges).withColumnRenamed("node", "point_id")
-    big = parts.groupBy("scene_id", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    kept = parts.join(big, ["scene_id", "component"]).withColumnRenamed("component", "label")
-    return points.join(kept, ["scene_id", "point_id"], "left")
+    """Adds `label`: components of the graph of points nearer than the radius within one class; small ones get null, as do
+    points without class and points with a null, NaN or infinite coordinate.
+
+    As in `dbscan`, the points of a cell so small that all of it is nearer than the radius are one node, and only positions of
+    different nodes make pairs."""
+    keys, sound = ("scene_id", same), points.where(F.col(same).isNotNull())
+    for c in "xyz":
+        sound = sound.where(F.abs(c) < float("inf"))
+    cell = [*keys, "fx", "fy", "fz"]
+    spots = cut(spatial.cells(spatial.positions(sound, keys), radius / 3**0.5 * (1 - 1e-6)).withColumnsRenamed({f"i{c}": f"f{c}" for c in "xyz"}))
+    named = cut(spots.join(spots.groupBy(*cell).agg(F.min("point_id").alias("node")), cell).select(*keys, *"xyz", "n", "node"))
+    pairs = spatial.position_pairs(named.drop("n"), radius, keys).where("a.node != b.node")
+    alone = named.select("scene_id", F.col("node").alias("u"), F.col("node").alias("v"))
+    edges = pairs.select("scene_id", F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(alone).distinct()
+    placed = cut(named.join(graph.components(edges), ["scene_id", "node"]))
+    big = placed.groupBy("scene_id", "component").agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    kept = placed.join(big, ["scene_id", "component"]).select(*keys, *"xyz", F.col("component").alias("label"))
+    return points.join(kept, [*keys, *"xyz"], "left").select(*points.columns, "label")
 
 
 def soft_groups(points: DataFrame, scores: dict[int, Column], threshold: float, radius: float, least: int) -> DataFrame:

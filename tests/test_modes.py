@@ -84,3 +84,20 @@ def test_separated_points_are_those_of_a_greedy_pass(spark, scenes):
                 kept.append(i)
         expected += [(s, i) for i in kept]
     assert got == sorted(expected)
+
+
+def test_ball_components_are_those_of_all_pairs(spark):
+    """Repeated positions, dense cells, two classes, points at the radius itself, without class and without place."""
+    rng = np.random.default_rng(12)
+    xyz = np.round(np.concatenate([rng.normal(c, 0.06, (40, 3)) for c in ((0, 0, 0), (0.5, 0, 0))] + [rng.uniform(-1, 1, (30, 3)), np.repeat([[2.0, 2.0, 2.0]], 4, 0), [[3, 0, 0], [3.25, 0, 0]]]), 3)
+    rows = [(k % 2 if k < 110 else 0, k, *map(float, p), k % 3 if k < 110 else 1) for k, p in enumerate(xyz)]
+    odd = [(0, 1000, 0.0, 0.0, 0.0, None), (0, 1001, float("nan"), 0.0, 0.0, 0), (0, 1002, None, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows + odd, "scene_id int, point_id long, x double, y double, z double, kind int")
+    near = {a[1]: [b[1] for b in rows if b[0] == a[0] and b[5] == a[5] and np.sqrt(sum((a[k] - b[k]) ** 2 for k in (2, 3, 4))) < 0.25] for a in rows}
+    name = {i: i for i in near}
+    for _ in rows:
+        name = {i: min(name[j] for j in near[i]) for i in near}
+    sizes = {c: list(name.values()).count(c) for c in name.values()}
+    want = {i: c if sizes[c] >= 2 else None for i, c in name.items()} | {i: None for i in (1000, 1001, 1002)}
+    assert {r["point_id"]: r["label"] for r in clusters.ball_components(df, 0.25, 2, "kind").collect()} == want
+    assert len(set(want.values())) > 4 and want[114] is None and want[110] == 110
