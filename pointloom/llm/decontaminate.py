@@ -7,8 +7,9 @@ fewer than WINDOW words count only where all of their words appear in a row.
 
 The seeds of distinct item texts are a table. A bitmap of them, of at most 2 ** MOST_BITS bits whatever their number, is
 broadcast, and documents give the seeds that it may hold, each with the words around it. One join on the seed brings
-both sides together; as every overlap holds a seed, the words around the hits suffice to verify it, row by row, and no
-text is shuffled. With more items than the bitmap tells apart, more seeds are shuffled and the results are the same.
+the distinct surroundings of both sides together; as every overlap holds a seed, they suffice to verify it, row by row, and
+no text is shuffled. So a passage of many documents or a template of many items is compared once, and only what agrees
+goes back to documents and items. With more items than the bitmap tells apart, more seeds are shuffled and the results are the same.
 
 Null and empty texts and items match nothing; items with a null id are left out; repeated items are looked up once and
 all told; repeated documents give the same result each. Other columns pass through `clean`, whatever their names.
@@ -126,39 +127,37 @@ def _bitmap(seeds: DataFrame, count: int) -> np.ndarray:
 
 
 def _verified(met: DataFrame) -> DataFrame:
-    """doc, of, tid, shift, first word, end and agree (the most words that agree in a window) of hits around which a
-    window agrees."""
+    """seed, here, there, first word and end (from the seed's place on) and agree (the most words that agree in a window) of
+    surroundings around and of_item in which a window agrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here, there = batch.column("around").to_pylist(), batch.column("of_item").to_pylist()
-            lengths = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(here, there)])
+            ours, theirs = batch.column("around").to_pylist(), batch.column("of_item").to_pylist()
+            lengths = np.array([len(a) if len(a) == len(b) else 0 for a, b in zip(ours, theirs)])
             start, end, agree = (np.zeros(batch.num_rows, np.int32) for _ in range(3))
-            place = batch.column("place").to_numpy()
             for size in np.unique(lengths[lengths > 0]):
                 rows, n = np.nonzero(lengths == size)[0], size // 8
-                a, b = (np.frombuffer(b"".join(v[i] for i in rows), np.uint64).reshape(-1, n) for v in (here, there))
+                a, b = (np.frombuffer(b"".join(v[i] for i in rows), np.uint64).reshape(-1, n) for v in (ours, theirs))
                 if n < WINDOW:
                     agree[rows[(a == b).all(axis=1)]] = n
-                    start[rows], end[rows] = place[rows], place[rows] + n
+                    start[rows], end[rows] = 0, n
                     continue
                 same, inside = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (a == b, (a != 0) & (b != 1)))
                 total = np.where(inside[:, WINDOW:] - inside[:, :-WINDOW] == WINDOW, same[:, WINDOW:] - same[:, :-WINDOW], 0)
-                good, low = total >= MATCHES, place[rows] - (n - WINDOW)
+                good, low = total >= MATCHES, WINDOW - n
                 agree[rows] = np.where(good.any(axis=1), total.max(axis=1), 0)
                 start[rows], end[rows] = low + good.argmax(axis=1), low + n - good[:, ::-1].argmax(axis=1)
-            columns = [*(batch.column(c) for c in ("doc", "of", "tid", "shift")), pa.array(start), pa.array(end), pa.array(agree)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "of", "tid", "shift", "start", "end", "agree"]).filter(pa.array(agree > 0))
+            columns = [*(batch.column(c) for c in ("seed", "here", "there")), pa.array(start), pa.array(end), pa.array(agree)]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "here", "there", "start", "end", "agree"]).filter(pa.array(agree > 0))
 
-    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
-    return met.mapInArrow(run, f"doc {kinds['doc']}, of long, tid {kinds['tid']}, shift int, start int, end int, agree int")
+    return met.mapInArrow(run, "seed long, here long, there long, start int, end int, agree int")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, item: str, text: str, tables: Tables) -> DataFrame | None:
     """doc, of, item, start, end and agree of every overlap of docs (doc, of, text), or None if there are no items."""
     known = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     items = tables.write(known.groupBy("text").agg(F.min("item").alias("tid")), "items")
-    made = _seed_rows(items, ["tid"], [], 1).select("seed", "tid", F.col("place").alias("item_place"), F.col("around").alias("of_item"))
+    made = _seed_rows(items, ["tid"], [], 1).select("seed", "tid", F.col("place").alias("item_place"), F.col("around").alias("of_item"), F.xxhash64("around").alias("there"))
     theirs = tables.write(made, "seeds")
     shorts = theirs.select((F.octet_length("of_item") / 8).cast("int").alias("n")).groupBy("n").agg(F.count("*").alias("times")).collect()  # of each length one row
     if not shorts:
@@ -166,9 +165,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, item: str, text: str, tables:
     masks = [*MASKS, *("1" * n for n in sorted(r["n"] for r in shorts) if n < WINDOW)]
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(theirs, sum(r["times"] for r in shorts)))
     # written first: between two plain exchanges Spark can split the rows of a hot seed
-    hits = tables.write(_seed_rows(docs, ["doc", "of"], masks, 0, bitmap), "hits")
-    met = hits.join(theirs, "seed").select("doc", "of", "tid", (F.col("place") - F.col("item_place")).alias("shift"), "place", "around", "of_item")
-    each = _verified(met).groupBy("doc", "of", "tid", "shift").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("agree").alias("agree"))
+    hits = tables.write(_seed_rows(docs, ["doc", "of"], masks, 0, bitmap).withColumn("here", F.xxhash64("around")), "hits")
+    # a passage of many documents, or a template of many items, has equal surroundings: each two are compared once
+    ours = hits.groupBy("seed", "here").agg(F.first("around").alias("around"))
+    apart = theirs.groupBy("seed", "there").agg(F.first("of_item").alias("of_item"))
+    agreed = tables.write(_verified(ours.join(tables.write(apart, "surroundings"), "seed")), "agreed")
+    of_items = tables.write(agreed.join(theirs.select("seed", "there", "tid", "item_place"), ["seed", "there"]), "of-items")
+    at = [F.col("place") + F.col(c) for c in ("start", "end")]
+    met = hits.select("doc", "of", "seed", "here", "place").join(of_items, ["seed", "here"])
+    met = met.select("doc", "of", "tid", (F.col("place") - F.col("item_place")).alias("shift"), at[0].alias("start"), at[1].alias("end"), "agree")
+    each = met.groupBy("doc", "of", "tid", "shift").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("agree").alias("agree"))
     best = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"), "agree"))
     best = each.groupBy("doc", "of", "tid").agg(best.alias("b")).select("doc", "of", "tid", (-F.col("b.s")).alias("start"), (F.col("b.n") - F.col("b.s")).alias("end"), "b.agree")
     members = known.join(items, "text").select("tid", "item").distinct()

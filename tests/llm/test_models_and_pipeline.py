@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -94,6 +95,31 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     assert sorted(r["a.b"] for r in decontaminate.clean(docs, items).collect()) == [6, 8]
 
 
+def test_templates_of_many_items_and_documents(spark):
+    """One long template in all items and many documents, at different places, with words changed and cut off at the ends."""
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    template = word(45)
+    items = [(i, " ".join(word(i % 4) + template[i % 3 :] + word(i % 5))) for i in range(14)]
+    docs = []
+    for d in range(40):
+        middle = template[d % 30 :]
+        if d % 3 == 0:
+            middle = [w if k % 9 else "changed" for k, w in enumerate(middle)]
+        docs.append((d, " ".join(word(d % 7) + middle + word(d % 11))))
+    docs += [(d, docs[d % 5][1]) for d in range(40, 60)] + [(60, " ".join(template[:12])), (61, " ".join(word(50)))]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"))
+    told = {r["doc_id"]: [(m["item"], m["start"], m["end"], m["agree"]) for m in r["matches"]] for r in found.collect()}
+    assert {d: [m[0] for m in ms] for d, ms in told.items()} == {d: [i for i, x in items if overlaps(t, x)] for d, t in docs}
+    texts, wanted = dict(docs), dict(items)
+    for d, matches in told.items():
+        for i, start, end, agree in matches:
+            mine, known = texts[d].split(), wanted[i].split()
+            best = max(sum(a == b for a, b in zip(mine[s : s + 13], known[o : o + 13])) for s in range(start, end - 12) for o in range(len(known) - 12))
+            assert 0 <= start < end <= len(mine) and agree == best
+    assert told[61] == []
+
+
 def test_decontamination_tolerates_substitutions(spark):
     words = [f"w{i}" for i in range(40)]
     changed = [("x" if i in (3, 9) else w) for i, w in enumerate(words[:13])]
