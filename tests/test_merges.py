@@ -2,12 +2,14 @@
 
 import itertools
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import clusters, ground, refine
+from pointloom.plans import catalog, cluster_queries
 
 SCHEMA = "scene_id int, point_id long, x double, y double, z double, label long"
 
@@ -110,6 +112,28 @@ def test_no_points_have_no_leaves(spark):
     assert labelled.count() == leaves.count() == 0
 
 
+def test_means_halfway_are_rounded_up_in_any_order_of_points(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    values = rng.integers(1000, 1900, (300, 8))  # hundredths, eight of a leaf: an odd sum is halfway at the sixth decimal of the mean
+    values[:, 0] += values.sum(1) % 2 == 0
+    events = [(31 * (8 * s + i), str(s), 0, float(v) / 100) for s, leaf in enumerate(values) for i, v in enumerate(leaf)]
+    want = {str(s): float((Decimal(int(leaf.sum())) / 80000).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for s, leaf in enumerate(values)}
+    for run, order in enumerate([np.arange(len(events)), rng.permutation(len(events))]):
+        folder = f"{tmp_path}/{run}"
+        rows = spark.createDataFrame([events[i] for i in order], "event_id long, event_type string, user_id long, value double")
+        rows.repartition(1 + 6 * run).write.parquet(f"{folder}/events.parquet")
+        found = catalog.QUERIES["cl8_feature_leaves"](spark, folder).collect()
+        assert len(found) == len(want) and {r["n"] for r in found} == {8}
+        assert {r["scene_id"]: r["mean_x"] for r in found} == want
+
+
+def test_means_of_values_that_decimals_cannot_hold(spark):
+    rows = [(0, 0.1), (0, 0.2), (1, 1e17), (1, 3e17), (2, float("nan")), (2, 1.0), (3, None), (3, 0.5), (4, None), (5, -0.25), (5, -0.5), (6, float("inf"))]
+    df = spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(cluster_queries._rounded_mean("x", 2).alias("m"))
+    got = dict(map(tuple, df.collect()))
+    assert math.isnan(got.pop(2)) and got == {0: 0.15, 1: 2e17, 3: 0.5, 4: None, 5: -0.38, 6: math.inf}
+
+
 def test_planes_in_the_race_are_those_of_full_counts(spark):
     rng = np.random.default_rng(8)
     clouds, planes, want = [], [], set()
