@@ -3,18 +3,16 @@
 A radius join uses cells of the radius' size: each right row goes to its 27 surrounding cells, and the pair is tested
 after the equi-join on scene and cell. Distances are strict (< radius). Joins of a table with itself take half of the
 cells around and each pair once, over positions instead of points: points that share a position are one row with a count,
-so that repeated points make no pairs. A k-nearest join searches cells of a size that follows each scene's density,
-accepts the queries whose k-th candidate is nearer than the cell size (nothing outside the searched cells can be
-nearer), and repeats with cells of four times the size for the rest.
+so that repeated points make no pairs. Nearest joins and counts of neighbours look for them in tasks that hold a block of a
+scene (`blocks`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.lineage import cut
+from . import blocks
 
 
 def length(*parts: Column) -> Column:
@@ -85,52 +83,16 @@ def position_pairs(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("sc
 
 def neighbour_counts(points: DataFrame, radius: float, keys: tuple[str, ...] = ("scene_id",), closed: bool = False) -> DataFrame:
     """points with `neighbours`, the number of points within the radius, the point itself counted; no pair of points is made."""
-    spots = positions(points, keys).drop("point_id")
-    both = F.array(F.struct(F.col("a.x").alias("x"), F.col("a.y").alias("y"), F.col("a.z").alias("z"), F.col("b.n").alias("n")), F.struct("b.x", "b.y", "b.z", "a.n"))
-    others = position_pairs(spots, radius, keys, closed).select(*keys, F.inline(both))
-    counts = others.unionByName(spots).groupBy(*keys, *"xyz").agg(F.sum("n").alias("neighbours"))
+    counts = blocks.neighbour_counts(positions(points, keys).drop("point_id"), radius, keys, closed)
     return points.join(counts, [*keys, *"xyz"], "left")
 
 
-def _first_sizes(right: DataFrame, k: int, cell: float, axes: str) -> DataFrame:
-    """scene_id, _all (right rows) and _size, the cell in which about three times k points of mean density are searched,
-    `cell` at most."""
-    spans = right.groupBy("scene_id").agg(F.count("*").alias("_all"), *[(F.max(f"{c}2") - F.min(f"{c}2")).alias(f"_{c}") for c in axes])
-    wide = sum((F.when(F.col(f"_{c}") > 0, 1.0).otherwise(0.0) for c in axes), F.lit(0.0))
-    volume = F.lit(1.0)
-    for c in axes:
-        volume = volume * F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")).otherwise(1.0)
-    size = F.pow(volume * (3.0 * k / 4.2) / F.col("_all"), F.try_divide(F.lit(1.0), wide))
-    return spans.select("scene_id", "_all", F.least(F.lit(cell), F.greatest(F.coalesce(size, F.lit(cell)), F.lit(cell / 4096))).alias("_size"))
-
-
 def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:
     """scene_id, left_id, right_id, distance and rank (1 to k by distance, then right_id) of the nearest right points.
 
-    cell: the largest cell of the first search; dense scenes take smaller ones. Scenes with fewer than k right points give
-    all that they have: a query with every point of its scene among its candidates is done as well.
-    """
-    a, b = _sides(left, right, extra)
-    sizes = cut(_first_sizes(b, k, cell, axes))
-    rest, done, growth = a, None, 1.0
-    by = W.partitionBy("scene_id", "left_id").orderBy("distance", "right_id")
-    keys = ["scene_id", *[f"i{c}" for c in axes]]
-    while True:
-        now = sizes.withColumn("_size", F.col("_size") * growth)
-        placed = lambda df, mark: df.join(now, "scene_id").withColumns({f"i{c}": F.floor(F.col(f"{c}{mark}") / F.col("_size")) for c in axes})
-        spread = placed(b, "2").drop("_size", "_all")
-        for c in axes:
-            spread = spread.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"i{c}") - 1, F.col(f"i{c}") + 1)))
-        pairs = placed(rest, "").join(spread, keys).withColumn("distance", length(*[F.col(c) - F.col(f"{c}2") for c in axes]))
-        found = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        state = found.groupBy("scene_id", "left_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n"), F.first("_all").alias("_all"), F.first("_size").alias("_size"))
-        settled = state.where(((F.col("_n") == k) & (F.col("_far") < F.col("_size"))) | (F.col("_n") == F.col("_all"))).select("scene_id", "left_id")
-        good = cut(found.join(settled, ["scene_id", "left_id"], "left_semi").select("scene_id", "left_id", "right_id", "distance", "rank", *extra))
-        done = good if done is None else done.unionByName(good)
-        rest = cut(rest.join(good.select("scene_id", "left_id").distinct(), ["scene_id", "left_id"], "left_anti").join(sizes.select("scene_id"), "scene_id", "left_semi"))
-        if rest.isEmpty():
-            return done
-        growth *= 4
+    Scenes with fewer than k right points give all that they have. Blocks follow each scene's density, whatever `cell` is."""
+    near = blocks.neighbour_lists(left, right, k, axes, extra)
+    return near.select("scene_id", "left_id", F.posexplode("found").alias("_at", "_f")).select("scene_id", "left_id", "_f.right_id", "_f.distance", (F.col("_at") + 1).alias("rank"), *[f"_f.{c}" for c in extra])
 
 
 def nearest_join(left: DataFrame, right: DataFrame, cell: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -140,9 +102,7 @@ def nearest_join(left: DataFrame, right: DataFrame, cell: float, axes: str = "xy
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", extra: tuple[str, ...] = ()) -> DataFrame:
     """The nearest right point nearer than the radius, of the left points that have one."""
-    best = F.min(F.struct("distance", "right_id", *extra)).alias("_best")
-    near = radius_join(left, right, radius, axes, extra).groupBy("scene_id", "left_id").agg(best)
-    return near.select("scene_id", "left_id", "_best.*")
+    return blocks.neighbour_lists(left, right, 1, axes, extra, radius).select("scene_id", "left_id", F.inline("found"))
 
 
 def tiles(points: DataFrame, size: float, stride: float, least: int = 1) -> DataFrame:
