@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointloom.operators import boxes, graph, sampling, spatial
+from pointloom.operators import blocks, boxes, graph, sampling, spatial
 from pointloom.views import view
 
 from .point_queries import _D2, _D3, rounded
@@ -46,8 +46,8 @@ def jn3(spark, d):
 @query("jn4_knn_join", f"WITH {_NEAR.format(d=_D3, on='').strip()} SELECT scene_id, left_id, round(avg(distance), 6) AS mean, round(max(distance), 6) AS far, count(*) AS n FROM n WHERE rank <= 5 GROUP BY ALL")
 def jn4(spark, d):
     e = view(spark, d, "event_points")
-    near = spatial.knn_join(e, e, 5, 0.4)
-    return rounded(near.groupBy("scene_id", "left_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("far"), F.count("*").alias("n")))
+    near = blocks.neighbour_lists(e, e, 5)
+    return rounded(near.select("scene_id", "left_id", blocks.mean_distance().alias("mean"), F.array_max("found.distance").alias("far"), F.size("found").cast("long").alias("n")))
 
 
 @query("jn4_knn_interpolation", f"""

@@ -47,3 +47,22 @@ def test_counts_of_uneven_places():
     for radius in (0.02, 0.15, 3.0):
         far = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2))
         assert (blocks.counts(q, p, w, radius, False) == ((far < radius) * w).sum(1)).all()
+
+
+@pytest.mark.parametrize("axes", ["xyz", "xy"])
+def test_nearest_by_blocks(spark, axes):
+    rows = [*cloud(700), ("a", 900, 400.0, 3.0, 0.0), ("c", 901, 0.0, 0.0, 0.0), ("a", 902, float("nan"), 0.0, 0.0), ("a", 903, None, 0.0, 0.0)]
+    out = {r["left_id"]: [f["right_id"] for f in r["found"]] for r in blocks.neighbour_lists(*[spark.createDataFrame(rows, COLUMNS)] * 2, 6, axes).collect()}
+    whole = rows[:-2]
+    far = gaps(whole, len(axes))
+    for i, a in enumerate(whole):
+        order = sorted((far[i, j], b[1]) for j, b in enumerate(whole) if b[0] == a[0])[:6]
+        assert out.pop(a[1]) == [k for _, k in order]
+    assert not out  # points without a place are near nothing, and end the search all the same
+
+
+def test_blocks_follow_the_fullest_place(spark):
+    df = spark.createDataFrame(cloud(3000), COLUMNS).where("scene_id = 'a'").dropDuplicates(["x", "y", "z"])
+    plan = blocks.layout(df, most=60)
+    sizes = blocks.placed(df.join(plan, "scene_id"), "xyz").groupBy("ix", "iy", "iz").count().collect()
+    assert max(r["count"] for r in sizes) <= 60
