@@ -66,3 +66,16 @@ def test_blocks_follow_the_fullest_place(spark):
     plan = blocks.layout(df, most=60)
     sizes = blocks.placed(df.join(plan, "scene_id"), "xyz").groupBy("ix", "iy", "iz").count().collect()
     assert max(r["count"] for r in sizes) <= 60
+
+
+def test_nearest_within_makes_no_pairs(spark):
+    rows = cloud(600)
+    df = spark.createDataFrame(rows, COLUMNS)
+    out = spatial.nearest_within(df, df.where("point_id % 3 = 0"), 0.04)
+    far, want = gaps(rows), {}
+    for i in range(len(rows)):
+        near = [(far[i, j], j) for j in range(0, len(rows), 3) if far[i, j] < 0.04]
+        if near:
+            want[i] = min(near)[::-1]
+    assert {r["left_id"]: (r["right_id"], r["distance"]) for r in out.collect()} == want
+    assert not made(out)
