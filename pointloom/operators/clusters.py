@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
 
-from . import graph, sampling, spatial
+from . import blocks, graph, sampling, spatial
 from .watershed import watershed
 
 
@@ -100,10 +100,10 @@ def dual_groups(points: DataFrame, offsets: tuple[str, str, str], radius: float,
 def density_peaks(points: DataFrame, k: int, centres: int, separation: float, cell: float) -> DataFrame:
     """Adds `label`, the nearest density peak: peaks have the largest product of density (inverse mean distance to k
     neighbours) and distance to a denser neighbour; each is apart from better ones."""
-    near = cut(spatial.knn_join(points, points, k, cell))
-    rho = cut(near.groupBy("scene_id", F.col("left_id").alias("point_id")).agg((1.0 / (F.avg("distance") + 1e-6)).alias("rho")))
-    pairs = near.join(rho.withColumnRenamed("point_id", "left_id"), ["scene_id", "left_id"]).join(rho.select("scene_id", F.col("point_id").alias("right_id"), F.col("rho").alias("rho2")), ["scene_id", "right_id"])
-    delta = pairs.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.min(F.when(F.col("rho2") > F.col("rho"), F.col("distance"))).alias("delta"), F.first("rho").alias("rho"))
+    near = blocks.neighbour_lists(points, points, k).withColumn("rho", 1.0 / (blocks.mean_distance() + 1e-6))
+    rho = near.select("scene_id", F.col("left_id").alias("right_id"), F.col("rho").alias("rho2"))
+    pairs = near.select("scene_id", "left_id", "rho", F.inline("found")).join(rho, ["scene_id", "right_id"])
+    delta = cut(pairs.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.min(F.when(F.col("rho2") > F.col("rho"), F.col("distance"))).alias("delta"), F.first("rho").alias("rho")))
     most = delta.groupBy("scene_id").agg(F.max("delta").alias("_most"))
     gamma = delta.join(most, "scene_id").select("scene_id", "point_id", (F.col("rho") * F.coalesce("delta", "_most")).alias("score"))
     best = first_separated(points, gamma, centres, separation)
@@ -113,12 +113,11 @@ def density_peaks(points: DataFrame, k: int, centres: int, separation: float, ce
 
 def to_nearest(points: DataFrame, centres: DataFrame, cap: float | None = None) -> DataFrame:
     """Adds the label of the nearest centre (scene_id, label, _x, _y, _z; a few rows for each scene)."""
-    gap = spatial.length(*[F.col(c) - F.col(f"_{c}") for c in "xyz"])
-    all_pairs = points.select("scene_id", "point_id", *"xyz").join(centres, "scene_id").withColumn("_gap", gap)
+    there = centres.groupBy("scene_id").agg(F.collect_list(F.struct("label", "_x", "_y", "_z")).alias("_there"))
+    gaps = F.transform("_there", lambda t: F.struct(spatial.length(*[F.col(c) - t[f"_{c}"] for c in "xyz"]).alias("gap"), t["label"].alias("label")))
     if cap is not None:
-        all_pairs = all_pairs.where(F.col("_gap") <= cap)
-    best = all_pairs.groupBy("scene_id", "point_id").agg(F.min(F.struct("_gap", "label"))["label"].alias("label"))
-    return points.join(best, ["scene_id", "point_id"], "left")
+        gaps = F.filter(gaps, lambda g: g.gap <= cap)
+    return points.join(there, "scene_id", "left").withColumn("label", F.array_min(gaps)["label"]).drop("_there")
 
 
 def separated(points: DataFrame, scores: DataFrame, separation: float) -> DataFrame:
@@ -142,20 +141,20 @@ def first_separated(points: DataFrame, scores: DataFrame, count: int, separation
     """scene_id, point_id, score of the first `count` points, from the best score down (the smaller id on ties), that are
     `separation` or more from all chosen before.
 
-    A round for each: an aggregation takes the best live point of every scene, and a join removes the points around it."""
-    live, kept = cut(scores.join(points.select("scene_id", "point_id", *"xyz"), ["scene_id", "point_id"])), None
+    A round for each: an aggregation takes the best point of every scene that is apart from those chosen."""
+    placed, kept = cut(scores.join(points.select("scene_id", "point_id", *"xyz"), ["scene_id", "point_id"])), None
+    live = placed
     for _ in range(count):
         key = F.struct((-F.col("score")).alias("s"), "point_id", *"xyz")
-        best = live.groupBy("scene_id").agg(F.min(key).alias("b"))
-        best = cut(best.select("scene_id", F.col("b.point_id").alias("point_id"), (-F.col("b.s")).alias("score"), *[F.col(f"b.{c}").alias(f"_{c}") for c in "xyz"]))
+        best = cut(live.groupBy("scene_id").agg(F.min(key).alias("b")).select("scene_id", "b"))
         if best.isEmpty():
             break
-        chosen = best.select("scene_id", "point_id", "score")
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        gap = spatial.length(*[F.col(c) - F.col(f"_{c}") for c in "xyz"])
-        around = best.select("scene_id", F.col("point_id").alias("_id"), "_x", "_y", "_z")
-        live = cut(live.join(around, "scene_id").where((F.col("point_id") != F.col("_id")) & (gap >= separation)).drop("_id", "_x", "_y", "_z"))
-    return kept if kept is not None else scores.select("scene_id", "point_id", "score")
+        kept = best if kept is None else kept.unionByName(best)
+        gone = kept.groupBy("scene_id").agg(F.collect_list("b").alias("_gone"))
+        apart = F.forall("_gone", lambda g: (F.col("point_id") != g.point_id) & (spatial.length(*[F.col(c) - g[c] for c in "xyz"]) >= separation))
+        live = placed.join(gone, "scene_id").where(apart).drop("_gone")
+    chosen = kept if kept is not None else best
+    return chosen.select("scene_id", "b.point_id", (-F.col("b.s")).alias("score"))
 
 
 def mean_shift(points: DataFrame, bandwidth: float, cell: float, least: int = 1, most_rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
@@ -196,7 +195,7 @@ def k_means(points: DataFrame, k: int, rounds: int = 15, flat: bool = True) -> D
 
 def linked(points: DataFrame, k: int, cell: float, threshold: float) -> DataFrame:
     """Adds `label`: single linkage over the k-nearest graph, cut at the threshold."""
-    near = spatial.knn_join(points, points, k, cell).where(F.col("distance") <= threshold)
+    near = blocks.neighbour_lists(points, points, k).select("scene_id", "left_id", F.inline("found")).where(F.col("distance") <= threshold)
     found = graph.components(near.select("scene_id", F.col("left_id").alias("u"), F.col("right_id").alias("v")))
     return points.join(found.select("scene_id", F.col("node").alias("point_id"), F.col("component").alias("label")), ["scene_id", "point_id"], "left")
 

@@ -2,20 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointloom.lineage import cut
 
+#: Edges that a task joins at once.
+BATCH = 1_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value."""
+    column = column.combine_chunks()
+    if not pa.types.is_struct(column.type):
+        return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    parts = np.stack([_codes(pa.chunked_array([c])) for c in column.flatten()], 1)
+    return np.unique(parts, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _joined(edges: pa.Table, group: str) -> pa.Table:
+    """group, node and root of the edges of one batch, group by group."""
+    code, u, v = _codes(edges[group]), edges["u"].to_numpy(), edges["v"].to_numpy()
+    by = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(code[by]) != 0])
+    nodes, roots, at = [], [], []
+    for f, e in zip(starts, [*starts[1:], len(by)]):
+        n, r = forest(u[by[f:e]], v[by[f:e]])
+        nodes.append(n), roots.append(r), at.append(np.full(len(n), by[f]))
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return pa.table({group: edges[group].take(cat(at)), "node": cat(nodes), "root": cat(roots)})
+
+
+def _contracted(edges: DataFrame, group: str) -> DataFrame:
+    """group, node, root: a star for each part of the edges (u and v are numbers) that hangs together within a batch of a task."""
+    shape = edges.select(group, F.col("u").cast("long").alias("node"), F.col("v").cast("long").alias("root"))
+    schema = to_arrow_schema(shape.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if held and (batch is None or size >= BATCH):
+                yield from _joined(pa.Table.from_batches(held), group).cast(schema).to_batches()
+                held, size = [], 0
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+
+    return edges.select(group, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(run, shape.schema)
+
 
 def components(edges: DataFrame, group: str = "scene_id", hold: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """group, node and component (the smallest node that it reaches) of all nodes of edges (group, u, v).
 
-    Alternating large-star and small-star steps: aggregations and joins on the node, a few rounds whatever the diameter.
-    A node whose only edge is to itself is its own component.
+    Numbered nodes are first joined within batches of edges; a node of several batches links their roots, and what is left
+    is a graph of roots. A node whose only edge is to itself is its own component.
     """
+    kind = edges.schema["u"].dataType.simpleString()
+    if kind not in ("bigint", "int") or edges.schema["v"].dataType.simpleString() not in ("bigint", "int"):
+        return _components(edges, group, hold)
+    edges = edges.where("u IS NOT NULL AND v IS NOT NULL")
+    homes = hold(_contracted(edges, group).groupBy(group, "node").agg(F.array_sort(F.collect_set("root")).alias("roots")))
+    links = homes.where(F.size("roots") > 1).select(group, F.explode("roots").alias("u"), F.get("roots", F.lit(0)).alias("v"))
+    found = _components(hold(links.where("u != v")), group, hold).where("node != component").select(group, F.col("node").alias("_root"), "component")
+    own = homes.select(group, "node", F.get("roots", F.lit(0)).alias("_root")).join(found, [group, "_root"], "left")
+    return own.select(group, F.col("node").cast(kind).alias("node"), F.coalesce("component", "_root").cast(kind).alias("component"))
+
+
+def _components(edges: DataFrame, group: str, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """components() by alternating large-star and small-star steps: aggregations and joins on the node, a few rounds whatever
+    the diameter."""
     alone = edges.where(F.col("u") == F.col("v")).select(group, F.col("u").alias("node")).distinct()
     now = hold(edges.where(F.col("u") != F.col("v")).select(group, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = [F.count("*"), F.sum(F.pmod(F.xxhash64(group, "u", "v"), F.lit(1 << 30)))]

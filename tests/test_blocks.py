@@ -79,3 +79,26 @@ def test_nearest_within_makes_no_pairs(spark):
             want[i] = min(near)[::-1]
     assert {r["left_id"]: (r["right_id"], r["distance"]) for r in out.collect()} == want
     assert not made(out)
+
+
+def test_edges_are_joined_within_tasks(spark):
+    from pointloom.operators import graph
+
+    rng = np.random.default_rng(7)
+    edges = [({"a": int(g), "b": "x"}, int(u), int(v)) for g, u, v in zip(rng.integers(0, 2, 300), rng.integers(0, 260, 300), rng.integers(0, 260, 300))]
+    name = {}
+    for g, u, v in edges:
+        name.setdefault((g["a"], u), u), name.setdefault((g["a"], v), v)
+    for _ in range(len(name)):
+        before = dict(name)
+        for g, u, v in edges:
+            name[g["a"], u] = name[g["a"], v] = min(name[g["a"], u], name[g["a"], v])
+        if name == before:
+            break
+    df = spark.createDataFrame(edges, "scene_id struct<a: int, b: string>, u long, v long").repartition(5)
+    got = {(r["scene_id"]["a"], r["node"]): r["component"] for r in graph.components(df).collect()}
+    assert got == name
+    stars = graph._contracted(df.where("u != v"), "scene_id")
+    assert stars.count() <= 5 * len(name)
+    chain = spark.range(0, 5000, 1, 2).selectExpr("1 AS scene_id", "id + 1 AS u", "id AS v")
+    assert graph._contracted(chain, "scene_id").select("root").distinct().count() == 2  # a root for each task
