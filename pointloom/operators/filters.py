@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spatial
+from pointloom.lineage import cut
+
+from . import blocks, spatial
 
 
 def to_plane(points: DataFrame, planes: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def below_percentile(points: DataFrame, share: float, column: str = "z", keys: t
 
 def statistical_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> DataFrame:
     """Adds `mean_distance` to the k nearest points (the point itself among them) and `keep`: below mean + ratio * std of its scene."""
-    near = spatial.knn_join(points, points, k, cell).groupBy("scene_id", "left_id").agg(F.avg("distance").alias("mean_distance"))
+    near = blocks.neighbour_lists(points, points, k).select("scene_id", "left_id", blocks.mean_distance().alias("mean_distance"))
     limits = near.groupBy("scene_id").agg((F.avg("mean_distance") + F.lit(ratio) * F.stddev_samp("mean_distance")).alias("_limit"))
     return near.join(limits, "scene_id").withColumn("keep", F.col("mean_distance") < F.col("_limit")).drop("_limit").withColumnRenamed("left_id", "point_id")
 
@@ -86,10 +88,13 @@ def in_box(points: DataFrame, centre: tuple[float, float, float], size: tuple[fl
 def above_local_ground(points: DataFrame, k: int, share: float, low: float, high: float, radius: float, cell: float) -> DataFrame:
     """Adds `height` over the local ground (percentile of z over the k nearest in XY) and keeps points above `low`, or
     within the radius of one above `high`."""
-    flat = points.withColumn("z0", F.col("z")).withColumn("z", F.lit(0.0))
-    near = spatial.knn_join(flat, flat, k, cell).join(points.select("scene_id", F.col("point_id").alias("right_id"), "z"), ["scene_id", "right_id"])
-    ground = near.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.percentile("z", F.lit(share)).alias("ground"))
-    heights = points.join(ground, ["scene_id", "point_id"]).withColumn("height", F.col("z") - F.col("ground")).drop("ground")
-    tall = heights.where(F.col("height") > high)
-    beside = spatial.radius_join(heights, tall, radius).select("scene_id", F.col("left_id").alias("point_id")).distinct().withColumn("_near", F.lit(True))
-    return heights.join(beside, ["scene_id", "point_id"], "left").where((F.col("height") > low) | F.col("_near")).drop("_near")
+    levels = F.array_sort(F.filter("found.z", lambda z: z.isNotNull()))
+    near = blocks.neighbour_lists(points, points, k, "xy", ("z",)).select("scene_id", F.col("left_id").alias("point_id"), levels.alias("_z"))
+    place = F.lit(share) * (F.size("_z") - 1)
+    below, above = (F.get("_z", f(place).cast("int")) for f in (F.floor, F.ceil))
+    level = F.when(below == above, below).otherwise((F.ceil(place) - place) * below + (place - F.floor(place)) * above)
+    ground = near.select("scene_id", "point_id", level.alias("ground")).where("ground IS NOT NULL")
+    heights = cut(points.join(ground, ["scene_id", "point_id"]).withColumn("height", F.col("z") - F.col("ground")).drop("ground"))
+    lower, tall = heights.where(~(F.col("height") > low)), heights.where(F.col("height") > high)
+    beside = spatial.nearest_within(lower, tall, radius).select("scene_id", F.col("left_id").alias("point_id"))
+    return heights.where(F.col("height") > low).unionByName(lower.join(beside, ["scene_id", "point_id"], "left_semi"))

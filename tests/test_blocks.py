@@ -102,3 +102,20 @@ def test_edges_are_joined_within_tasks(spark):
     assert stars.count() <= 5 * len(name)
     chain = spark.range(0, 5000, 1, 2).selectExpr("1 AS scene_id", "id + 1 AS u", "id AS v")
     assert graph._contracted(chain, "scene_id").select("root").distinct().count() == 2  # a root for each task
+
+
+def test_local_ground_makes_no_pairs(spark):
+    from pointloom.operators import filters
+
+    rows = cloud(700)
+    df = spark.createDataFrame(rows, COLUMNS)
+    out = filters.above_local_ground(df, 12, 0.05, 0.05, 0.07, 0.03, 0.6)
+    flat, far, height = gaps(rows, 2), gaps(rows), {}
+    for i in range(len(rows)):
+        near = sorted((flat[i, j], j) for j in range(len(rows)) if np.isfinite(flat[i, j]))[:12]
+        height[i] = rows[i][4] - np.percentile([rows[j][4] for _, j in near], 5)
+    tall = [j for j, h in height.items() if h > 0.07]
+    want = {i for i, h in height.items() if h > 0.05 or any(far[i, j] < 0.03 for j in tall)}
+    got = {r["point_id"]: r["height"] for r in out.collect()}
+    assert set(got) == want and all(abs(got[i] - height[i]) < 1e-12 for i in got)
+    assert not made(out)
