@@ -119,3 +119,18 @@ def test_local_ground_makes_no_pairs(spark):
     got = {r["point_id"]: r["height"] for r in out.collect()}
     assert set(got) == want and all(abs(got[i] - height[i]) < 1e-12 for i in got)
     assert not made(out)
+
+
+def test_statistical_outliers_make_no_pairs(spark):
+    from pointloom.operators import filters
+
+    rows = cloud(500)
+    df = spark.createDataFrame(rows, COLUMNS)
+    out = filters.statistical_outliers(df, 8, 1.0, 0.4)
+    means = np.sort(gaps(rows), axis=1)[:, :8].mean(1)
+    for name in "ab":
+        own = [i for i, r in enumerate(rows) if r[0] == name]
+        limit = means[own].mean() + means[own].std(ddof=1)
+        got = {r["point_id"]: r["keep"] for r in out.where(f"scene_id = '{name}'").collect()}
+        assert got == {i: bool(means[i] < limit) for i in own}
+    assert not made(out)
