@@ -134,3 +134,16 @@ def test_statistical_outliers_make_no_pairs(spark):
         got = {r["point_id"]: r["keep"] for r in out.where(f"scene_id = '{name}'").collect()}
         assert got == {i: bool(means[i] < limit) for i in own}
     assert not made(out)
+
+
+def test_post_semantic_counts_only_what_is_above(spark, tmp_path):
+    from pointloom.plans import catalog
+
+    rows = [(k, "a", k % 7 * 1.0, k % 50) for k in range(620)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    out = catalog.QUERIES["flt5_post_semantic"](spark, str(tmp_path))
+    at = np.array([(v / 100, u % 50 * 0.1, e % 31 * 0.01) for e, _, v, u in rows])
+    at = at[at[:, 2] > np.percentile(at[:, 2], 10)]
+    far = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    assert [r["kept"] for r in out.collect()] == [((far < 0.15).sum(1) > 10).sum()]
+    assert not made(out)
