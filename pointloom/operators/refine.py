@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pointloom.lineage import cut
 
-from . import graph, spatial
+from . import blocks, graph, spatial
 
 
 def smoothed(counts: str | Column, sigma: float) -> Column:
@@ -184,10 +184,10 @@ def reassign_by_votes(points: DataFrame, label: str, merge: int, k: int, cell: f
 def vote_noise(points: DataFrame, label: str, radius: float, k: int = 5, votes: int = 3) -> DataFrame:
     """Null labels take the commonest label of their k nearest labelled points within the radius, if it has enough votes."""
     known = points.where(F.col(label).isNotNull()).withColumn("to", F.col(label))
-    near = spatial.radius_join(points.where(F.col(label).isNull()), known, radius, extra=("to",))
-    ranked = near.withColumn("_r", F.row_number().over(W.partitionBy("scene_id", "left_id").orderBy("distance", "right_id"))).where(F.col("_r") <= k)
-    counts = ranked.groupBy("scene_id", "left_id", "to").agg(F.count("*").alias("_v")).where(F.col("_v") >= votes)
-    best = counts.groupBy("scene_id", F.col("left_id").alias("point_id")).agg(F.min(F.struct((-F.col("_v")).alias("v"), "to"))["to"].alias("to"))
+    near = blocks.neighbour_lists(points.where(F.col(label).isNull()), known, k, extra=("to",), radius=radius)
+    count = lambda to: F.size(F.filter("found.to", lambda t: t == to))
+    counted = F.transform(F.array_distinct("found.to"), lambda to: F.struct((-count(to)).alias("v"), to.alias("to")))
+    best = near.select("scene_id", F.col("left_id").alias("point_id"), F.array_min(F.filter(counted, lambda c: c.v <= -votes))["to"].alias("to"))
     return points.join(best, ["scene_id", "point_id"], "left").withColumn(label, F.coalesce(label, "to")).drop("to")
 
 

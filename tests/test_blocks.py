@@ -147,3 +147,22 @@ def test_post_semantic_counts_only_what_is_above(spark, tmp_path):
     far = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
     assert [r["kept"] for r in out.collect()] == [((far < 0.15).sum(1) > 10).sum()]
     assert not made(out)
+
+
+def test_votes_of_noise_make_no_pairs(spark):
+    from collections import Counter
+
+    from pointloom.operators import refine
+
+    rows = cloud(600)
+    labels = [None if k % 4 == 0 else k % 3 for k in range(len(rows))]
+    df = spark.createDataFrame([(*r, x) for r, x in zip(rows, labels)], COLUMNS + ", label int")
+    out = refine.vote_noise(df, "label", 0.06)
+    far = gaps(rows)
+    for r in out.collect():
+        i = r["point_id"]
+        near = sorted((far[i, j], j) for j in range(len(rows)) if labels[j] is not None and far[i, j] < 0.06)[:5]
+        votes = Counter(labels[j] for _, j in near)
+        best = min(((-n, x) for x, n in votes.items() if n >= 3), default=(0, None))[1]
+        assert r["label"] == (labels[i] if labels[i] is not None else best)
+    assert not made(out)
