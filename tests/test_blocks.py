@@ -166,3 +166,17 @@ def test_votes_of_noise_make_no_pairs(spark):
         best = min(((-n, x) for x, n in votes.items() if n >= 3), default=(0, None))[1]
         assert r["label"] == (labels[i] if labels[i] is not None else best)
     assert not made(out)
+
+
+def test_centres_are_told_without_a_row_for_each(spark):
+    from pointloom.operators import clusters
+
+    rows = cloud(200)
+    df = spark.createDataFrame(rows, COLUMNS)
+    at = [("a", 7, 0.0, 0.0, 0.0), ("a", 9, 1.0, 0.2, 0.0), ("b", 8, 0.3, 0.1, 0.0)]
+    out = clusters.to_nearest(df, spark.createDataFrame(at, "scene_id string, label long, _x double, _y double, _z double"))
+    for r in out.collect():
+        here = (r["x"], r["y"], r["z"])
+        assert r["label"] == min((sum((p - q) ** 2 for p, q in zip(here, c[2:])) ** 0.5, c[1]) for c in at if c[0] == r["scene_id"])[1]
+    groups = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
+    assert groups and not any("point_id" in line for line in groups)
